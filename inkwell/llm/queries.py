@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import formatdup, neighbours, printform
+from inkwell.llm import formatdup, language, neighbours, printform
 from inkwell.sources.tables import table
 
 
@@ -28,6 +28,10 @@ def p2_recall(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count("*").alias("exact_neighbours"), F.count("hit").alias("found_neighbours"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.language_report(table(spark, d, "documents"), table(spark, d, "chunks"), table(spark, d, "source_documents"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return formatdup.copy_members(table(spark, d, "legacy_records"))
 
@@ -45,7 +49,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_nearest, p2_recall, p4_found, p4_copies, p6_found)}
+    return {f.__name__: f for f in (p2_found, p2_nearest, p2_recall, p3_found, p4_found, p4_copies, p6_found)}
 
 
 def oracle_sql() -> dict[str, str]:
