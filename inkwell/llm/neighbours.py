@@ -1,15 +1,19 @@
 """Most similar vectors for every vector (problem 2), by multi-index hashing.
 
-A rotation learned on a bounded sample (iterative quantisation of the principal axes) turns each
-direction into a 128-bit code. The code is cut into eight 16-bit substrings and each is indexed.
-By the pigeonhole principle two codes within a Hamming distance of 15 agree in at least one
-substring up to one bit; probing every index one bit around each substring therefore meets every
-such pair, and in practice nearly all pairs far beyond it. What is met is filtered by the Hamming
-distance of the half of the code the match doesn't come from, then reranked on the floats.
+Rotations learned on a bounded sample (iterative quantisation of the principal axes) turn each direction
+into a long binary code. The code is cut into m substrings and each is indexed. By the pigeonhole principle
+two codes that differ in fewer than m bits agree in at least one substring, so looking up every substring as
+it stands meets every pair within a Hamming distance of m - 1, and in practice nearly all pairs far beyond
+it. What is met is filtered by the Hamming distance of other 64 bits of the code, then reranked on the floats.
+
+The substrings get longer with the number of vectors (about log2 n bits, so a bucket holds a few vectors at
+any size) and m grows with them, so that a pair whose codes differ in `design` of their bits is met with
+probability `recall`.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +24,7 @@ from pyspark.sql.window import Window
 
 from inkwell.session import staged
 
-BITS, PIECES, WIDTH = 128, 8, 16
+FILTER_BITS = 64
 
 
 def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,90 +43,95 @@ def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return ok, x
 
 
+def _class_hash(x: np.ndarray) -> np.ndarray:
+    """64 bits that equal directions share."""
+    weights = np.random.default_rng(1).integers(1, 2**63, x.shape[1], dtype=np.int64).astype(np.uint64) | np.uint64(1)
+    h = (np.round(x * 1e6).astype(np.int64).astype(np.uint64) * weights).sum(1, dtype=np.uint64)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
 def usable_vectors(df: DataFrame, key: str, vector: str, dims: int = 128) -> DataFrame:
-    """vec_id, unit (array<double> of length one) for rows whose vector has dims finite numbers, not all zero.
+    """vec_id, same, unit (array<float> of length one) for rows whose vector has dims finite numbers, not all zero.
 
-    Null, short, long, NaN, infinite and all-zero vectors and null keys are left out; a repeated row counts once.
+    same is a hash that vectors of equal direction share. Null, short, long, NaN, infinite and all-zero vectors and
+    null keys are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok, x = _matrix(b.column(1), dims)
-            units = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * dims, pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), units], names=["vec_id", "unit"])
+            ends = np.arange(len(x) + 1, dtype=np.int32) * dims
+            units = pa.ListArray.from_arrays(ends, pa.array(x.ravel().astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), pa.array(_class_hash(x)), units], names=["vec_id", "same", "unit"])
 
     src = df.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").alias("v")).where("vec_id is not null")
-    return src.mapInArrow(run, "vec_id long, unit array<double>")
+    return src.mapInArrow(run, "vec_id long, same long, unit array<float>")
 
 
-def learn_rotation(units: DataFrame, dims: int = 128, sample: int = 20_000, rounds: int = 20, seed: int = 7) -> np.ndarray:
-    """An orthogonal matrix fitted to at most `sample` vectors, chosen by a seeded hash of their ids."""
-    picked = units.select("unit", F.xxhash64(F.lit(seed), "vec_id").alias("h")).orderBy("h").limit(sample)
-    rows = picked.select("unit").toPandas()["unit"]
+def learn_rotations(units: DataFrame, count: int, dims: int = 128, sample: int = 5_000, rounds: int = 15, seed: int = 7) -> np.ndarray:
+    """`count` orthogonal matrices, side by side, fitted to at most `sample` vectors taken by a seeded hash of their direction."""
+    rows = units.withColumn("h", F.xxhash64(F.lit(seed), "same")).select("h", "unit").orderBy("h").limit(sample).toPandas()["unit"]
     rng = np.random.default_rng(seed)
-    start = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
+    starts = [np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(count)]
     if len(rows) < 2:
-        return start
-    x = np.stack(rows.to_numpy())
+        return np.hstack(starts)
+    x = np.stack(rows.to_numpy()).astype(np.float64)
     x = x - x.mean(0)
     axes = np.linalg.svd(x.T @ x)[0]
     y = x @ axes
-    r = start
-    for _ in range(rounds):
-        u, _, vt = np.linalg.svd(np.sign(y @ r).T @ y)
-        r = (u @ vt).T
-    return axes @ r
+    out = []
+    for r in starts:
+        for _ in range(rounds):
+            u, _, vt = np.linalg.svd(np.sign(y @ r).T @ y)
+            r = (u @ vt).T
+        out.append(axes @ r)
+    return np.hstack(out)
+
+
+def code_shape(n: int, design: float = 0.12, recall: float = 0.99) -> tuple[int, int]:
+    """Bits per substring and number of substrings for n vectors."""
+    width = min(28, max(8, math.ceil(math.log2(max(n, 2))) - 2))
+    return width, math.ceil(math.log(1 - recall) / math.log(1 - (1 - design) ** width))
 
 
-def _index_rows(rotation: np.ndarray, dims: int):
-    """For each vector its eight index rows, and the rows that probe one bit further."""
+def _index_rows(rotations: np.ndarray, width: int, pieces: int, dims: int):
+    """For each different vector one index row per substring: bucket, the vector's class and 64 other bits of its code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = (1 << np.arange(WIDTH, dtype=np.int64)).astype(np.int64)
+        weights = 1 << np.arange(width, dtype=np.int64)
         for b in batches:
-            n = b.num_rows
-            if not n:
+            same, first = np.unique(np.asarray(b.column(0)), return_index=True)
+            if not len(same):
                 continue
-            x = np.asarray(b.column(1).flatten(), np.float64).reshape(n, dims)
-            bits = (x @ rotation > 0).astype(np.uint8)
-            halves = np.packbits(bits, axis=1, bitorder="little").view("<i8")  # two words of 64 bits
-            keys = bits.reshape(n, PIECES, WIDTH) @ weights
-            ids = np.asarray(b.column(0))
-            for piece in range(PIECES):
-                other = halves[:, 1 - piece // (PIECES // 2)]
-                key = keys[:, piece]
-                # of two substrings that differ in one bit, just one has it unset: that one reaches the other
-                row, bit = np.nonzero(bits[:, piece * WIDTH : (piece + 1) * WIDTH] == 0)
-                all_keys = np.concatenate([key, key[row] | (1 << bit)]) | (piece << WIDTH)
+            x = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, dims)[first]
+            bits = (x @ rotations > 0).astype(np.uint8)
+            total = bits.shape[1]
+            for piece in range(pieces):
+                key = bits[:, piece * width : (piece + 1) * width] @ weights
+                far = (np.arange(FILTER_BITS) + piece * width + total // 2) % total
+                other = np.ascontiguousarray(np.packbits(bits[:, far], axis=1, bitorder="little")).view("<i8")[:, 0]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(all_keys.astype(np.int32)),
-                        pa.array(np.concatenate([ids, ids[row]])),
-                        pa.array(np.concatenate([other, other[row]])),
-                        pa.array(np.concatenate([np.ones(n, bool), np.zeros(len(row), bool)])),
-                    ],
-                    names=["bucket", "id", "half", "own"],
+                    [pa.array(key | (piece << width)), pa.array(same), pa.array(other)], names=["bucket", "same", "half"]
                 )
 
     return run
 
 
-def similar_pairs(units: DataFrame, rotation: np.ndarray, min_cosine: float, dims: int = 128, spread: int = 23) -> DataFrame:
-    """a, b, cosine (a < b) of different unit vectors with at least min_cosine; spread: largest Hamming distance in 64 bits."""
-    rows = units.mapInArrow(_index_rows(rotation, dims), "bucket int, id long, half long, own boolean")
-    left = rows.where("own").select("bucket", F.col("id").alias("x"), F.col("half").alias("hx"))
-    right = rows.select("bucket", F.col("id").alias("y"), F.col("half").alias("hy"), "own")
-    met = left.join(right, "bucket").where("(not own or x < y) and bit_count(hx ^ hy) <= %d" % spread)
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
-    va = units.select(F.col("vec_id").alias("a"), F.col("unit").alias("ua"))
-    vb = units.select(F.col("vec_id").alias("b"), F.col("unit").alias("ub"))
-    dot = F.aggregate(F.zip_with("ua", "ub", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    scored = pairs.join(va, "a").join(vb, "b").select("a", "b", F.round(dot, 9).alias("cosine"))
-    return scored.where(F.col("cosine") >= min_cosine)
+def similar_pairs(units: DataFrame, n: int, min_cosine: float, dims: int = 128, sample: int = 5_000, spread: int = 20) -> DataFrame:
+    """sa, sb: classes of vectors that share a bucket and differ in at most `spread` of 64 other bits (sa < sb)."""
+    width, pieces = code_shape(n)
+    rotations = learn_rotations(units, -(-max(pieces * width, 2 * FILTER_BITS) // dims), dims, sample)
+    rows = units.select("same", "unit").mapInArrow(_index_rows(rotations, width, pieces, dims), "bucket long, same long, half long")
+    rows = rows.repartition("bucket").dropDuplicates(["bucket", "same"])
+    left = rows.select("bucket", F.col("same").alias("sa"), F.col("half").alias("ha"))
+    right = rows.select("bucket", F.col("same").alias("sb"), F.col("half").alias("hb"))
+    met = left.join(right, "bucket").where(f"sa < sb and bit_count(ha ^ hb) <= {spread}")
+    return met.select("sa", "sb").distinct()
 
 
 def nearest_vectors(
-    df: DataFrame, key: str = "vec_id", vector: str = "vector", *, k: int = 5, min_cosine: float = 0.80, dims: int = 128, sample: int = 20_000
+    df: DataFrame, key: str = "vec_id", vector: str = "vector", *, k: int = 5, min_cosine: float = 0.80, dims: int = 128, sample: int = 5_000
 ) -> DataFrame:
     """vec_id, other_id, cosine, rank: for every usable vector the k most similar others of at least min_cosine.
 
@@ -132,17 +141,21 @@ def nearest_vectors(
     An empty table, or one without usable vectors, gives no rows. The rotation is fitted on `sample` vectors;
     every vector is indexed. Nearest neighbours below min_cosine are left out by definition.
     """
-    units = usable_vectors(df, key, vector, dims).withColumn("same", F.xxhash64(F.transform("unit", lambda v: F.round(v, 6))))
-    units = staged(units.select("vec_id", "unit", "same"), "units")
-    heads = units.groupBy("same").agg(F.min("vec_id").alias("rep"), F.max("vec_id").alias("last"))
-    reps = units.join(heads.select(F.col("rep").alias("vec_id")), "vec_id", "left_semi").dropDuplicates(["vec_id"])
-    reps = staged(reps.select("vec_id", "unit"), "representatives")
-    rotation = learn_rotation(reps, dims, sample)
-    pairs = staged(similar_pairs(reps, rotation, min_cosine, dims), "pairs")
+    units = usable_vectors(df, key, vector, dims)
+    classes = units.groupBy("same").agg(F.min("vec_id").alias("rep"), F.max("vec_id").alias("last"))
+    classes = staged(classes, "classes")
+    heads = classes.select("same", "rep")
+    met = similar_pairs(units, classes.count(), min_cosine, dims, sample)
+    ids = met.join(heads.toDF("sa", "a"), "sa").join(heads.toDF("sb", "b"), "sb").select("a", "b")
+    va = units.select(F.col("vec_id").alias("a"), F.col("unit").alias("ua"))
+    vb = units.select(F.col("vec_id").alias("b"), F.col("unit").alias("ub"))
+    dot = F.aggregate(F.zip_with("ua", "ub", lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, p: s + p)
+    scored = ids.join(va, "a").join(vb, "b").select("a", "b", F.round(dot, 6).alias("cosine"))
+    pairs = staged(scored.where(F.col("cosine") >= min_cosine).dropDuplicates(["a", "b"]), "pairs")
 
     # classes of several equal vectors: their members, and the k + 1 smallest ids of each
-    classes = heads.where("rep < last").select("same", "rep")
-    members = units.select("vec_id", "same").distinct().join(classes, "same").select("rep", "vec_id")
+    several = classes.where("rep < last").select("same", "rep")
+    members = units.select("vec_id", "same").join(several, "same").select("rep", "vec_id").distinct()
     slot = F.pmod(F.xxhash64("vec_id"), F.lit(32))
     by_slot = Window.partitionBy("rep", "slot").orderBy("vec_id")
     by_rep = Window.partitionBy("rep").orderBy("vec_id")
@@ -189,7 +202,7 @@ def exact_nearest(
     for block in range(blocks):
         q = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).orderBy("vec_id").toPandas()
         ids = q["vec_id"].to_numpy(np.int64)
-        mat = np.stack(q["unit"].to_numpy()) if len(q) else np.zeros((0, dims))
+        mat = np.stack(q["unit"].to_numpy()).astype(np.float64) if len(q) else np.zeros((0, dims))
         held = df.sparkSession.sparkContext.broadcast((ids, mat))
 
         def best(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -197,9 +210,9 @@ def exact_nearest(
             for b in batches:
                 if not b.num_rows or not len(ids):
                     continue
-                x = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, dims)
+                x = np.asarray(b.column(2).flatten(), np.float64).reshape(b.num_rows, dims)
                 own = np.asarray(b.column(0))
-                cos = np.round(mat @ x.T, 9)
+                cos = np.round(mat @ x.T, 6)
                 cos[ids[:, None] == own[None, :]] = -2
                 order = np.lexsort((np.broadcast_to(own, cos.shape), -cos), axis=1)[:, :k]
                 row = np.repeat(np.arange(len(ids)), order.shape[1])
