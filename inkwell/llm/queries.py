@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import formatdup, language, neighbours, printform
+from inkwell.llm import formatdup, junk, language, neighbours, printform
 from inkwell.sources.tables import table
 
 
@@ -48,8 +48,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return junk.junk_pages(table(spark, d, "documents"))
+
+
+def p9_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """How many pages, lines and characters each line shape has over the whole table."""
+    shapes = junk.line_shapes(table(spark, d, "documents"))
+    return shapes.groupBy("kind", "shape").agg(F.count("*").alias("pages"), F.sum("lines").alias("lines"), F.sum("chars").alias("chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_nearest, p2_recall, p3_found, p4_found, p4_copies, p6_found)}
+    return {f.__name__: f for f in (p2_found, p2_nearest, p2_recall, p3_found, p4_found, p4_copies, p6_found, p9_found, p9_shapes)}
 
 
 def oracle_sql() -> dict[str, str]:
