@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import formatdup, junk, language, neighbours, printform
+from inkwell.llm import formatdup, junk, language, neighbours, printform, scans
 from inkwell.sources.tables import table
 
 
@@ -40,6 +40,19 @@ def p4_copies(spark: SparkSession, d: str) -> DataFrame:
     return formatdup.distinct_records(table(spark, d, "legacy_records"))
 
 
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    return scans.scanned_texts(table(spark, d, "ocr_pages"), table(spark, d, "chunks"), table(spark, d, "parsed_questions"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.marked_lines(scans.find(_scanned(spark, d), table(spark, d, "documents"), "text"))
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    texts = _scanned(spark, d)
+    return scans.repaired(texts, scans.find(texts, table(spark, d, "documents"), "text"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     sides = [("chunks", "chunk_id", "text"), ("legacy_records", "record_id", "content")]
     parts = [
@@ -59,7 +72,7 @@ def p9_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_nearest, p2_recall, p3_found, p4_found, p4_copies, p6_found, p9_found, p9_shapes)}
+    return {f.__name__: f for f in (p2_found, p2_nearest, p2_recall, p3_found, p4_found, p4_copies, p5_found, p5_repaired, p6_found, p9_found, p9_shapes)}
 
 
 def oracle_sql() -> dict[str, str]:
