@@ -7,10 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import formatdup, junk, language, neighbours, printform, scans
+from inkwell.llm import formatdup, junk, language, mixing, neighbours, packing, printform, scans, tokens
 from inkwell.sources.tables import table
 
 
+_SLICED = [
+    ("documents", "doc_id", "text", ["source", "lang", "domain"]),
+    ("chunks", "chunk_id", "text", ["offering_id", "language", "chunk_type"]),
+]
+
+
+def p1_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Texts and tokens of every slice: documents by source, lang and domain, chunks by offering, language and type."""
+    parts = []
+    for name, key, text, slices in _SLICED:
+        cube = tokens.budget(table(spark, d, name), key, text, slices)
+        parts.append(cube.select(F.lit(name).alias("tbl"), *[F.col(s).alias(f"slice_{i}") for i, s in enumerate(slices, 1)], "texts", "tokens"))
+    return parts[0].unionByName(parts[1])
+
+
+def p1_text_tokens(spark: SparkSession, d: str) -> DataFrame:
+    parts = [tokens.text_tokens(table(spark, d, name), key, text).withColumn("tbl", F.lit(name)) for name, key, text, _ in _SLICED]
+    return parts[0].unionByName(parts[1])
+
+
+def p1_refreshed(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' cube, built for the texts there at the middle of the period and brought up to date by signed deltas."""
+    docs, (name, key, text, slices), tok = table(spark, d, "documents"), _SLICED[0], tokens.TokenizerFile()
+    middle = docs.agg(F.expr("percentile_approx(unix_micros(cast(added_at as timestamp)), 0.5)")).first()[0] or 0
+    old = docs.where(F.expr(f"unix_micros(cast(added_at as timestamp)) <= {middle}"))
+    ledger = tokens.staged(tokens.extend_ledger(old, text, None, tok), "ledger")
+    before, after = tokens.state(old, key, text, slices), tokens.state(docs, key, text, slices)
+    cube = tokens.staged(tokens.apply_deltas(tokens.empty_cube(spark, slices), tokens.signed_deltas(None, before, key, slices, ledger, tok), slices), "cube")
+    ledger = ledger.unionByName(tokens.staged(tokens.extend_ledger(docs, text, ledger, tok), "ledger"))
+    return tokens.apply_deltas(cube, tokens.signed_deltas(before, after, key, slices, ledger, tok), slices)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, d, "chunk_vectors"))
 
@@ -61,6 +93,42 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", F.col("text").cast("string").alias("text"))
+    return tokens.counted(docs, "text")
+
+
+def _capacity(spark: SparkSession, d: str, label: str) -> int:
+    row = table(spark, d, "containers").where(F.col("label") == label).first()
+    return int(row["capacity_tokens"])
+
+
+def _packed(label: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return packing.pack(_sized(spark, d), "doc_id", "tokens", _capacity(spark, d, label)).withColumnRenamed("key", "doc_id")
+
+    return query
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used and empty share for every row of `containers`."""
+    sizes = packing.staged(_sized(spark, d), "sizes")
+    out = None
+    for row in table(spark, d, "containers").orderBy("container_id").collect():  # one row per kind of container
+        one = packing.fill_report(packing.pack(sizes, "doc_id", "tokens", int(row["capacity_tokens"])), int(row["capacity_tokens"]))
+        one = one.select(F.lit(row["container_id"]).alias("container_id"), "containers", "tokens", "least", "empty_share")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return junk.junk_pages(table(spark, d, "documents"))
 
@@ -72,7 +140,12 @@ def p9_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_nearest, p2_recall, p3_found, p4_found, p4_copies, p5_found, p5_repaired, p6_found, p9_found, p9_shapes)}
+    named = (
+        p1_budget, p1_text_tokens, p1_refreshed, p2_found, p2_nearest, p2_recall, p3_found, p4_found, p4_copies, p5_found, p5_repaired, p6_found,
+        p7_report, p8_mix, p8_shares, p9_found, p9_shapes,
+    )
+    packs = {f"p7_pack_{label.split()[0]}": _packed(label) for label in ("medium window", "short window", "long window", "wide window")}
+    return {**packs, **{f.__name__: f for f in named}}
 
 
 def oracle_sql() -> dict[str, str]:
