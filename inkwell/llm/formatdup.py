@@ -210,7 +210,7 @@ def copy_members(df: DataFrame, record_id: str = "record_id", content: str = "co
     comparisons as it has members.
     """
     rows = _input(df, record_id, content, meta)
-    prints = rows.mapInArrow(_fingerprints, "record_id long, h1 long, h2 long")
+    prints = staged(rows.mapInArrow(_fingerprints, "record_id long, h1 long, h2 long"), "fingerprints")
     sets = prints.groupBy("h1", "h2").agg(F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id"))
     several = sets.where("first_id < last_id").select("h1", "h2", "first_id")
     members = prints.join(several, ["h1", "h2"]).where("record_id > first_id").select("record_id", "first_id").distinct()
