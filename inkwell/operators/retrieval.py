@@ -86,7 +86,7 @@ def semantic(
     if scope and not few:
         met = v.join(q, scope)
     else:  # the query set against all rows, in blocks of a bounded size
-        blocks = 1 if few else -(-q.count() // (send_rows // 2))
+        blocks = 1 if few else -(-q.count() // max(1, send_rows // 2))
         met = None
         for k in range(blocks):
             part = F.broadcast(q.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == k))
