@@ -149,7 +149,7 @@ def judged_pages(df: DataFrame, key: str = "doc_id", text: str = "text", *, min_
     pages = pages.withColumn("junk_share", total(F.col("sizes")) / F.col("chars"))
     pages = pages.withColumn("few_share", total(F.slice("sizes", 1, few)) / F.col("chars"))
     flag = (F.col("junk_share") >= min_share) & (F.col("few_share") >= min_share / 2)
-    return pages.select("doc_id", "chars", "junk_share", "few_share", F.expr("sizes[0].kind").alias("top_kind"), flag.alias("is_junk"))
+    return pages.select("doc_id", "chars", "junk_share", "few_share", F.expr("get(sizes, 0).kind").alias("top_kind"), flag.alias("is_junk"))
 
 
 def junk_pages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

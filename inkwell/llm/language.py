@@ -129,8 +129,8 @@ def read_batch(texts: list[str | None], model: WordModel):
         text = clean(raw)
         for a, b in sentences(text):
             found = _WORD.findall(text[a:b].lower())
-            if not found:
-                continue
+            if not found or (len(found) < 3 and all(len(w) < 4 and w < "\u0900" for w in found)):
+                continue  # nothing, or units and symbols
             whole = len(found) >= MIN_SENTENCE_WORDS and _END.search(text, max(a, b - 8), b) is not None
             marks.append((t, a, b, sum(map(len, found)), whole))
             owners.append(len(words))

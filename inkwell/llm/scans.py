@@ -315,7 +315,10 @@ def furniture_lines(found: DataFrame, *, min_pages: int = 2, min_documents: int
 
 
 def broken_words(found: DataFrame, furniture: DataFrame, words: DataFrame, joined_by_hyphen: DataFrame) -> DataFrame:
-    """tbl, row_key, line_no, next_line, left_piece, right_piece, joined: words that the layout broke in two."""
+    """tbl, row_key, line_no, next_line, left_piece, right_piece, joined, broken: words on two lines.
+
+    broken: the layout broke the word and put in the hyphen; else the hyphen is part of a known compound.
+    """
     cand = found.where("kind = 'hyphen'").select(*_ROW, "line_no", "place", F.col("word").alias("left_piece"), F.posexplode("next").alias("k", "n"))
     cand = cand.select(*_ROW, "line_no", "place", "left_piece", "k", F.col("n.line_no").alias("next_line"), F.col("n.word").alias("right_piece"))
     cand = cand.join(furniture, [*_ROW, "line_no"], "left_anti")
@@ -334,7 +337,9 @@ def broken_words(found: DataFrame, furniture: DataFrame, words: DataFrame, joine
     known = (n("n_joined") >= 2) & (n("n_joined") >= n("n_linked"))
     # neither form is known: a break, unless both pieces are words of their own (a hanging hyphen, an unknown compound)
     neither = (n("n_joined") < 2) & (n("n_linked") < 1) & (F.col("place") != "inside") & ~((n("n_left") >= 2) & (n("n_right") >= 2))
-    return c.where(known | neither).select(*_ROW, "line_no", "next_line", "left_piece", "right_piece", "joined")
+    compound = (n("n_linked") >= 1) & (F.col("place") != "inside")
+    c = c.withColumn("broken", known | neither).where(F.col("broken") | compound)
+    return c.select(*_ROW, "line_no", "next_line", "left_piece", "right_piece", "joined", "broken")
 
 
 def trusted_words(reference: DataFrame, scanned: DataFrame, *, min_count: int = 5, times: int = 5) -> DataFrame:
@@ -364,8 +369,8 @@ def misread_words(tokens_found: DataFrame, words: DataFrame) -> DataFrame:
 class Findings:
     """What was found in a set of texts; see find()."""
 
-    def __init__(self, furniture: DataFrame, hyphens: DataFrame, misread: DataFrame):
-        self.furniture, self.hyphens, self.misread = furniture, hyphens, misread
+    def __init__(self, furniture: DataFrame, hyphens: DataFrame, links: DataFrame, misread: DataFrame):
+        self.furniture, self.hyphens, self.links, self.misread = furniture, hyphens, links, misread
 
 
 def find(texts: DataFrame, reference: DataFrame, reference_text: str, *, common_words: int = 100_000) -> Findings:
@@ -376,14 +381,15 @@ def find(texts: DataFrame, reference: DataFrame, reference_text: str, *, common_
     with the whole vocabulary. Null keys and null texts take no part; empty texts and tables give no findings;
     repeated rows give each finding once.
     """
-    src = texts.where("row_key is not null and text is not null")
+    src = texts.select(*_ROW, "doc", "page", "text").where("row_key is not null and text is not null")
     known = staged(vocabulary(reference, reference_text).where("n >= 2"), "reference")
     words = staged(trusted_words(known, vocabulary(src, "text")), "vocabulary")
     linked = staged(compounds(reference, reference_text), "compounds")
     top = words.orderBy(F.desc("n"), "word").limit(common_words).collect()
     found = staged(candidates(src, [r.word for r in top], [r.word for r in top if r.known]), "candidates")
     furniture = staged(furniture_lines(found), "furniture")
-    hyphens = staged(broken_words(found, furniture, words, linked), "hyphens")
+    over_two = staged(broken_words(found, furniture, words, linked), "hyphens")
+    hyphens, links = over_two.where("broken"), over_two.where("not broken")
 
     token = found.where("kind = 'token'").select(*_ROW, "line_no", "word", "place")
     numbers = token.where("place = 'number'").join(furniture, [*_ROW, "line_no"], "left_anti")
@@ -399,7 +405,7 @@ def find(texts: DataFrame, reference: DataFrame, reference_text: str, *, common_
     torn = whole.join(corrections, "word").withColumn(
         "line_no", F.when(F.col("correction").startswith(F.col("left_piece")), F.col("next_line")).otherwise(F.col("line_no"))
     )
-    return Findings(furniture, hyphens, single.unionByName(torn.select(*_ROW, "line_no", "word", "correction")).unionByName(numbers).distinct())
+    return Findings(furniture, hyphens, links, single.unionByName(torn.select(*_ROW, "line_no", "word", "correction")).unionByName(numbers).distinct())
 
 
 def marked_lines(f: Findings) -> DataFrame:
@@ -409,13 +415,16 @@ def marked_lines(f: Findings) -> DataFrame:
     return frames[0].unionByName(frames[1]).unionByName(frames[2]).distinct()
 
 
-def _rebuild(text: str, gone: set[int], joins: list[tuple[int, int, str, str]], fixes: dict[int, list[tuple[str, str]]]) -> str:
+def _rebuild(text: str, gone: set[int], joins: list[tuple[int, int, str, bool]], fixes: dict[int, list[tuple[str, str]]]) -> str:
     """The text as paragraphs, without furniture, with broken words joined and misread words replaced."""
     lines = text.split("\n")
     glued: set[int] = set()
-    for line_no, next_line, left, _ in joins:
+    for line_no, next_line, left, broken in joins:
         line = lines[line_no - 1]
-        if next_line == line_no:
+        if not broken:
+            lines[line_no - 1] = line.rstrip().rstrip(HYPHENS) + "-"
+            glued.add(line_no)
+        elif next_line == line_no:
             lines[line_no - 1] = re.sub(f"({re.escape(left)})[{HYPHENS}] ", "\\1", line, count=1, flags=re.I)
         else:
             lines[line_no - 1] = line.rstrip().rstrip(HYPHENS)
@@ -444,7 +453,8 @@ def _rebuild(text: str, gone: set[int], joins: list[tuple[int, int, str, str]],
 def repaired(texts: DataFrame, f: Findings) -> DataFrame:
     """tbl, row_key, text: every text of texts rebuilt from its findings; null and empty texts stay as they are."""
     gone = f.furniture.groupBy(*_ROW).agg(F.collect_set("line_no").alias("gone"))
-    joins = f.hyphens.groupBy(*_ROW).agg(F.sort_array(F.collect_set(F.struct("line_no", "next_line", "left_piece", "right_piece"))).alias("joins"))
+    pairs = f.hyphens.unionByName(f.links)
+    joins = pairs.groupBy(*_ROW).agg(F.sort_array(F.collect_set(F.struct("line_no", "next_line", "left_piece", "broken"))).alias("joins"))
     fixes = f.misread.groupBy(*_ROW).agg(F.sort_array(F.collect_set(F.struct("line_no", "word", "correction"))).alias("fixes"))
     src = texts.where("row_key is not null").select(*_ROW, "text").dropDuplicates(_ROW)
     src = src.join(gone, _ROW, "left").join(joins, _ROW, "left").join(fixes, _ROW, "left")
@@ -459,7 +469,7 @@ def repaired(texts: DataFrame, f: Findings) -> DataFrame:
                 fix: dict[int, list] = {}
                 for e in x or ():
                     fix.setdefault(e["line_no"], []).append((e["word"], e["correction"]))
-                rows = [(e["line_no"], e["next_line"], e["left_piece"], e["right_piece"]) for e in j or ()]
+                rows = [(e["line_no"], e["next_line"], e["left_piece"], e["broken"]) for e in j or ()]
                 out.append(_rebuild(text, set(g or ()), rows, fix))
             yield pa.RecordBatch.from_arrays([b.column("tbl"), b.column("row_key"), pa.array(out, pa.string())], names=["tbl", "row_key", "text"])
 

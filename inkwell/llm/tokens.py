@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkwell.session import small_enough, staged
 
@@ -80,7 +81,7 @@ def counted(df: DataFrame, text: str, tokenizer: TokenizerFile = TokenizerFile()
             each = pa.array(count(texts.dictionary.to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in rest] + [each.take(texts.indices)], names=[*rest, "tokens"])
 
-    schema = df.select(*[F.col(f"`{c}`") for c in rest]).withColumn("tokens", F.lit(0).cast("long")).schema
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema if f.name != text] + [T.StructField("tokens", T.LongType(), True)])
     return df.mapInArrow(run, schema)
 
 
