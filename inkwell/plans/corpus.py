@@ -374,6 +374,77 @@ SELECT * FROM (SELECT source_document_id, offering_id, CAST(row_number() OVER (P
 """
 
 
+def ocr_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Scanned pages per document: how many, mean confidence, words, and pages under the confidence floor of 70."""
+    p = table(spark, d, "ocr_pages")
+    return p.groupBy("source_document_id").agg(
+        F.count("*").alias("pages"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 4).alias("confidence"), F.sum("words").alias("words"), F.count_if(F.col("confidence") < 70).alias("uncertain")
+    )
+
+
+OCR_QUALITY = "SELECT source_document_id, count(*) AS pages, round(coalesce(avg(confidence), 0.0), 4) AS confidence, CAST(sum(words) AS BIGINT) AS words, count(*) FILTER (WHERE confidence < 70) AS uncertain FROM ocr_pages GROUP BY 1"
+
+
+def facets(spark: SparkSession, d: str) -> DataFrame:
+    """Curriculum, level and subject facets with their offerings, documents and chunks; a facet without documents shows 0."""
+    o = table(spark, d, "subject_offerings").select("offering_id", "curriculum_code", "level_code", "subject_code")
+    s = table(spark, d, "source_documents").groupBy("offering_id").agg(F.count("*").alias("documents"))
+    c = _chunks(spark, d).groupBy("offering_id").agg(F.count("*").alias("chunks"))
+    rows = o.join(s, "offering_id", "left").join(c, "offering_id", "left")
+    zero = lambda x: F.coalesce(F.sum(x), F.lit(0)).alias(x)
+    return rows.groupBy("curriculum_code", "level_code", "subject_code").agg(F.count("*").alias("offerings"), zero("documents"), zero("chunks"))
+
+
+FACETS = """
+WITH s AS (SELECT offering_id, count(*) AS documents FROM source_documents GROUP BY 1), c AS (SELECT offering_id, count(DISTINCT chunk_id) AS chunks FROM chunks GROUP BY 1)
+SELECT curriculum_code, level_code, subject_code, count(*) AS offerings, CAST(coalesce(sum(documents), 0) AS BIGINT) AS documents, CAST(coalesce(sum(chunks), 0) AS BIGINT) AS chunks
+FROM subject_offerings o LEFT JOIN s ON s.offering_id = o.offering_id LEFT JOIN c ON c.offering_id = o.offering_id GROUP BY 1, 2, 3
+"""
+
+
+def report_reconciliation(spark: SparkSession, d: str) -> DataFrame:
+    """For each report whether its number of records is that of the document's records."""
+    r = table(spark, d, "normalisation_reports").select("report_id", "source_document_id", "source_records")
+    n = table(spark, d, "legacy_records").groupBy("source_document_id").agg(F.count("*").alias("there"))
+    rows = r.join(n, "source_document_id", "left").select("report_id", "source_records", F.coalesce("there", F.lit(0)).alias("there"))
+    differs = ~F.col("source_records").cast("long").eqNullSafe(F.col("there"))
+    return rows.withColumn("state", F.when(F.col("there") == 0, "no_records").when(differs, "other_number").otherwise("ok"))
+
+
+REPORT_RECONCILIATION = """
+WITH n AS (SELECT source_document_id, count(*) AS there FROM legacy_records GROUP BY 1), r AS (SELECT report_id, source_records, coalesce(n.there, 0) AS there FROM normalisation_reports p LEFT JOIN n ON n.source_document_id = p.source_document_id)
+SELECT *, CASE WHEN there = 0 THEN 'no_records' WHEN source_records IS DISTINCT FROM there THEN 'other_number' ELSE 'ok' END AS state FROM r
+"""
+
+
+def language_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Offerings (a fixed table of 40) that a document could serve: those of its own, or any that lists its language; documents by offering."""
+    o = table(spark, d, "subject_offerings").select("offering_id", "languages")
+    s = table(spark, d, "source_documents").select(F.col("offering_id").alias("own"), "declared_language")
+    s = s.groupBy("own", "declared_language").agg(F.count("*").alias("n"))  # at most offerings x labels rows before the theta join
+    met = o.join(s, (F.col("own") == F.col("offering_id")) | F.expr("array_contains(languages, declared_language)"))
+    return met.groupBy("offering_id").agg(F.sum("n").alias("documents"), F.sum(F.when(F.col("own") == F.col("offering_id"), F.col("n")).otherwise(0)).alias("own_documents"))
+
+
+LANGUAGE_COVERAGE = """
+SELECT o.offering_id, count(*) AS documents, count(*) FILTER (WHERE s.offering_id = o.offering_id) AS own_documents
+FROM subject_offerings o JOIN source_documents s ON s.offering_id = o.offering_id OR list_contains(o.languages, s.declared_language) GROUP BY 1
+"""
+
+
+def sub_part_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Questions with sub-parts: their marks, the sum of the parts' marks, and whether both agree."""
+    q = table(spark, d, "parsed_questions").where("marks is not null and size(sub_parts) > 0")
+    total = F.aggregate("sub_parts", F.lit(0), lambda s, x: s + F.coalesce(x["marks"], F.lit(0)))
+    return q.select("question_id", "marks", F.size("sub_parts").alias("parts"), total.alias("part_marks"), (F.col("marks") == total).alias("agree"))
+
+
+SUB_PART_TOTALS = """
+SELECT *, marks = part_marks AS agree FROM (SELECT question_id, marks, CAST(len(sub_parts) AS INTEGER) AS parts, CAST(list_sum(list_transform(sub_parts, lambda x: coalesce(x.marks, 0))) AS INTEGER) AS part_marks
+  FROM parsed_questions WHERE marks IS NOT NULL AND len(sub_parts) > 0)
+"""
+
+
 def query_map() -> dict:
     named = {
         "index_state": (index_state, INDEX_STATE),
@@ -397,5 +468,10 @@ def query_map() -> dict:
         "missing_documents": (missing_documents, MISSING_DOCUMENTS),
         "chunk_identity": (chunk_identity, CHUNK_IDENTITY),
         "priority_order": (priority_order, PRIORITY_ORDER),
+        "ocr_quality": (ocr_quality, OCR_QUALITY),
+        "facets": (facets, FACETS),
+        "report_reconciliation": (report_reconciliation, REPORT_RECONCILIATION),
+        "language_coverage": (language_coverage, LANGUAGE_COVERAGE),
+        "sub_part_totals": (sub_part_totals, SUB_PART_TOTALS),
     }
     return named

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
-from inkwell.operators import parsing
+from inkwell.operators import parsing, records
 from inkwell.operators.rechunk import rechunk
 from inkwell.sources.tables import table
 
@@ -125,6 +125,21 @@ def windows(spark: SparkSession, d: str) -> DataFrame:
     return rechunk(table(spark, d, "documents"), "doc_id", "text", "lang").withColumnRenamed("key", "doc_id")
 
 
+def record_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of all legacy records."""
+    return records.record_chunks(table(spark, d, "legacy_records"), table(spark, d, "source_documents"))
+
+
+def rejected_records(spark: SparkSession, d: str) -> DataFrame:
+    return records.rejected(table(spark, d, "legacy_records"))
+
+
+_BLANK = "regexp_matches({}, '^[\\s\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{3000}}]*$')"
+REJECTED_RECORDS = f"""
+SELECT * FROM (SELECT record_id, CASE WHEN legacy_chunk_id IS NULL OR {_BLANK.format('legacy_chunk_id')} THEN 'no_chunk_id' WHEN content IS NULL OR {_BLANK.format('content')} THEN 'no_content' END AS reason FROM legacy_records) WHERE reason IS NOT NULL
+"""
+
+
 def query_map() -> dict:
     return {
         "token_estimates": (token_estimates, TOKEN_ESTIMATES),
@@ -137,4 +152,6 @@ def query_map() -> dict:
         "numbering_gaps": (numbering_gaps, NUMBERING_GAPS),
         "sub_parts": (sub_parts, SUB_PARTS),
         "windows": (windows, None),
+        "record_chunks": (record_chunks, None),
+        "rejected_records": (rejected_records, REJECTED_RECORDS),
     }
