@@ -415,6 +415,10 @@ def marked_lines(f: Findings) -> DataFrame:
     return frames[0].unionByName(frames[1]).unionByName(frames[2]).distinct()
 
 
+_ITEM = re.compile(r"[•*–—-]\s|\(?[a-zA-Z\d০-৯०-९]{1,3}[.)]\s|[\d০-৯०-९]+(?:\.[\d০-৯०-৯]+)+\s|[A-E]\s")
+_ROW_OF_VALUES = re.compile(r"\S\s{3,}\d+(?:[.,]\d+)?\s*$|\t")
+
+
 def _rebuild(text: str, gone: set[int], joins: list[tuple[int, int, str, bool]], fixes: dict[int, list[tuple[str, str]]]) -> str:
     """The text as paragraphs, without furniture, with broken words joined and misread words replaced."""
     lines = text.split("\n")
@@ -429,19 +433,23 @@ def _rebuild(text: str, gone: set[int], joins: list[tuple[int, int, str, bool]],
         else:
             lines[line_no - 1] = line.rstrip().rstrip(HYPHENS)
             glued.add(line_no)
+    kept = [(i, re.sub(r"[ \t]{2,}", " ", x.strip()), bool(_ROW_OF_VALUES.search(x))) for i, x in enumerate(lines, 1) if i not in gone]
+    lengths = sorted(len(x) for _, x, _ in kept if x)
+    width = lengths[int(0.8 * (len(lengths) - 1))] if lengths else 0
     paragraphs: list[str] = []
-    carry, tight = "", False
-    for i, line in enumerate(lines, 1):
-        if i in gone:
-            continue
-        bare = re.sub(r"[ \t]{2,}", " ", line.strip())
-        starts = bool(re.match(r"[•*–—-]\s|\(?[a-zA-Z\d০-৯०-९]{1,3}[.)]\s|[\d০-৯०-९]+(?:\.[\d০-৯०-৯]+)+\s|[A-E]\s", bare))
-        if (not bare or starts) and not tight:
+    carry, tight, ended = "", False, False
+    for k, (i, bare, row) in enumerate(kept):
+        if (not bare or row or ended or _ITEM.match(bare)) and not tight:
             paragraphs.append(carry)
             carry = bare
         else:
             carry = carry + ("" if tight or not carry else " ") + bare
         tight = i in glued
+        # a line that left room for the next word was ended by its author: a heading, a row of values, the end of a paragraph
+        after = kept[k + 1][1] if k + 1 < len(kept) else ""
+        room = len(bare) + 1 + len(after.split(" ")[0]) <= width
+        starts = after[:1].isupper() or after[:1].isdigit() or bool(_INDIC.match(after[:1]))
+        ended = row or (room and (starts or bool(_STOP.search(bare))))
     paragraphs.append(carry)
     out = "\n\n".join(p for p in paragraphs if p)
     for wrong, right in {f for per_line in fixes.values() for f in per_line}:
