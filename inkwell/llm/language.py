@@ -29,11 +29,13 @@ _WORD = re.compile("[^\\W\\d_ऀ-৿]{2,}|[ऀ-ॣॱ-ॿ]{2,}|[ঀ-ৣৰ৾]{2
 _CUT = re.compile(
     "(?<=[.!?।॥])[\"”’»)\\]]*\\s+"  # after a sentence
     "|\\n\\s*\\n\\s*"  # between paragraphs
+    "|\\s*(?:[.…_]{3,}\\s*)+"  # at leaders and ruled space
     "|\\n(?=[ \\t]*(?:[•*·–—-]|\\(?[a-z\\d०-९০-৯]{1,3}[.)]|[\\d०-९০-৯]+(?:\\.[\\d०-९০-৯]+)*[ \\t]|[A-E][ .)]))"  # before a list item
 )
 _END = re.compile("(?<![.\\s])[.!?।॥][\"”’»)\\]]*\\s*$")
 _GRAM = 4
 MIN_SENTENCE_WORDS = 3
+MIN_KNOWN_SHARE = 0.6
 
 
 def clean(text: str) -> str:
@@ -121,8 +123,14 @@ class WordModel:
 
 
 def read_batch(texts: list[str | None], model: WordModel):
-    """For each text its sentences as (start, end, language, posterior, letters, whole)."""
-    marks, words, owners = [], [], []
+    """For each text its sentences as (start, end, language, posterior, letters, whole).
+
+    whole: the sentence is ended, has a few words, and most of them are known; a notice, a mirrored line or the end
+    of a sentence that the layout tore apart is no whole sentence.
+    """
+    marks: list[tuple] = []
+    words: list[str] = []
+    owners: list[int] = []
     for t, raw in enumerate(texts):
         if not raw:
             continue
@@ -138,11 +146,13 @@ def read_batch(texts: list[str | None], model: WordModel):
     out: list[list[tuple]] = [[] for _ in texts]
     if not marks:
         return out
-    total = np.add.reduceat(model.scores(model.ids(words)), np.array(owners), axis=0)
+    ids, starts = model.ids(words), np.array(owners)
+    total = np.add.reduceat(model.scores(ids), starts, axis=0)
+    known = np.add.reduceat((np.array(ids) < len(model.rows)).astype(float), starts) / np.diff([*owners, len(words)])
     best = total.argmax(1)
     post = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-    for (t, a, b, letters, whole), k, p in zip(marks, best, post):
-        out[t].append((a, b, LANGUAGES[k], float(p), letters, whole))
+    for (t, a, b, letters, whole), k, p, share in zip(marks, best, post, known):
+        out[t].append((a, b, LANGUAGES[k], float(p), letters, whole and share >= MIN_KNOWN_SHARE))
     return out
 
 

@@ -115,3 +115,9 @@ def test_junk_pages(spark):
     assert {r.doc_id for r in junk.junk_pages(df.unionByName(df)).collect()} == {2, 3, 4, 5, 6, 12}
     assert {r.doc_id for r in junk.judged_pages(df).collect()} == set(pages) - {13, 14, 15}
     assert junk.junk_pages(df.where("false")).count() == 0
+
+
+def test_notices_and_torn_lines_are_no_sentence(spark, model):
+    torn = "Les élèves confondent souvent la vitesse\nand zqwx leavv thys margyn\nblank ......\net la force pendant l'évaluation. " + FR
+    got = language.label_texts(spark.createDataFrame([(1, torn, "fr"), (2, "zqwx blarg thys margyn only. " + FR, "fr")], "k int, t string, l string"), "k", "t", "l", model).collect()
+    assert all(r.whole == ["fr"] and r.main == "fr" for r in got)
