@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.session import staged
+from inkwell.session import small_enough, staged
 
 FILTER_BITS = 64
 
@@ -118,20 +118,75 @@ def _index_rows(rotations: np.ndarray, width: int, pieces: int, dims: int):
     return run
 
 
-def similar_pairs(units: DataFrame, n: int, min_cosine: float, dims: int = 128, sample: int = 5_000, spread: int = 20) -> DataFrame:
-    """sa, sb: classes of vectors that share a bucket and differ in at most `spread` of 64 other bits (sa < sb)."""
+def hot_buckets(units: DataFrame, index, n: int, most: int, sample: int = 50_000) -> DataFrame | None:
+    """bucket, blocks: buckets that hold well over `most` different vectors, and into how many blocks they are cut; None without any.
+
+    Sizes are estimated on about `sample` vectors, taken by a hash of their direction. This only decides by which of two
+    ways a bucket's pairs are found, never whether they are.
+    """
+    step = max(1, n // sample)
+    rows = units.where(F.pmod(F.xxhash64("same"), F.lit(step)) == 0).select("same", "unit").mapInArrow(index, "bucket long, same long, half long")
+    sizes = rows.groupBy("bucket", "same").count().groupBy("bucket").agg((F.count("*") * step).alias("n"), F.count("*").alias("seen"))
+    hot = sizes.where((F.col("n") > most) & (F.col("seen") >= 10)).select("bucket", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
+    hot = staged(hot, "hot")
+    return None if hot.isEmpty() else hot
+
+
+def _block_pairs(rows: DataFrame, hot: DataFrame, units: DataFrame, min_cosine: float, k: int, dims: int) -> DataFrame:
+    """sa, sb: in hot buckets, each vector's k most similar of every block, found exactly by blocks of bounded size.
+
+    A vector goes to each pair of blocks its own is part of; a task sees two blocks and emits k rows a vector, not all pairs.
+    """
+    vectors = units.select("same", "unit").dropDuplicates(["same"])
+    mine = rows.join(F.broadcast(hot) if small_enough(hot, 200_000) else hot, "bucket").withColumn("block", F.pmod(F.hash("same"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    spread = mine.select("bucket", "same", "block", other)
+    spread = spread.select("bucket", "same", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).join(vectors, "same")
+
+    def best(key, table):
+        same = table.column("same").to_numpy()
+        block = table.column("block").to_numpy()
+        x = np.asarray(table.column("unit").combine_chunks().flatten(), np.float64).reshape(len(same), dims)
+        lo, hi = key[1].as_py(), key[2].as_py()
+        found: set[tuple[int, int]] = set()
+        for a, b in ((lo, hi),) if lo == hi else ((lo, hi), (hi, lo)):
+            rows_a, rows_b = np.flatnonzero(block == a), np.flatnonzero(block == b)
+            cos = x[rows_a] @ x[rows_b].T
+            cos[same[rows_a][:, None] == same[rows_b][None, :]] = -2
+            top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+            for r, cols in enumerate(top):
+                for c in cols[cos[r, cols] >= min_cosine - 1e-5]:
+                    p, q = int(same[rows_a[r]]), int(same[rows_b[c]])
+                    found.add((min(p, q), max(p, q)))
+        return pa.table({"sa": pa.array([p for p, _ in found], pa.int64()), "sb": pa.array([q for _, q in found], pa.int64())})
+
+    return spread.groupBy("bucket", "lo", "hi").applyInArrow(best, "sa long, sb long")
+
+
+def similar_pairs(
+    units: DataFrame, n: int, min_cosine: float, dims: int = 128, sample: int = 5_000, spread: int = 20, k: int = 5, most: int = 2_000
+) -> DataFrame:
+    """sa, sb: classes of vectors that share a bucket and differ in at most `spread` of 64 other bits (sa < sb).
+
+    Buckets with well over `most` vectors are worked through in blocks, where only each vector's k most similar are kept.
+    """
     width, pieces = code_shape(n)
     rotations = learn_rotations(units, -(-max(pieces * width, 2 * FILTER_BITS) // dims), dims, sample)
-    rows = units.select("same", "unit").mapInArrow(_index_rows(rotations, width, pieces, dims), "bucket long, same long, half long")
+    index = _index_rows(rotations, width, pieces, dims)
+    hot = hot_buckets(units, index, n, most)
+    rows = units.select("same", "unit").mapInArrow(index, "bucket long, same long, half long")
     rows = rows.repartition("bucket").dropDuplicates(["bucket", "same"])
-    left = rows.select("bucket", F.col("same").alias("sa"), F.col("half").alias("ha"))
-    right = rows.select("bucket", F.col("same").alias("sb"), F.col("half").alias("hb"))
-    met = left.join(right, "bucket").where(f"sa < sb and bit_count(ha ^ hb) <= {spread}")
-    return met.select("sa", "sb").distinct()
+    usual = rows if hot is None else rows.join(F.broadcast(hot) if small_enough(hot, 200_000) else hot, "bucket", "left_anti")
+    left = usual.select("bucket", F.col("same").alias("sa"), F.col("half").alias("ha"))
+    right = usual.select("bucket", F.col("same").alias("sb"), F.col("half").alias("hb"))
+    met = left.join(right, "bucket").where(f"sa < sb and bit_count(ha ^ hb) <= {spread}").select("sa", "sb")
+    if hot is not None:
+        met = met.unionByName(_block_pairs(rows, hot, units, min_cosine, k, dims))
+    return met.distinct()
 
 
 def nearest_vectors(
-    df: DataFrame, key: str = "vec_id", vector: str = "vector", *, k: int = 5, min_cosine: float = 0.80, dims: int = 128, sample: int = 5_000
+    df: DataFrame, key: str = "vec_id", vector: str = "vector", *, k: int = 5, min_cosine: float = 0.80, dims: int = 128, sample: int = 5_000, most: int = 2_000
 ) -> DataFrame:
     """vec_id, other_id, cosine, rank: for every usable vector the k most similar others of at least min_cosine.
 
@@ -145,7 +200,7 @@ def nearest_vectors(
     classes = units.groupBy("same").agg(F.min("vec_id").alias("rep"), F.max("vec_id").alias("last"))
     classes = staged(classes, "classes")
     heads = classes.select("same", "rep")
-    met = similar_pairs(units, classes.count(), min_cosine, dims, sample)
+    met = similar_pairs(units, classes.count(), min_cosine, dims, sample, k=k, most=most)
     ids = met.join(heads.toDF("sa", "a"), "sa").join(heads.toDF("sb", "b"), "sb").select("a", "b")
     va = units.select(F.col("vec_id").alias("a"), F.col("unit").alias("ua"))
     vb = units.select(F.col("vec_id").alias("b"), F.col("unit").alias("ub"))

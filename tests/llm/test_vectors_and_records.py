@@ -43,6 +43,27 @@ def test_nearest_vectors_equal_brute_force_and_leave_out_the_unusable(spark):
     assert neighbours.nearest_vectors(df.where("vec_id >= 900"), dims=16).count() == 0
 
 
+def test_a_hot_cluster_goes_through_blocks(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal(16)
+    near = [(i, (centre + 0.15 * rng.standard_normal(16)).tolist()) for i in range(700)]
+    rest = [(1000 + i, rng.standard_normal(16).tolist()) for i in range(300)]
+    df = spark.createDataFrame(near + rest, "vec_id long, vector array<double>")
+    units = neighbours.usable_vectors(df, "vec_id", "vector", 16)
+    width, pieces = neighbours.code_shape(1000)
+    rot = neighbours.learn_rotations(units, -(-max(pieces * width, 128) // 16), 16)
+    assert neighbours.hot_buckets(units, neighbours._index_rows(rot, width, pieces, 16), 1000, 100) is not None
+    got = {(r.vec_id, r.other_id) for r in neighbours.nearest_vectors(df, dims=16, k=5, most=100).where("vec_id < 1000").collect()}
+    x = np.array([v for _, v in near])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = x @ x.T
+    np.fill_diagonal(cos, -2)
+    want = {(i, int(j)) for i in range(700) for j in np.argsort(-cos[i])[:5] if cos[i, j] >= 0.8}
+    assert len(want & got) >= 0.95 * len(want) and len(want) == 3500
+    met = neighbours.similar_pairs(units, 1000, 0.8, 16, k=5, most=100).count()
+    assert met < 700 * 699 / 4  # far from all pairs of the cluster
+
+
 def test_code_shape_holds_recall_as_it_grows():
     for n in (10, 10**4, 10**6, 10**8):
         width, pieces = neighbours.code_shape(n)
