@@ -57,10 +57,10 @@ def bengali_share(c: Column) -> Column:
 
 
 def token_estimate(c: Column, language: Column) -> Column:
-    """White-space words, or a third of the characters where the text is Bengali by script or label; at least 1 unless empty."""
+    """White-space words, or a third of the characters where the text is Bengali by script or label; at least 1 unless empty, null for null."""
     by_length = F.greatest(F.lit(1), F.floor(F.length(c) / 3).cast("int"))
     by_words = F.greatest(F.lit(1), word_count(c))
-    return F.when(c == "", 0).when((bengali_share(c) > 0.3) | F.coalesce(language == "bn", F.lit(False)), by_length).otherwise(by_words)
+    return F.when(c.isNull(), None).when(c == "", 0).when((bengali_share(c) > 0.3) | F.coalesce(language == "bn", F.lit(False)), by_length).otherwise(by_words)
 
 
 def script_language(c: Column, declared: Column) -> Column:

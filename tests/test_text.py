@@ -32,7 +32,7 @@ def test_token_estimate_and_language(spark):
     df = spark.createDataFrame([("", None), ("one two", "en"), ("one two three", "bn"), ("বাংলা লেখা", None), (None, "en"), (" ", "fr")], "t string, l string")
     rows = df.select(X.token_estimate(F.col("t"), F.col("l")).alias("n"), X.script_language(F.col("t"), F.col("l")).alias("g")).collect()
     assert [r.n for r in rows] == [0, 2, 4, 3, None, 1]
-    assert [r.g for r in rows] == ["unknown", "en", "bn", "bn", "unknown", "unknown"]
+    assert [r.g for r in rows] == ["unknown", "en", "bn", "bn", "en", "unknown"]
 
 
 def test_cleaning_stages(spark):
