@@ -1,9 +1,10 @@
 """Filling containers of fixed capacity (problem 7).
 
 The texts are reduced to a histogram of sizes, which has at most as many rows as the capacity has tokens
-whatever the number of texts. The configuration linear program over it is solved by multiplicative weights: in each
-round a bounded knapsack, priced with the present weights, gives the best pattern of sizes, and the sizes it covers lose
-weight. Patterns are rounded down to whole uses; what is left is filled container by container, each around the largest
+whatever the number of texts. The configuration linear program over it is solved by multiplicative weights to a stated
+duality gap: knapsacks priced with the dual give patterns of sizes, a size covered short of its count gains price, one
+covered beyond it loses price, and each pattern's use is multiplied by the worth of what it holds. The uses are rounded
+to whole ones as far as items are there; what is left is filled container by container, each around the largest
 item left, by a knapsack in which an item is worth its size.
 Spark then hands the patterns out: a text's rank among those of its size tells its container.
 """
@@ -18,35 +19,44 @@ from pyspark.sql import functions as F
 from inkwell.operators.ranks import spread_ranks
 from inkwell.session import staged
 
+GAP = 0.02  # the configuration LP is solved to within this share of its optimum
+GROUP = 16  # sizes that a knapsack which makes patterns sees at once, so that patterns don't all hold the same few sizes
+KEPT = (1.0, 0.9, 0.75, 0.5, 0.25, 0.0)
 
-def best_pattern(sizes: np.ndarray, limits: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
-    """Bounded knapsack by dynamic programming: how many of each size make the most of `worth` within the capacity."""
+
+def price_patterns(sizes: np.ndarray, limits: np.ndarray, worth: np.ndarray, capacity: int, among: np.ndarray, build: bool = True) -> tuple[float, list[tuple]]:
+    """Bounded knapsack by dynamic programming over the sizes `among`: the worth of the best pattern, and a best pattern around one item of each.
+
+    A pattern is a tuple of (index of the size, how many). One table serves all sizes: around size i stands what the table
+    holds for the room its item leaves. Without build only the worth is found.
+    """
     parts: list[tuple[int, int]] = []
-    for i in np.flatnonzero((limits > 0) & (worth > 0)):
+    for i in among[limits[among] > 0]:
         left, k = int(min(limits[i], capacity // sizes[i])), 1
         while left > 0:
-            take = min(k, left)
-            parts.append((i, take))
-            left -= take
+            parts.append((int(i), min(k, left)))
+            left -= k
             k *= 2
     value = np.zeros(capacity + 1)
-    taken = np.zeros((len(parts), capacity + 1), bool)
+    taken = np.zeros((len(parts) if build else 1, capacity + 1), bool)
     for n, (i, take) in enumerate(parts):
         w = int(sizes[i]) * take
-        if w > capacity:
-            continue
+        n = n if build else 0
         better = value[: capacity + 1 - w] + worth[i] * take
-        won = better > value[w:] + 1e-15
+        won = better > value[w:] + 1e-12
         taken[n, w:] = won
         value[w:] = np.where(won, better, value[w:])
-    pattern = np.zeros(len(sizes), np.int64)
-    room = int(value.argmax())
+    if not build:
+        return float(value[capacity]), []
+    around = among[limits[among] > 0]
+    room = capacity - sizes[around].astype(np.int64)
+    held: list[dict[int, int]] = [{int(i): 1} for i in around]
     for n in range(len(parts) - 1, -1, -1):
-        if taken[n, room]:
-            i, take = parts[n]
-            pattern[i] += take
-            room -= int(sizes[i]) * take
-    return pattern
+        i, take = parts[n]
+        for r in np.flatnonzero(taken[n, room]):
+            held[r][i] = min(held[r].get(i, 0) + take, int(limits[i]))
+            room[r] -= int(sizes[i]) * take
+    return float(value[capacity]), [tuple(sorted(h.items())) for h in held]
 
 
 def fullest_pattern(sizes: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
@@ -77,31 +87,80 @@ def fullest_pattern(sizes: np.ndarray, left: np.ndarray, capacity: int) -> np.nd
     return pattern
 
 
-def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 60, rate: float = 0.5) -> list[tuple[np.ndarray, int]]:
-    """(pattern, uses) that together hold counts[i] items of sizes[i] (ascending), each pattern within the capacity."""
-    left = counts.astype(np.int64).copy()
-    weight = np.ones(len(sizes))
-    plan: list[tuple[np.ndarray, int]] = []
-    seen: dict[bytes, list] = {}
-    covered = np.zeros(len(sizes))
-    for _ in range(rounds if len(sizes) else 0):
-        price = weight * sizes / counts  # weight of a size, shared out to its items, the larger items first
-        pattern = best_pattern(sizes, counts, price / price.sum(), capacity)
-        if not pattern.any():
+class Fraction:
+    """Fractional solution of the configuration LP: patterns, uses of each, and the bounds between which its optimum lies."""
+
+    def __init__(self, patterns: list[tuple], uses: np.ndarray, primal: float, dual: float):
+        self.patterns, self.uses, self.primal, self.dual, self.costs = patterns, uses, primal, dual, np.ones(len(patterns))
+
+    @property
+    def gap(self) -> float:
+        return self.primal / self.dual - 1 if self.dual > 0 else 0.0
+
+
+def fractional(
+    sizes: np.ndarray, counts: np.ndarray, capacity: int, pool: list[tuple], rounds: int, *, gap: float = GAP, steps: int = 300, seed: int = 5
+) -> Fraction:
+    """The configuration LP (fewest containers that cover every count) by multiplicative weights, until its duality gap is at most `gap`.
+
+    The price of a size starts as its share of the capacity, which is a dual solution, and is multiplied round by round by
+    a power of what is needed of it over what is covered. In each round knapsacks with these prices add a pattern around
+    every size, so all sizes are covered; then `steps` times each pattern's use is multiplied by the worth of its items, each
+    counted by needed over covered. The uses, with containers of one size for what is short, bound the optimum from above; the prices, scaled
+    so that the dearest pattern costs one container, bound it from below.
+    """
+    rng = np.random.default_rng(seed)
+    live, need = counts > 0, counts.astype(float)
+    price = sizes / capacity
+    ratio = np.ones(len(sizes))
+    alone = np.minimum(capacity // sizes, np.maximum(counts, 1))
+    seen = dict.fromkeys(pool)
+    uses, best, low = np.zeros(0), Fraction([], np.zeros(0), np.inf, 0.0), 0.0
+    for n in range(rounds):
+        for dual in (price,) if n == 0 else (price, price * ratio):
+            dual = dual / price_patterns(sizes, counts, dual, capacity, np.arange(len(sizes)), build=False)[0]
+            if float((dual * need).sum()) > low * (1 + 1e-12):
+                low, held = float((dual * need).sum()), dual
+        if best.primal <= (1 + gap) * low:
             break
-        share = pattern / counts
-        step = 1.0 / share.max()
-        got = seen.setdefault(pattern.tobytes(), [pattern, 0.0])
-        got[1] += step
-        covered += step * share
-        weight *= np.exp(-rate * step * share)
-    scale = covered.max() if covered.any() else 1.0
-    for pattern, x in sorted(seen.values(), key=lambda p: (-p[1], p[0].tobytes())):
-        used = pattern > 0
-        times = int(min(np.floor(x / scale + 1e-9), (left[used] // pattern[used]).min()))
-        if times > 0:
-            plan.append((pattern, times))
-            left -= pattern * times
+        for among in np.array_split(rng.permutation(np.flatnonzero(live)), max(1, int(live.sum()) // GROUP)):
+            seen.update(dict.fromkeys(price_patterns(sizes, counts, price * np.clip(ratio, 0.1, 10), capacity, among)[1]))
+        patterns = list(seen)
+        ends = np.cumsum([0, *map(len, patterns)])
+        flat = np.array([e for p in patterns for e in p], np.int64)
+        row, many, col = flat[:, 0], flat[:, 1].astype(float), np.repeat(np.arange(len(patterns)), np.diff(ends))
+        uses = np.concatenate([uses, np.full(len(patterns) - len(uses), uses.mean() if len(uses) else 1.0)])
+        for _ in range(steps):
+            ratio = need / np.maximum(np.bincount(row, many * uses[col], len(sizes)), 1e-12)
+            uses = uses * np.add.reduceat((price * ratio)[row] * many, ends[:-1])
+        covered = np.bincount(row, many * uses[col], len(sizes))
+        ratio = need / np.maximum(covered, 1e-12)
+        primal = float(uses.sum() + (np.maximum(need - covered, 0) / alone).sum())
+        if primal < best.primal:
+            best = Fraction(patterns, uses.copy(), primal, low)
+        price = price * np.clip(ratio, 0.2, 5) ** 0.2
+    best.dual, best.costs = low, np.array([sum(held[i] * a for i, a in p) for p in best.patterns])
+    return best
+
+
+def rounded(found: Fraction, left: np.ndarray) -> list[tuple[tuple, int]]:
+    """Whole uses of the patterns, largest uses first: rounded down, then one more by the size of the fraction, as far as items are left (left is reduced)."""
+    plan: list[tuple[tuple, int]] = []
+    whole = np.floor(found.uses + 1e-9).astype(np.int64)
+    for times, order in ((whole, np.argsort(-found.uses, kind="stable")), (np.ones_like(whole), np.argsort(-(found.uses - whole), kind="stable"))):
+        for n in order[found.costs[order] > 1 - 1e-9]:
+            pattern = found.patterns[n]
+            k = min(int(times[n]), *(int(left[i]) // a for i, a in pattern))
+            if k > 0:
+                plan.append((pattern, k))
+                for i, a in pattern:
+                    left[i] -= a * k
+    return plan
+
+
+def fill_greedily(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Container by container, each around the largest item left (left is used up)."""
+    plan = []
     while left.any():
         pattern = fullest_pattern(sizes, left, capacity)
         used = pattern > 0
@@ -111,6 +170,49 @@ def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 60
     return plan
 
 
+def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 40, facts: dict | None = None) -> list[tuple[np.ndarray, int]]:
+    """(pattern, uses) that together hold counts[i] items of sizes[i] (ascending), each pattern within the capacity.
+
+    The LP is solved and rounded, again for the items its rounding leaves, until rounding places little. The greedy fill takes
+    the rest; where the rounded patterns used up the small items it needs, it gets back the last of them: of several shares
+    of the rounded plan that one is kept which needs the fewest containers, the largest of equals. facts, if given,
+    receives containers, by_lp (those that hold a rounded pattern), the containers by share kept, primal, dual and gap.
+    """
+    left = counts.astype(np.int64).copy()
+    first: Fraction | None = None
+    pool: list[tuple] = []
+    placed: list[tuple[tuple, int]] = []
+    while rounds and left.any():
+        found = fractional(sizes, left, capacity, pool, rounds if first is None else min(rounds, 12))
+        first = first or found
+        before = int((left * sizes).sum())
+        placed += rounded(found, left)
+        if int((left * sizes).sum()) > 0.9 * before:
+            break
+        pool = [p for p in found.patterns if all(left[i] >= a for i, a in p)]
+    ends = np.cumsum([k for _, k in placed]) if placed else np.zeros(0, np.int64)
+    best: list[tuple[np.ndarray, int]] | None = None
+    tried: dict[float, int] = {}
+    for share in KEPT if placed else (0.0,):
+        kept = int(np.searchsorted(ends, share * ends[-1] + 0.5)) if placed else 0
+        plan = []
+        left = counts.astype(np.int64).copy()
+        for pattern, times in placed[:kept]:
+            dense = np.zeros(len(sizes), np.int64)
+            dense[[i for i, _ in pattern]] = [a for _, a in pattern]
+            plan.append((dense, times))
+            left -= dense * times
+        plan += fill_greedily(sizes, left, capacity)
+        tried[share] = sum(k for _, k in plan)
+        if best is None or tried[share] < sum(k for _, k in best):
+            best, by_lp = plan, sum(k for _, k in placed[:kept])
+    if facts is not None:
+        facts.update(containers=sum(k for _, k in best), by_lp=by_lp, tried=tried)
+        if first:
+            facts.update(primal=first.primal, dual=first.dual, gap=first.gap)
+    return best
+
+
 def pack(df: DataFrame, key: str, tokens: str, capacity: int, *, seed: int = 5) -> DataFrame:
     """container, key, piece, start, tokens: every text in containers of at most `capacity` tokens.
 

@@ -62,6 +62,21 @@ def test_plan_holds_every_item_once(items):
     assert sum(k for _, k in plan) <= 1.5 * -(-sum(items) // 64) + 1
 
 
+def test_configuration_lp_reaches_its_gap_and_places_containers():
+    rng = np.random.default_rng(4)
+    sizes, counts = np.unique(np.clip(rng.lognormal(4, 0.9, 4000).astype(int), 1, 256), return_counts=True)
+    facts = {}
+    plan = packing.solve(sizes, counts, 256, facts=facts)
+    assert (sum(p * k for p, k in plan) == counts).all() and all((p * sizes).sum() <= 256 for p, _ in plan)
+    least = -(-int((sizes * counts).sum()) // 256)
+    assert facts["dual"] >= 0.99 * least and facts["gap"] <= packing.GAP
+    assert facts["by_lp"] >= 0.25 * facts["containers"] and facts["containers"] <= facts["tried"][0.0]
+    # full containers (30, 30, 40) use up the 30s, two 40s fill only 80: 75 at the dual prices 0.25 and 0.5, not the volume of 70
+    facts = {}
+    packing.solve(np.array([30, 40]), np.array([100, 100]), 100, facts=facts)
+    assert facts["containers"] == 75 and facts["gap"] <= packing.GAP
+
+
 def test_pack(spark):
     rnd = random.Random(9)
     rows = [(i, rnd.choice([3, 7, 11, 64, 65, 128, 130, 200])) for i in range(500)] + [(1000, 0), (1001, None), (None, 5), (1002, -3)]
