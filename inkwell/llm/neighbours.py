@@ -4,11 +4,11 @@ Rotations learned on a bounded sample (iterative quantisation of the principal a
 into a long binary code. The code is cut into m substrings and each is indexed. By the pigeonhole principle
 two codes that differ in fewer than m bits agree in at least one substring, so looking up every substring as
 it stands meets every pair within a Hamming distance of m - 1, and in practice nearly all pairs far beyond
-it. What is met is filtered by the Hamming distance of other 64 bits of the code, then reranked on the floats.
+it. What is met is filtered by the Hamming distance of other 128 bits of the code, then reranked on the floats.
 
-The substrings get longer with the number of vectors (about log2 n bits, so a bucket holds a few vectors at
-any size) and m grows with them, so that a pair whose codes differ in `design` of their bits is met with
-probability `recall`.
+The substrings get longer with the number of vectors (log2 n bits less a few, so a bucket holds about as many
+vectors at any size) and m grows with them, so that a pair whose codes differ in `design` of their bits is met with
+probability `recall`. The design is the share of bits in which directions of exactly min_cosine differ.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from inkwell.session import small_enough, staged
 
-FILTER_BITS = 64
+FILTER_BITS = 128
 
 
 def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,14 +89,25 @@ def learn_rotations(units: DataFrame, count: int, dims: int = 128, sample: int =
     return np.hstack(out)
 
 
+def differing_share(cosine: float) -> float:
+    """Share of the bits in which the codes of two vectors of this cosine differ: the angle between them over pi."""
+    return math.acos(min(1.0, max(-1.0, cosine))) / math.pi
+
+
 def code_shape(n: int, design: float = 0.12, recall: float = 0.99) -> tuple[int, int]:
-    """Bits per substring and number of substrings for n vectors."""
-    width = min(28, max(8, math.ceil(math.log2(max(n, 2))) - 2))
+    """Bits per substring and number of substrings for n vectors; for a design of many differing bits the substrings are shorter and the buckets fuller."""
+    less = 2 if design <= 0.12 else 7
+    width = min(28, max(8, math.ceil(math.log2(max(n, 2))) - less))
     return width, math.ceil(math.log(1 - recall) / math.log(1 - (1 - design) ** width))
 
 
+def filter_spread(design: float) -> int:
+    """Differing bits allowed of the FILTER_BITS: two standard deviations above what the design expects."""
+    return math.ceil(FILTER_BITS * design + 2 * math.sqrt(FILTER_BITS * design * (1 - design)))
+
+
 def _index_rows(rotations: np.ndarray, width: int, pieces: int, dims: int):
-    """For each different vector one index row per substring: bucket, the vector's class and 64 other bits of its code."""
+    """For each different vector one index row per substring: bucket, the vector's class and 128 other bits of its code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(width, dtype=np.int64)
@@ -110,9 +121,9 @@ def _index_rows(rotations: np.ndarray, width: int, pieces: int, dims: int):
             for piece in range(pieces):
                 key = bits[:, piece * width : (piece + 1) * width] @ weights
                 far = (np.arange(FILTER_BITS) + piece * width + total // 2) % total
-                other = np.ascontiguousarray(np.packbits(bits[:, far], axis=1, bitorder="little")).view("<i8")[:, 0]
+                other = np.ascontiguousarray(np.packbits(bits[:, far], axis=1, bitorder="little")).view("<i8")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key | (piece << width)), pa.array(same), pa.array(other)], names=["bucket", "same", "half"]
+                    [pa.array(key | (piece << width)), pa.array(same), pa.array(other[:, 0]), pa.array(other[:, 1])], names=["bucket", "same", "half", "rest"]
                 )
 
     return run
@@ -124,8 +135,8 @@ def hot_buckets(units: DataFrame, index, n: int, most: int, sample: int = 50_000
     Sizes are estimated on about `sample` vectors, taken by a hash of their direction. This only decides by which of two
     ways a bucket's pairs are found, never whether they are.
     """
-    step = max(1, n // sample)
-    rows = units.where(F.pmod(F.xxhash64("same"), F.lit(step)) == 0).select("same", "unit").mapInArrow(index, "bucket long, same long, half long")
+    step = max(1, -(-n // sample))
+    rows = units.where(F.pmod(F.xxhash64("same"), F.lit(step)) == 0).select("same", "unit").mapInArrow(index, "bucket long, same long, half long, rest long")
     sizes = rows.groupBy("bucket", "same").count().groupBy("bucket").agg((F.count("*") * step).alias("n"), F.count("*").alias("seen"))
     hot = sizes.where((F.col("n") > most) & (F.col("seen") >= 10)).select("bucket", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
     hot = staged(hot, "hot")
@@ -164,22 +175,25 @@ def _block_pairs(rows: DataFrame, hot: DataFrame, units: DataFrame, min_cosine:
 
 
 def similar_pairs(
-    units: DataFrame, n: int, min_cosine: float, dims: int = 128, sample: int = 5_000, spread: int = 20, k: int = 5, most: int = 2_000
+    units: DataFrame, n: int, min_cosine: float, dims: int = 128, sample: int = 5_000, spread: int | None = None, k: int = 5, most: int = 2_000
 ) -> DataFrame:
-    """sa, sb: classes of vectors that share a bucket and differ in at most `spread` of 64 other bits (sa < sb).
+    """sa, sb: classes of vectors that share a bucket and differ in at most `spread` of 128 other bits (sa < sb).
 
+    The index is made for pairs of min_cosine, and so is spread if it isn't given.
     Buckets with well over `most` vectors are worked through in blocks, where only each vector's k most similar are kept.
     """
-    width, pieces = code_shape(n)
+    design = differing_share(min_cosine)
+    width, pieces = code_shape(n, design)
+    spread = filter_spread(design) if spread is None else spread
     rotations = learn_rotations(units, -(-max(pieces * width, 2 * FILTER_BITS) // dims), dims, sample)
     index = _index_rows(rotations, width, pieces, dims)
     hot = hot_buckets(units, index, n, most)
-    rows = units.select("same", "unit").mapInArrow(index, "bucket long, same long, half long")
+    rows = units.select("same", "unit").mapInArrow(index, "bucket long, same long, half long, rest long")
     rows = rows.repartition("bucket").dropDuplicates(["bucket", "same"])
     usual = rows if hot is None else rows.join(F.broadcast(hot) if small_enough(hot, 200_000) else hot, "bucket", "left_anti")
-    left = usual.select("bucket", F.col("same").alias("sa"), F.col("half").alias("ha"))
-    right = usual.select("bucket", F.col("same").alias("sb"), F.col("half").alias("hb"))
-    met = left.join(right, "bucket").where(f"sa < sb and bit_count(ha ^ hb) <= {spread}").select("sa", "sb")
+    left = usual.select("bucket", F.col("same").alias("sa"), F.col("half").alias("ha"), F.col("rest").alias("ra"))
+    right = usual.select("bucket", F.col("same").alias("sb"), F.col("half").alias("hb"), F.col("rest").alias("rb"))
+    met = left.join(right, "bucket").where(f"sa < sb and bit_count(ha ^ hb) + bit_count(ra ^ rb) <= {spread}").select("sa", "sb")
     if hot is not None:
         met = met.unionByName(_block_pairs(rows, hot, units, min_cosine, k, dims))
     return met.distinct()

@@ -70,6 +70,21 @@ def test_code_shape_holds_recall_as_it_grows():
         assert 1 - (1 - 0.88**width) ** pieces >= 0.99 and 8 <= width <= 28
 
 
+def test_pairs_at_the_threshold_are_met(spark):
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(rng.standard_normal((3000, 128)))
+    away = rng.standard_normal((600, 128))
+    away = unit(away - (away * base[:600]).sum(1, keepdims=True) * base[:600])
+    cos = np.linspace(0.801, 0.86, 600)[:, None]
+    planted = cos * base[:600] + np.sqrt(1 - cos**2) * away
+    rows = [(i, v.tolist()) for i, v in enumerate(np.vstack([base, planted]))]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    got = {(r.vec_lo, r.vec_hi) for r in neighbours.neighbour_pairs(df).collect()}
+    low, high = ([(i, 3000 + i) in got for i in ids] for ids in (range(300), range(300, 600)))  # 0.80 to 0.83, 0.83 to 0.86
+    assert np.mean(low) >= 0.97 and np.mean(high) >= 0.99
+
+
 def _canon(s):
     return "".join(c for c in s.casefold() if not (c.isspace() or unicodedata.category(c)[0] in "PZ"))
 
