@@ -22,8 +22,10 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int
     """How many texts of each length to take so that their sum is as near below the budget as can be reached.
 
     A share of every length is taken first, then the longest that fit, until what is left is within the window;
-    the last part is fitted exactly by a bounded knapsack over the texts still there.
+    the last part is fitted exactly by a bounded knapsack over the texts still there. The window is at least as large as
+    the longest text, so that every text stays a choice.
     """
+    window = max(window, int(lengths[counts > 0].max(initial=0)))
     take = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
     if budget <= 0 or not total:

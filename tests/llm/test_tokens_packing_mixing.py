@@ -117,6 +117,12 @@ def test_budget_fit_beyond_the_window():
         assert (take <= counts).all() and int((take * sizes).sum()) == budget
 
 
+def test_budget_fit_takes_texts_longer_than_the_window():
+    for sizes, counts, budget, best in (([70_000], [3], 80_000, 70_000), ([1_000, 70_000, 90_001], [4, 3, 9], 163_001, 163_001), ([600_000, 700_000], [2, 2], 1_400_000, 1_400_000)):
+        take = mixing.fit_budget(np.array(sizes), np.array(counts), budget)
+        assert (take <= np.array(counts)).all() and int((take * np.array(sizes)).sum()) == best
+
+
 def test_mix(spark):
     rnd = random.Random(6)
     rows = [(i, rnd.choice(["big", "big", "big", "small"]), rnd.randint(1, 40)) for i in range(900)]
