@@ -1,14 +1,18 @@
 """Most similar vectors for every vector (problem 2), by multi-index hashing.
 
 Rotations learned on a bounded sample (iterative quantisation of the principal axes) turn each direction
-into a long binary code. The code is cut into m substrings and each is indexed. By the pigeonhole principle
-two codes that differ in fewer than m bits agree in at least one substring, so looking up every substring as
-it stands meets every pair within a Hamming distance of m - 1, and in practice nearly all pairs far beyond
-it. What is met is filtered by the Hamming distance of other 128 bits of the code, then reranked on the floats.
-
-The substrings get longer with the number of vectors (log2 n bits less a few, so a bucket holds about as many
-vectors at any size) and m grows with them, so that a pair whose codes differ in `design` of their bits is met with
-probability `recall`. The design is the share of bits in which directions of exactly min_cosine differ.
+into a long binary code. The code is cut into m substrings and each is indexed: a vector has one index row per substring,
+and vectors that agree in one come together in its bucket. There the tasks compare 128 other bits of the codes, buckets of
+many vectors by a second multi-index in which every substring is probed as it stands and with each one bit flipped;
+only pairs within the Hamming radius leave the task, and are then reranked on the floats.
+
+The substrings get longer with the number of vectors, so that a bucket holds about as many at any size, and m grows with
+them, so that a pair whose codes differ in `design` of their bits is met with probability `recall`. The design is the share
+of bits in which directions of exactly the cosine asked for differ. Buckets that are too large or too dense for that are
+worked through in blocks on the vectors themselves, where each vector keeps its k most similar.
+
+Vectors that have fewer than k neighbours of that cosine are far from everything; no Hamming radius below half of the
+bits holds their neighbours, so they are held against all vectors in blocks, exactly.
 """
 
 from __future__ import annotations
@@ -22,9 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkwell.operators.samples import hash_sample
 from inkwell.session import small_enough, staged
 
 FILTER_BITS = 128
+BUCKET = 4_096  # vectors that a bucket should hold
+HOT = 4 * BUCKET  # buckets above this are worked through in blocks
+SCAN = 3_072  # a bucket up to this size is compared as a whole, above it by probing
+DENSE = 24  # pairs a vector that leave a bucket; where there are more, each vector keeps its k most similar instead
+BLOCK = 12_288  # vectors of a block
 
 
 def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,9 +79,9 @@ def usable_vectors(df: DataFrame, key: str, vector: str, dims: int = 128) -> Dat
     return src.mapInArrow(run, "vec_id long, same long, unit array<float>")
 
 
-def learn_rotations(units: DataFrame, count: int, dims: int = 128, sample: int = 5_000, rounds: int = 15, seed: int = 7) -> np.ndarray:
-    """`count` orthogonal matrices, side by side, fitted to at most `sample` vectors taken by a seeded hash of their direction."""
-    rows = units.withColumn("h", F.xxhash64(F.lit(seed), "same")).select("h", "unit").orderBy("h").limit(sample).toPandas()["unit"]
+def learn_rotations(units: DataFrame, count: int, n: int, dims: int = 128, sample: int = 5_000, rounds: int = 15, seed: int = 7) -> np.ndarray:
+    """`count` orthogonal matrices, side by side, fitted to at most `sample` of about n vectors, taken by a seeded hash of their direction."""
+    rows = hash_sample(units.select("same", "unit"), F.xxhash64(F.lit(seed), "same"), sample, n).toPandas()["unit"]
     rng = np.random.default_rng(seed)
     starts = [np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(count)]
     if len(rows) < 2:
@@ -94,20 +104,22 @@ def differing_share(cosine: float) -> float:
     return math.acos(min(1.0, max(-1.0, cosine))) / math.pi
 
 
-def code_shape(n: int, design: float = 0.12, recall: float = 0.99) -> tuple[int, int]:
-    """Bits per substring and number of substrings for n vectors; for a design of many differing bits the substrings are shorter and the buckets fuller."""
-    less = 2 if design <= 0.12 else 7
-    width = min(28, max(8, math.ceil(math.log2(max(n, 2))) - less))
-    return width, math.ceil(math.log(1 - recall) / math.log(1 - (1 - design) ** width))
+def code_shape(n: int, design: float, recall: float = 0.99, bucket: int = BUCKET) -> tuple[int, int]:
+    """Bits per substring and number of substrings for n vectors."""
+    width = min(28, max(0, math.ceil(math.log2(max(n, 1) / bucket))))
+    return width, max(1, math.ceil(math.log(1 - recall) / math.log(1 - (1 - design) ** width))) if width else 1
 
 
 def filter_spread(design: float) -> int:
-    """Differing bits allowed of the FILTER_BITS: two standard deviations above what the design expects."""
-    return math.ceil(FILTER_BITS * design + 2 * math.sqrt(FILTER_BITS * design * (1 - design)))
+    """Differing bits allowed of the FILTER_BITS: two and a half standard deviations above what the design expects."""
+    return math.ceil(FILTER_BITS * design + 2.5 * math.sqrt(FILTER_BITS * design * (1 - design)))
+
+
+_INDEX = "bucket long, same long, half long, rest long"
 
 
 def _index_rows(rotations: np.ndarray, width: int, pieces: int, dims: int):
-    """For each different vector one index row per substring: bucket, the vector's class and 128 other bits of its code."""
+    """For each different vector of a batch one index row per substring: bucket, the vector's class and 128 other bits of its code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(width, dtype=np.int64)
@@ -117,11 +129,10 @@ def _index_rows(rotations: np.ndarray, width: int, pieces: int, dims: int):
                 continue
             x = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, dims)[first]
             bits = (x @ rotations > 0).astype(np.uint8)
-            total = bits.shape[1]
+            other = np.ascontiguousarray(np.packbits(bits[:, :FILTER_BITS], axis=1, bitorder="little")).view("<i8")
             for piece in range(pieces):
-                key = bits[:, piece * width : (piece + 1) * width] @ weights
-                far = (np.arange(FILTER_BITS) + piece * width + total // 2) % total
-                other = np.ascontiguousarray(np.packbits(bits[:, far], axis=1, bitorder="little")).view("<i8")
+                at = FILTER_BITS + piece * width
+                key = bits[:, at : at + width] @ weights if width else np.zeros(len(same), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key | (piece << width)), pa.array(same), pa.array(other[:, 0]), pa.array(other[:, 1])], names=["bucket", "same", "half", "rest"]
                 )
@@ -129,98 +140,201 @@ def _index_rows(rotations: np.ndarray, width: int, pieces: int, dims: int):
     return run
 
 
-def hot_buckets(units: DataFrame, index, n: int, most: int, sample: int = 50_000) -> DataFrame | None:
-    """bucket, blocks: buckets that hold well over `most` different vectors, and into how many blocks they are cut; None without any.
+def _probed(codes: np.ndarray, design: float, seed: int = 13) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows whose codes agree in one of m substrings but for at most one bit; a pair may come several times."""
+    n = len(codes)
+    width = max(4, round(math.log2(n)) - 3)
+    meet = (1 - design) ** width + width * design * (1 - design) ** (width - 1)
+    bits = np.unpackbits(np.ascontiguousarray(codes).view(np.uint8), axis=1, bitorder="little")
+    rng = np.random.default_rng(seed)
+    for _ in range(math.ceil(math.log(0.002) / math.log(1 - meet))):
+        key = bits[:, rng.choice(FILTER_BITS, width, replace=False)].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
+        order = np.argsort(key, kind="stable")
+        held = key[order]
+        for flip in (0, *(1 << np.arange(width))):
+            asked = order if not flip else order[held & flip == 0]  # a pair that differs in this bit is met from the side without it
+            lo = np.searchsorted(held, key[asked] ^ flip, "left") if flip else np.arange(n) + 1
+            hi = np.searchsorted(held, key[asked] ^ flip, "right")
+            many = np.maximum(hi - lo, 0)
+            ends = np.cumsum(many)
+            for a in range(0, n if len(asked) else 0, SCAN):
+                m = many[a : a + SCAN]
+                if m.sum():
+                    base = np.repeat(lo[a : a + SCAN] - (ends[a : a + SCAN] - m) + (ends[a - 1] if a else 0), m)
+                    yield np.repeat(asked[a : a + SCAN], m), order[base + np.arange(m.sum())]
+
+
+def bucket_pairs(codes: np.ndarray, spread: int, design: float, most: int) -> np.ndarray | None:
+    """Pairs of rows of codes (n x 2 words) that differ in at most `spread` bits, as n x 2 places; None where there are more than `most`."""
+    out: list[np.ndarray] = []
+    n, total = len(codes), 0
+
+    def keep(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal total
+        ok = (np.bitwise_count(codes[a, 0] ^ codes[b, 0]) + np.bitwise_count(codes[a, 1] ^ codes[b, 1])) <= spread
+        out.append(np.stack([np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])], axis=1))
+        total += int(ok.sum())
+
+    if n > SCAN:
+        for a, b in _probed(codes, design):
+            keep(a, b)
+            if total > 4 * most:  # pairs met several times are counted once
+                out = [np.unique(np.vstack(out), axis=0)]
+                total = len(out[0])
+                if total > most:
+                    return None
+    else:
+        for lo in range(0, n, 256):
+            far = np.bitwise_count(codes[lo : lo + 256, 0][:, None] ^ codes[lo:, 0]) + np.bitwise_count(codes[lo : lo + 256, 1][:, None] ^ codes[lo:, 1])
+            a, b = np.nonzero(far <= spread)
+            out.append(np.stack([a, b], axis=1)[a < b] + lo)
+            total += len(out[-1])
+            if total > most:
+                return None
+    pairs = np.unique(np.vstack(out), axis=0) if out else np.zeros((0, 2), np.int64)
+    return None if len(pairs) > most else pairs
+
+
+def _small_copies(units: DataFrame, dims: int) -> DataFrame:
+    """same, small: each direction once, as signed bytes, a quarter of its floats and precise enough to choose what is reranked."""
 
-    Sizes are estimated on about `sample` vectors, taken by a hash of their direction. This only decides by which of two
-    ways a bucket's pairs are found, never whether they are.
-    """
-    step = max(1, -(-n // sample))
-    rows = units.where(F.pmod(F.xxhash64("same"), F.lit(step)) == 0).select("same", "unit").mapInArrow(index, "bucket long, same long, half long, rest long")
-    sizes = rows.groupBy("bucket", "same").count().groupBy("bucket").agg((F.count("*") * step).alias("n"), F.count("*").alias("seen"))
-    hot = sizes.where((F.col("n") > most) & (F.col("seen") >= 10)).select("bucket", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
-    hot = staged(hot, "hot")
-    return None if hot.isEmpty() else hot
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same, first = np.unique(np.asarray(b.column(0)), return_index=True)
+            x = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, dims)[first]
+            small = np.round(127 * x / np.maximum(np.abs(x).max(1, keepdims=True, initial=0), 1e-30)).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array(same), pa.array([r.tobytes() for r in small], pa.binary())], names=["same", "small"])
+
+    return units.select("same", "unit").mapInArrow(run, "same long, small binary").dropDuplicates(["same"])
 
 
-def _block_pairs(rows: DataFrame, hot: DataFrame, units: DataFrame, min_cosine: float, k: int, dims: int) -> DataFrame:
-    """sa, sb: in hot buckets, each vector's k most similar of every block, found exactly by blocks of bounded size.
+def _best_columns(cos: np.ndarray, k: int, group: int = 64) -> np.ndarray:
+    """Places of the k largest values of every row: those of the k groups of columns with the largest maxima are looked at."""
+    rows, n = cos.shape
+    if n <= 4 * k * group:
+        return np.argpartition(-cos, min(k, n) - 1, axis=1)[:, :k] if n > k else np.tile(np.arange(n), (rows, 1))
+    cut = n // group * group
+    tops = cos[:, :cut].reshape(rows, -1, group).max(2)
+    best = np.argpartition(-tops, k - 1, axis=1)[:, :k]
+    cols = np.hstack([(best[:, :, None] * group + np.arange(group)).reshape(rows, -1), np.tile(np.arange(cut, n), (rows, 1))])
+    sub = np.take_along_axis(cos, cols, axis=1)
+    return np.take_along_axis(cols, np.argpartition(-sub, k - 1, axis=1)[:, :k], axis=1)
 
-    A vector goes to each pair of blocks its own is part of; a task sees two blocks and emits k rows a vector, not all pairs.
+
+def block_pairs(rows: DataFrame, k: int, floor: float, dims: int) -> DataFrame:
+    """sa, sb (sa < sb): each asking vector's k most similar of every block of its group, if not below floor.
+
+    rows has grp, blocks, same, asks, small. A vector goes to each pair of blocks its own is part of; a task sees two blocks
+    and emits k rows a vector, never all pairs.
     """
-    vectors = units.select("same", "unit").dropDuplicates(["same"])
-    mine = rows.join(F.broadcast(hot) if small_enough(hot, 200_000) else hot, "bucket").withColumn("block", F.pmod(F.hash("same"), F.col("blocks")))
+    mine = rows.withColumn("block", F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = mine.select("bucket", "same", "block", other)
-    spread = spread.select("bucket", "same", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).join(vectors, "same")
+    spread = mine.select("grp", "same", "asks", "block", other, "small")
+    spread = spread.select("grp", "same", "asks", "block", "small", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
     def best(key, table):
-        same = table.column("same").to_numpy()
-        block = table.column("block").to_numpy()
-        x = np.asarray(table.column("unit").combine_chunks().flatten(), np.float64).reshape(len(same), dims)
+        same, first = np.unique(table.column("same").to_numpy(), return_index=True)
+        block, asks = table.column("block").to_numpy()[first], table.column("asks").to_numpy(zero_copy_only=False)[first]
+        x = np.frombuffer(b"".join(table.column("small").to_pylist()), np.int8).reshape(-1, dims)[first].astype(np.float32)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
         lo, hi = key[1].as_py(), key[2].as_py()
-        found: set[tuple[int, int]] = set()
+        found: list[np.ndarray] = []
         for a, b in ((lo, hi),) if lo == hi else ((lo, hi), (hi, lo)):
-            rows_a, rows_b = np.flatnonzero(block == a), np.flatnonzero(block == b)
-            cos = x[rows_a] @ x[rows_b].T
-            cos[same[rows_a][:, None] == same[rows_b][None, :]] = -2
-            top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-            for r, cols in enumerate(top):
-                for c in cols[cos[r, cols] >= min_cosine - 1e-5]:
-                    p, q = int(same[rows_a[r]]), int(same[rows_b[c]])
-                    found.add((min(p, q), max(p, q)))
-        return pa.table({"sa": pa.array([p for p, _ in found], pa.int64()), "sb": pa.array([q for _, q in found], pa.int64())})
+            asking, there = np.flatnonzero((block == a) & asks), np.flatnonzero(block == b)
+            for at in range(0, len(asking) if len(there) else 0, 1024):
+                part = asking[at : at + 1024]
+                cos = x[part] @ x[there].T
+                if a == b:
+                    cos[np.arange(len(part)), np.searchsorted(there, part)] = -2
+                top = _best_columns(cos, min(k, len(there)))
+                ok = np.take_along_axis(cos, top, axis=1) >= max(floor, -1.5)
+                p, q = np.repeat(same[part], top.shape[1])[ok.ravel()], same[there[top.ravel()]][ok.ravel()]
+                found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1))
+        pairs = np.unique(np.vstack(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"sa": pa.array(pairs[:, 0], pa.int64()), "sb": pa.array(pairs[:, 1], pa.int64())})
 
-    return spread.groupBy("bucket", "lo", "hi").applyInArrow(best, "sa long, sb long")
+    return spread.groupBy("grp", "lo", "hi").applyInArrow(best, "sa long, sb long")
 
 
-def similar_pairs(
-    units: DataFrame, n: int, min_cosine: float, dims: int = 128, sample: int = 5_000, spread: int | None = None, k: int = 5, most: int = 2_000
-) -> DataFrame:
-    """sa, sb: classes of vectors that share a bucket and differ in at most `spread` of 128 other bits (sa < sb).
+def _sent(df: DataFrame, most: int = 200_000) -> DataFrame:
+    return F.broadcast(df) if small_enough(df, most) else df
+
+
+def similar_pairs(units: DataFrame, n: int, min_cosine: float, dims: int = 128, sample: int = 5_000, k: int = 5, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
+    """sa, sb: classes of vectors that share a bucket and are within the Hamming radius of min_cosine (sa < sb), to be reranked.
 
-    The index is made for pairs of min_cosine, and so is spread if it isn't given.
-    Buckets with well over `most` vectors are worked through in blocks, where only each vector's k most similar are kept.
+    Every bucket is counted. Those of more than `hot` vectors, and those in which more than DENSE pairs a vector are near, are
+    worked through in blocks, where each vector's k + 3 most similar are kept.
     """
     design = differing_share(min_cosine)
-    width, pieces = code_shape(n, design)
-    spread = filter_spread(design) if spread is None else spread
-    rotations = learn_rotations(units, -(-max(pieces * width, 2 * FILTER_BITS) // dims), dims, sample)
-    index = _index_rows(rotations, width, pieces, dims)
-    hot = hot_buckets(units, index, n, most)
-    rows = units.select("same", "unit").mapInArrow(index, "bucket long, same long, half long, rest long")
-    rows = rows.repartition("bucket").dropDuplicates(["bucket", "same"])
-    usual = rows if hot is None else rows.join(F.broadcast(hot) if small_enough(hot, 200_000) else hot, "bucket", "left_anti")
-    left = usual.select("bucket", F.col("same").alias("sa"), F.col("half").alias("ha"), F.col("rest").alias("ra"))
-    right = usual.select("bucket", F.col("same").alias("sb"), F.col("half").alias("hb"), F.col("rest").alias("rb"))
-    met = left.join(right, "bucket").where(f"sa < sb and bit_count(ha ^ hb) + bit_count(ra ^ rb) <= {spread}").select("sa", "sb")
-    if hot is not None:
-        met = met.unionByName(_block_pairs(rows, hot, units, min_cosine, k, dims))
-    return met.distinct()
+    width, pieces = code_shape(n, design, bucket=bucket)
+    spread = filter_spread(design)
+    rotations = learn_rotations(units, -(-(FILTER_BITS + pieces * width) // dims), n, dims, sample)
+    index = units.select("same", "unit").mapInArrow(_index_rows(rotations, width, pieces, dims), _INDEX)
+    sizes = index.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("bucket")
+    large = staged(sizes, "hot") if width else None
+    large = None if large is None or large.isEmpty() else large
+    usual = index if large is None else index.join(_sent(large), "bucket", "left_anti")
+
+    def scan(key, table):
+        same, first = np.unique(table.column("same").to_numpy(), return_index=True)
+        codes = np.stack([table.column(c).to_numpy()[first] for c in ("half", "rest")], axis=1).view(np.uint64)
+        pairs = bucket_pairs(codes, spread, design, DENSE * len(same))
+        if pairs is None:
+            return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "sa": pa.array([None], pa.int64()), "sb": pa.array([None], pa.int64())})
+        none = pa.nulls(len(pairs), pa.int64())
+        return pa.table({"bucket": none, "sa": pa.array(same[pairs[:, 0]]), "sb": pa.array(same[pairs[:, 1]])})
+
+    met = staged(usual.groupBy("bucket").applyInArrow(scan, "bucket long, sa long, sb long"), "met")
+    near = met.where("bucket is null").select("sa", "sb")
+    dense = met.where("bucket is not null").select("bucket")
+    dense = dense if large is None else dense.unionByName(large)
+    if not dense.isEmpty():
+        dense = staged(dense, "dense")
+        members = index.join(_sent(dense), "bucket").select(F.col("bucket").alias("grp"), "same")
+        blocks = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        rows = members.join(_sent(blocks), "grp").join(_small_copies(units, dims), "same").withColumn("asks", F.lit(True))
+        near = near.unionByName(block_pairs(rows, k + 3, min_cosine - 0.02, dims))
+    return near.distinct()
 
 
 def nearest_vectors(
-    df: DataFrame, key: str = "vec_id", vector: str = "vector", *, k: int = 5, min_cosine: float = 0.80, dims: int = 128, sample: int = 5_000, most: int = 2_000
-) -> DataFrame:
-    """vec_id, other_id, cosine, rank: for every usable vector the k most similar others of at least min_cosine.
+    df: DataFrame, key: str = "vec_id", vector: str = "vector", *, k: int = 5, min_cosine: float | None = None, index_cosine: float = 0.80, dims: int = 128,
+    sample: int = 5_000, bucket: int = BUCKET, hot: int = HOT
+) -> DataFrame:
+    """vec_id, other_id, cosine, rank: for every usable vector the k most similar others.
 
+    The index is made for neighbours of min_cosine. Without min_cosine it is made for index_cosine, and vectors that don't have
+    k neighbours of it are held against all vectors; with it, neighbours below min_cosine are left out by definition.
     Ties go to the smaller id. Vectors that are equal after scaling to length one form one class; the search runs
     on class representatives, and a class adds only its k + 1 smallest ids to any list, which is all that can be
     among the k most similar. So a class holding a third of all rows makes k rows per member, never all pairs.
     An empty table, or one without usable vectors, gives no rows. The rotation is fitted on `sample` vectors;
-    every vector is indexed. Nearest neighbours below min_cosine are left out by definition.
+    every vector is indexed.
     """
-    units = usable_vectors(df, key, vector, dims)
-    classes = units.groupBy("same").agg(F.min("vec_id").alias("rep"), F.max("vec_id").alias("last"))
+    units = staged(usable_vectors(df, key, vector, dims), "units")
+    classes = units.groupBy("same").agg(F.min("vec_id").alias("rep"), F.max("vec_id").alias("last"), F.count_distinct("vec_id").alias("size"))
     classes = staged(classes, "classes")
     heads = classes.select("same", "rep")
-    met = similar_pairs(units, classes.count(), min_cosine, dims, sample, k=k, most=most)
-    ids = met.join(heads.toDF("sa", "a"), "sa").join(heads.toDF("sb", "b"), "sb").select("a", "b")
     va = units.select(F.col("vec_id").alias("a"), F.col("unit").alias("ua"))
     vb = units.select(F.col("vec_id").alias("b"), F.col("unit").alias("ub"))
     dot = F.aggregate(F.zip_with("ua", "ub", lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, p: s + p)
-    scored = ids.join(va, "a").join(vb, "b").select("a", "b", F.round(dot, 6).alias("cosine"))
-    pairs = staged(scored.where(F.col("cosine") >= min_cosine).dropDuplicates(["a", "b"]), "pairs")
+
+    def scored(met: DataFrame) -> DataFrame:
+        ids = met.join(heads.toDF("sa", "a"), "sa").join(heads.toDF("sb", "b"), "sb").select("a", "b")
+        return ids.join(va, "a").join(vb, "b").select("a", "b", F.round(dot, 6).alias("cosine")).dropDuplicates(["a", "b"])
+
+    n, least = classes.count(), index_cosine if min_cosine is None else min_cosine
+    pairs = staged(scored(similar_pairs(units, n, least, dims, sample, k, bucket, hot)).where(F.col("cosine") >= least), "pairs")
+    if min_cosine is None:
+        sizes = classes.select("rep", "size")
+        ways = pairs.select(F.col("a").alias("of"), F.col("b").alias("rep")).unionByName(pairs.select(F.col("b").alias("of"), F.col("a").alias("rep")))
+        got = ways.join(sizes, "rep").groupBy("of").agg(F.sum("size").alias("near"))
+        asks = F.col("size") - 1 + F.coalesce("near", F.lit(0)) < k
+        rows = classes.join(got, F.col("rep") == F.col("of"), "left").select("same", asks.alias("asks"))
+        rows = rows.join(_small_copies(units, dims), "same").withColumn("grp", F.lit(0)).withColumn("blocks", F.lit(max(1, -(-n // BLOCK))))
+        far = scored(block_pairs(rows, k + 3, -2.0, dims))
+        pairs = staged(pairs.unionByName(far).dropDuplicates(["a", "b"]), "all_pairs")
 
     # classes of several equal vectors: their members, and the k + 1 smallest ids of each
     several = classes.where("rep < last").select("same", "rep")
@@ -256,40 +370,40 @@ def neighbour_pairs(df: DataFrame, key: str = "vec_id", vector: str = "vector",
 
 
 def exact_nearest(
-    df: DataFrame, key: str = "vec_id", vector: str = "vector", *, k: int = 5, min_cosine: float = 0.80, dims: int = 128, every: int = 100, max_queries: int = 2_000
+    df: DataFrame, key: str = "vec_id", vector: str = "vector", *, k: int = 5, min_cosine: float = -2.0, dims: int = 128, every: int = 100, at_once: int = 2_000, sent: int = 50_000
 ) -> DataFrame:
     """vec_id, other_id, cosine, rank by brute force for the query set of ids divisible by `every`.
 
-    The queries go to every task in blocks of at most max_queries vectors; each task keeps the k best of its
-    own rows, so what is shuffled is k rows per query and task. Used to measure the recall of nearest_vectors.
+    The queries are sent to the tasks, at most `sent` in one pass, and are held against the task's rows in blocks of
+    at_once; each task keeps the k best of its own rows, so what is shuffled is k rows per query and batch. Used to
+    measure the recall of nearest_vectors.
     """
     units = staged(usable_vectors(df, key, vector, dims).dropDuplicates(["vec_id"]), "units")
     asked = units.where(F.pmod("vec_id", F.lit(every)) == 0)
-    n = asked.count()
-    blocks = max(1, -(-n // max_queries))
+    passes = max(1, -(-asked.count() // sent))
     found = None
-    for block in range(blocks):
-        q = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).orderBy("vec_id").toPandas()
+    for one in range(passes):
+        q = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == one).toPandas()
         ids = q["vec_id"].to_numpy(np.int64)
         mat = np.stack(q["unit"].to_numpy()).astype(np.float64) if len(q) else np.zeros((0, dims))
         held = df.sparkSession.sparkContext.broadcast((ids, mat))
 
         def best(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, mat = held.value
+            all_ids, all_mat = held.value
             for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
                 x = np.asarray(b.column(2).flatten(), np.float64).reshape(b.num_rows, dims)
                 own = np.asarray(b.column(0))
-                cos = np.round(mat @ x.T, 6)
-                cos[ids[:, None] == own[None, :]] = -2
-                order = np.lexsort((np.broadcast_to(own, cos.shape), -cos), axis=1)[:, :k]
-                row = np.repeat(np.arange(len(ids)), order.shape[1])
-                col = order.ravel()
-                fine = cos[row, col] >= min_cosine
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row[fine]]), pa.array(own[col[fine]]), pa.array(cos[row[fine], col[fine]])], names=["vec_id", "other_id", "cosine"]
-                )
+                for at in range(0, len(all_ids) if b.num_rows else 0, at_once):
+                    ids, mat = all_ids[at : at + at_once], all_mat[at : at + at_once]
+                    cos = np.round(mat @ x.T, 6)
+                    cos[ids[:, None] == own[None, :]] = -3
+                    order = np.lexsort((np.broadcast_to(own, cos.shape), -cos), axis=1)[:, :k]
+                    row = np.repeat(np.arange(len(ids)), order.shape[1])
+                    col = order.ravel()
+                    fine = cos[row, col] >= min_cosine
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[row[fine]]), pa.array(own[col[fine]]), pa.array(cos[row[fine], col[fine]])], names=["vec_id", "other_id", "cosine"]
+                    )
 
         part = units.mapInArrow(best, "vec_id long, other_id long, cosine double")
         found = part if found is None else found.unionByName(part)

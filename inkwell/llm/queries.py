@@ -52,11 +52,12 @@ def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Share of the exact neighbours of the query set (ids divisible by 100) that the index finds."""
+    """By band of cosine, the exact neighbours of the query set (ids divisible by 100) and those of them that p2_nearest has."""
     vectors = table(spark, d, "chunk_vectors")
-    exact = neighbours.exact_nearest(vectors).select("vec_id", "other_id", F.lit(True).alias("true_one"))
+    exact = neighbours.exact_nearest(vectors).select("vec_id", "other_id", "cosine")
     got = neighbours.nearest_vectors(vectors).select("vec_id", "other_id", F.lit(1).alias("hit"))
-    both = exact.join(got, ["vec_id", "other_id"], "left")
+    band = F.when(F.col("cosine") >= 0.9, "0.90").when(F.col("cosine") >= 0.85, "0.85").when(F.col("cosine") >= 0.8, "0.80").otherwise("below")
+    both = exact.join(got, ["vec_id", "other_id"], "left").groupBy(band.alias("band"))
     return both.agg(F.count("*").alias("exact_neighbours"), F.count("hit").alias("found_neighbours"))
 
 

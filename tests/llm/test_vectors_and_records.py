@@ -4,6 +4,8 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -11,8 +13,21 @@ from pyspark.sql import functions as F
 from inkwell.llm import formatdup, neighbours, printform
 
 
-def _cos(a, b):
-    return round(float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))), 6)
+def _brute(ids, x, k, least=-2.0):
+    """id -> the k most similar other ids, ties to the smaller id."""
+    x = np.array(x, np.float32).astype(float)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    out = {}
+    for i, row in zip(ids, np.round(x @ x.T, 6)):
+        out[i] = [j for _, j in sorted((-c, j) for j, c in zip(ids, row) if j != i and c >= least)[:k]]
+    return out
+
+
+def _lists(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r.vec_id, r["rank"])):
+        out.setdefault(r.vec_id, []).append(r.other_id)
+    return out
 
 
 def test_nearest_vectors_equal_brute_force_and_leave_out_the_unusable(spark):
@@ -25,64 +40,83 @@ def test_nearest_vectors_equal_brute_force_and_leave_out_the_unusable(spark):
     rows += [(200 + i, base[0].tolist()) for i in range(9)]  # equal directions, more than k
     bad = [(900, None), (901, [0.0] * 16), (902, [1.0] * 8), (903, [math.nan] + [1.0] * 15), (904, [math.inf] * 16), (None, [1.0] * 16)]
     df = spark.createDataFrame(rows + bad + rows[:1], "vec_id long, vector array<double>").withColumn("unit", F.lit(1)).withColumn("same", F.lit("x"))
-    got = {}
-    for r in neighbours.nearest_vectors(df, dims=16, k=3).collect():
-        got.setdefault(r.vec_id, []).append((r["rank"], r.other_id, r.cosine))
-    vec = {i: np.array(v, np.float32).astype(float) for i, v in rows}
-    missed = 0
-    for i in vec:
-        best = sorted(((-_cos(vec[i], vec[j]), j) for j in vec if j != i and _cos(vec[i], vec[j]) >= 0.8))[:3]
-        mine = [j for _, j, _ in sorted(got.get(i, []))]
-        missed += mine != [j for _, j in best]
-    assert missed <= 2 and not {900, 901, 902, 903, 904} & set(got)
-    exact = neighbours.exact_nearest(df, dims=16, k=3, every=10)
-    want = {(r.vec_id, r.other_id) for r in exact.collect()}
-    have = {(i, j) for i, x in got.items() if i % 10 == 0 for _, j, _ in x}
-    assert len(want & have) >= 0.9 * len(want) > 0
-    assert neighbours.nearest_vectors(df.where("false"), dims=16).count() == 0
-    assert neighbours.nearest_vectors(df.where("vec_id >= 900"), dims=16).count() == 0
-
-
-def test_a_hot_cluster_goes_through_blocks(spark):
+    ids, x = zip(*rows)
+    whole, cut = _lists(neighbours.nearest_vectors(df, dims=16, k=3)), _lists(neighbours.nearest_vectors(df, dims=16, k=3, min_cosine=0.8))
+    assert whole == _brute(ids, x, 3) and all(len(v) == 3 for v in whole.values())
+    assert cut == {i: v for i, v in _brute(ids, x, 3, 0.8).items() if v}
+    exact = _lists(neighbours.exact_nearest(df, dims=16, k=3, every=10, at_once=4, sent=8))
+    assert exact == {i: v for i, v in whole.items() if i % 10 == 0}
+    for least in (None, 0.8):
+        assert neighbours.nearest_vectors(df.where("false"), dims=16, min_cosine=least).count() == 0
+        assert neighbours.nearest_vectors(df.where("vec_id >= 900"), dims=16, min_cosine=least).count() == 0
+
+
+def test_every_vector_gets_k_neighbours_whatever_its_distance_and_the_number_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 128))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<double>")
+    got, want = _lists(neighbours.nearest_vectors(df, k=5)), _brute(range(400), x, 5)
+    assert got.keys() == want.keys() and all(len(v) == 5 for v in got.values())
+    assert sum(len(set(got[i]) & set(want[i])) for i in want) >= 0.995 * 2000
+
+
+def test_hot_and_dense_buckets_go_through_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 150)
     rng = np.random.default_rng(3)
     centre = rng.standard_normal(16)
     near = [(i, (centre + 0.15 * rng.standard_normal(16)).tolist()) for i in range(700)]
     rest = [(1000 + i, rng.standard_normal(16).tolist()) for i in range(300)]
     df = spark.createDataFrame(near + rest, "vec_id long, vector array<double>")
     units = neighbours.usable_vectors(df, "vec_id", "vector", 16)
-    width, pieces = neighbours.code_shape(1000)
-    rot = neighbours.learn_rotations(units, -(-max(pieces * width, 128) // 16), 16)
-    assert neighbours.hot_buckets(units, neighbours._index_rows(rot, width, pieces, 16), 1000, 100) is not None
-    got = {(r.vec_id, r.other_id) for r in neighbours.nearest_vectors(df, dims=16, k=5, most=100).where("vec_id < 1000").collect()}
-    x = np.array([v for _, v in near])
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    cos = x @ x.T
-    np.fill_diagonal(cos, -2)
-    want = {(i, int(j)) for i in range(700) for j in np.argsort(-cos[i])[:5] if cos[i, j] >= 0.8}
-    assert len(want & got) >= 0.95 * len(want) and len(want) == 3500
-    met = neighbours.similar_pairs(units, 1000, 0.8, 16, k=5, most=100).count()
-    assert met < 700 * 699 / 4  # far from all pairs of the cluster
-
-
-def test_code_shape_holds_recall_as_it_grows():
-    for n in (10, 10**4, 10**6, 10**8):
-        width, pieces = neighbours.code_shape(n)
-        assert 1 - (1 - 0.88**width) ** pieces >= 0.99 and 8 <= width <= 28
-
-
-def test_pairs_at_the_threshold_are_met(spark):
+    want = {i: v for i, v in _brute([i for i, _ in near], [v for _, v in near], 5, 0.8).items()}
+    for hot in (100, 10**6):  # buckets above 100 are hot; else they are dense, as nearly all their pairs are near
+        got = _lists(neighbours.nearest_vectors(df, dims=16, k=5, min_cosine=0.8, bucket=64, hot=hot).where("vec_id < 1000"))
+        assert sum(len(set(got[i]) & set(want[i])) for i in want) >= 0.97 * 3500
+        met = neighbours.similar_pairs(units, 1000, 0.8, 16, k=5, bucket=64, hot=hot).count()
+        assert met < 700 * 699 / 4  # far from all pairs of the cluster
+
+
+def test_code_shape_holds_recall_and_bucket_size_as_it_grows():
+    for design in (0.12, neighbours.differing_share(0.8)):
+        for n in (0, 1, 10**4, 10**6, 10**8):
+            width, pieces = neighbours.code_shape(n, design)
+            assert 1 - (1 - (1 - design) ** width) ** pieces >= 0.99 and n <= neighbours.BUCKET * 2**width
+
+
+def test_probing_finds_what_comparing_all_pairs_finds(monkeypatch):
+    rng = np.random.default_rng(2)
+    codes = rng.integers(0, 2**63, (4000, 2), dtype=np.uint64)
+    flips = [np.uint64(0)] * 500
+    for i in range(500):
+        for bit in rng.choice(64, 13, replace=False):
+            flips[i] ^= np.uint64(1) << np.uint64(bit)
+    codes[1000:1500] = codes[:500] ^ np.stack([np.array(flips), np.array(flips)], axis=1)
+    codes[2000] = codes[1]
+    probed = neighbours.bucket_pairs(codes, 38, 0.205, 10**6)
+    monkeypatch.setattr(neighbours, "SCAN", 10**6)
+    whole = neighbours.bucket_pairs(codes, 38, 0.205, 10**6)
+    a, b = ({tuple(p) for p in x.tolist()} for x in (probed, whole))
+    assert a <= b and len(a) >= 0.98 * len(b) and len(b) >= 501
+    assert neighbours.bucket_pairs(codes, 38, 0.205, 100) is None
+
+
+def test_pairs_near_the_threshold_are_met_among_many(spark, tmp_path):
+    """80,000 vectors, so that the buckets and the number of substrings are those of a large table."""
     rng = np.random.default_rng(11)
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
-    base = unit(rng.standard_normal((3000, 128)))
-    away = rng.standard_normal((600, 128))
-    away = unit(away - (away * base[:600]).sum(1, keepdims=True) * base[:600])
-    cos = np.linspace(0.801, 0.86, 600)[:, None]
-    planted = cos * base[:600] + np.sqrt(1 - cos**2) * away
-    rows = [(i, v.tolist()) for i, v in enumerate(np.vstack([base, planted]))]
-    df = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    base = unit(rng.standard_normal((79_100, 128)))
+    away = rng.standard_normal((900, 128))
+    away = unit(away - (away * base[:900]).sum(1, keepdims=True) * base[:900])
+    cos = np.concatenate([np.linspace(0.801, 0.85, 300), np.linspace(0.85, 0.9, 300), np.linspace(0.9, 0.99, 300)])[:, None]
+    planted = cos * base[:900] + np.sqrt(1 - cos**2) * away
+    x = np.vstack([base, planted]).astype(np.float32)
+    vectors = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * 128, x.ravel())
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "vector": vectors}), tmp_path / "vectors.parquet")
+    df = spark.read.parquet(str(tmp_path / "vectors.parquet")).repartition(8)
     got = {(r.vec_lo, r.vec_hi) for r in neighbours.neighbour_pairs(df).collect()}
-    low, high = ([(i, 3000 + i) in got for i in ids] for ids in (range(300), range(300, 600)))  # 0.80 to 0.83, 0.83 to 0.86
-    assert np.mean(low) >= 0.97 and np.mean(high) >= 0.99
+    for ids in (range(300), range(300, 600), range(600, 900)):
+        assert np.mean([(i, 79_100 + i) in got for i in ids]) >= 0.95
 
 
 def _canon(s):
