@@ -3,9 +3,10 @@
 The texts are reduced to a histogram of sizes, which has at most as many rows as the capacity has tokens
 whatever the number of texts. The configuration linear program over it is solved by multiplicative weights to a stated
 duality gap: knapsacks priced with the dual give patterns of sizes, a size covered short of its count gains price, one
-covered beyond it loses price, and each pattern's use is multiplied by the worth of what it holds. The uses are rounded
-to whole ones as far as items are there; what is left is filled container by container, each around the largest
-item left, by a knapsack in which an item is worth its size.
+covered beyond it loses price, and each pattern's use is multiplied by the worth of what it holds. The uses are rounded to whole
+ones by a seeded draw that takes about the same part of every size, and the program is solved again for the items left,
+again and again until few are; these last ones are filled container by container, each around the largest item left, by
+a knapsack in which an item is worth its size.
 Spark then hands the patterns out: a text's rank among those of its size tells its container.
 """
 
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 from inkwell.operators.ranks import spread_ranks
 from inkwell.session import staged
 
-GAP = 0.02  # the configuration LP is solved to within this share of its optimum
+GAP = 0.01  # the configuration LP is solved to within this share of its optimum
+PART = 0.6  # part of the uses that one rounding takes
+LAST = 0.04  # share of the tokens below which the rest isn't worth another LP
 GROUP = 16  # sizes that a knapsack which makes patterns sees at once, so that patterns don't all hold the same few sizes
-KEPT = (1.0, 0.9, 0.75, 0.5, 0.25, 0.0)
+KEPT = (1.0, 0.98, 0.95, 0.92, 0.9, 0.85, 0.8, 0.7, 0.5, 0.25, 0.0)
 
 
 def price_patterns(sizes: np.ndarray, limits: np.ndarray, worth: np.ndarray, capacity: int, among: np.ndarray, build: bool = True) -> tuple[float, list[tuple]]:
@@ -143,18 +146,21 @@ def fractional(
     return best
 
 
-def rounded(found: Fraction, left: np.ndarray) -> list[tuple[tuple, int]]:
-    """Whole uses of the patterns, largest uses first: rounded down, then one more by the size of the fraction, as far as items are left (left is reduced)."""
+def rounded(found: Fraction, left: np.ndarray, part: float, rng: np.random.Generator) -> list[tuple[tuple, int]]:
+    """Whole uses of the patterns without loss, each drawn around `part` of its fractional use, as far as items are left (left is reduced).
+
+    The draw favours no size, so what is left is much like what was there and can be packed as well.
+    """
     plan: list[tuple[tuple, int]] = []
-    whole = np.floor(found.uses + 1e-9).astype(np.int64)
-    for times, order in ((whole, np.argsort(-found.uses, kind="stable")), (np.ones_like(whole), np.argsort(-(found.uses - whole), kind="stable"))):
-        for n in order[found.costs[order] > 1 - 1e-9]:
-            pattern = found.patterns[n]
-            k = min(int(times[n]), *(int(left[i]) // a for i, a in pattern))
-            if k > 0:
-                plan.append((pattern, k))
-                for i, a in pattern:
-                    left[i] -= a * k
+    times = np.floor(found.uses * part + rng.random(len(found.uses))).astype(np.int64)
+    order = np.flatnonzero((times > 0) & (found.costs > 1 - 1e-9))
+    for n in sorted(order, key=lambda n: -found.patterns[n][-1][0]):  # patterns of large items first
+        pattern = found.patterns[n]
+        k = min(int(times[n]), *(int(left[i]) // a for i, a in pattern))
+        if k > 0:
+            plan.append((pattern, k))
+            for i, a in pattern:
+                left[i] -= a * k
     return plan
 
 
@@ -170,26 +176,30 @@ def fill_greedily(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tu
     return plan
 
 
-def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 40, facts: dict | None = None) -> list[tuple[np.ndarray, int]]:
+def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 120, facts: dict | None = None, seed: int = 5) -> list[tuple[np.ndarray, int]]:
     """(pattern, uses) that together hold counts[i] items of sizes[i] (ascending), each pattern within the capacity.
 
-    The LP is solved and rounded, again for the items its rounding leaves, until rounding places little. The greedy fill takes
-    the rest; where the rounded patterns used up the small items it needs, it gets back the last of them: of several shares
-    of the rounded plan that one is kept which needs the fewest containers, the largest of equals. facts, if given,
-    receives containers, by_lp (those that hold a rounded pattern), the containers by share kept, primal, dual and gap.
+    The LP is solved and part of it rounded, again and again for the items left, until few are left or rounding places
+    none. The greedy fill takes the rest. Where it lacks small items for that, it gets back patterns of many items:
+    of several shares of the rounded plan, in the order of items a pattern, that one is kept which needs the fewest
+    containers, the largest of equals. facts, if given, receives containers, by_lp (those that hold a rounded pattern),
+    the containers by share kept, primal, dual and gap of the first LP.
     """
+    rng = np.random.default_rng(seed)
     left = counts.astype(np.int64).copy()
+    volume = int((left * sizes).sum())
     first: Fraction | None = None
     pool: list[tuple] = []
     placed: list[tuple[tuple, int]] = []
-    while rounds and left.any():
-        found = fractional(sizes, left, capacity, pool, rounds if first is None else min(rounds, 12))
+    while rounds and int((left * sizes).sum()) > LAST * volume:
+        found = fractional(sizes, left, capacity, pool, rounds if first is None else min(rounds, 8))
         first = first or found
         before = int((left * sizes).sum())
-        placed += rounded(found, left)
-        if int((left * sizes).sum()) > 0.9 * before:
+        placed += rounded(found, left, PART, rng)
+        if int((left * sizes).sum()) > 0.99 * before:
             break
         pool = [p for p in found.patterns if all(left[i] >= a for i, a in p)]
+    placed.sort(key=lambda used: sum(a for _, a in used[0]))
     ends = np.cumsum([k for _, k in placed]) if placed else np.zeros(0, np.int64)
     best: list[tuple[np.ndarray, int]] | None = None
     tried: dict[float, int] = {}
@@ -213,13 +223,13 @@ def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 40
     return best
 
 
-def pack(df: DataFrame, key: str, tokens: str, capacity: int, *, seed: int = 5) -> DataFrame:
+def pack(df: DataFrame, key: str, tokens: str, capacity: int, *, seed: int = 5, facts: dict | None = None) -> DataFrame:
     """container, key, piece, start, tokens: every text in containers of at most `capacity` tokens.
 
     A text larger than the capacity is cut into full containers and a rest, which is packed like a text of its size
     (piece counts from 0, start is its first token); any other text is one piece. Texts with a null key, and null, zero
     or negative sizes, take no part; a key stored twice is packed twice; an empty table gives no rows. Which text
-    of a size goes where is drawn by a seeded hash of its key.
+    of a size goes where is drawn by a seeded hash of its key. facts, if given, receives what solve() reports.
     """
     src = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{tokens}`").cast("long").alias("size")).where("key is not null and size > 0")
     cut = staged(src.withColumn("full", F.expr(f"(size - 1) div {capacity}")), "items")
@@ -228,7 +238,7 @@ def pack(df: DataFrame, key: str, tokens: str, capacity: int, *, seed: int = 5)
     rest = cut.select("key", F.col("full").cast("int").alias("piece"), (F.col("full") * capacity).alias("start"), (F.col("size") - F.col("full") * capacity).alias("tokens"))
     hist = rest.groupBy("tokens").agg(F.count("*").alias("n")).orderBy("tokens").toPandas()  # at most `capacity` rows
     sizes, counts = hist["tokens"].to_numpy(np.int64), hist["n"].to_numpy(np.int64)
-    plan = solve(sizes, counts, capacity)
+    plan = solve(sizes, counts, capacity, facts=facts) if len(sizes) else []
 
     # for each size, from which rank on its texts go to which pattern, whose containers start at base
     table: dict[int, list[tuple[int, int, int]]] = {int(s): [] for s in sizes}
