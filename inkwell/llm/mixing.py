@@ -1,8 +1,8 @@
 """Mixing sources to target weights (problem 8).
 
 Each source gets a budget of tokens. Whole passes over the source take most of it; the rest is a subset-sum problem over
-the source's histogram of exact text lengths, solved by a bounded knapsack, and texts are then drawn by a seeded hash,
-so many of each length.
+the source's histogram of exact text lengths, solved by a bounded knapsack in which a text may be used as often as its
+source's cap still allows, and texts are then drawn by a seeded hash, so many of each length.
 """
 
 from __future__ import annotations
@@ -86,17 +86,25 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", source: str
         return src.withColumn("times", F.lit(0)).where(F.lit(False)).withColumnRenamed("key", key)
     budget = F.floor(F.col("target_share") * F.lit(float(total)) + F.lit(1e-6))
     goal = goal.withColumn("budget", F.least(budget, F.col("have") * F.col("max_repeats")))
-    goal = goal.withColumn("passes", F.expr("budget div have")).withColumn("rest", F.expr("budget % have")).select("source", "passes", "rest")
+    goal = goal.withColumn("passes", F.expr("budget div have")).withColumn("rest", F.expr("budget % have"))
+    goal = goal.withColumn("again", F.col("max_repeats") - F.col("passes")).select("source", "passes", "rest", "again")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:  # one row per length of a source
         pdf = pdf.sort_values("tokens")
-        pdf["take"] = fit_budget(pdf["tokens"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), int(pdf["rest"].iloc[0]))
-        return pdf[["source", "tokens", "passes", "take"]]
+        lengths, counts, rest = pdf["tokens"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), int(pdf["rest"].iloc[0])
+        take = fit_budget(lengths, counts, rest)
+        if int((take * lengths).sum()) < rest:  # no choice of texts used once more makes it; some may be used several times
+            more = fit_budget(lengths, counts * max(1, int(pdf["again"].iloc[0])), rest)
+            take = more if int((more * lengths).sum()) > int((take * lengths).sum()) else take
+        pdf["take"] = take
+        return pdf[["source", "tokens", "n", "passes", "take"]]
 
-    plan = hist.join(goal, "source").groupBy("source").applyInPandas(fit, "source string, tokens long, passes long, take long")
+    plan = hist.join(goal, "source").groupBy("source").applyInPandas(fit, "source string, tokens long, n long, passes long, take long")
     ranked = spread_ranks(src, ["source", "tokens"], F.xxhash64(F.lit(seed), "key"), "key")
     drawn = ranked.join(plan, ["source", "tokens"])
-    times = (F.col("passes") + F.when(F.col("rank") < F.col("take"), 1).otherwise(0)).cast("int").alias("times")
+    # `take` uses of a length spread over its n texts: every text take div n times, the first take % n once more
+    extra = F.expr("take div n") + F.when(F.col("rank") < F.expr("take % n"), 1).otherwise(0)
+    times = (F.col("passes") + extra).cast("int").alias("times")
     return drawn.select(F.col("key").alias(key), "source", "tokens", times).where("times > 0")
 
 

@@ -112,12 +112,15 @@ def _packed(label: str):
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    """Containers used and empty share for every row of `containers`."""
+    """For every row of `containers`: containers used, their tokens, the fewest possible and the empty share; of the rests, the
+    containers that a pattern of the configuration LP filled, the LP's lower bound and the gap to which it was solved."""
     sizes = packing.staged(_sized(spark, d), "sizes")
     out = None
     for row in table(spark, d, "containers").orderBy("container_id").collect():  # one row per kind of container
-        one = packing.fill_report(packing.pack(sizes, "doc_id", "tokens", int(row["capacity_tokens"])), int(row["capacity_tokens"]))
-        one = one.select(F.lit(row["container_id"]).alias("container_id"), "containers", "tokens", "least", "empty_share")
+        facts: dict = {}
+        one = packing.fill_report(packing.pack(sizes, "doc_id", "tokens", int(row["capacity_tokens"]), facts=facts), int(row["capacity_tokens"]))
+        lp = [F.lit(facts.get("by_lp", 0)).alias("lp_containers"), F.lit(facts.get("dual", 0.0)).alias("lp_bound"), F.lit(facts.get("gap", 0.0)).alias("lp_gap")]
+        one = one.select(F.lit(row["container_id"]).alias("container_id"), "containers", "tokens", "least", "empty_share", *lp)
         out = one if out is None else out.unionByName(one)
     return out
 
