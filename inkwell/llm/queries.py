@@ -143,10 +143,15 @@ def p9_shapes(spark: SparkSession, d: str) -> DataFrame:
     return shapes.groupBy("kind", "shape").agg(F.count("*").alias("pages"), F.sum("lines").alias("lines"), F.sum("chars").alias("chars"))
 
 
+def p9_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Pages by the shape of junk that holds most of them."""
+    return junk.junk_groups(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         p1_budget, p1_text_tokens, p1_refreshed, p2_found, p2_nearest, p2_recall, p3_found, p4_found, p4_copies, p5_found, p5_repaired, p6_found,
-        p7_report, p8_mix, p8_shares, p9_found, p9_shapes,
+        p7_report, p8_mix, p8_shares, p9_found, p9_shapes, p9_groups,
     )
     packs = {f"p7_pack_{label.split()[0]}": _packed(label) for label in ("medium window", "short window", "long window", "wide window")}
     return {**packs, **{f.__name__: f for f in named}}

@@ -115,6 +115,36 @@ def test_junk_pages(spark):
     assert {r.doc_id for r in junk.junk_pages(df.unionByName(df)).collect()} == {2, 3, 4, 5, 6, 12}
     assert {r.doc_id for r in junk.judged_pages(df).collect()} == set(pages) - {13, 14, 15}
     assert junk.junk_pages(df.where("false")).count() == 0
+    judged = {r.doc_id: r for r in junk.judged_pages(df).collect()}
+    assert all(r.is_junk == (r.few_share >= 0.5) for r in judged.values()) and judged[4].top_kind == "products"
+    groups = junk.junk_groups(df).collect()
+    assert sum(r.junk for r in groups) == 6 and {r.kind for r in groups} >= {"links", "tags", "products"}
+
+
+def test_a_page_of_many_different_junk_shapes_is_not_dominated_by_few(spark):
+    mixed = [("gas " * k).strip() + " http://shop.test/" + "p" * k for k in (1, 9, 15, 30)]
+    mixed += ["; ".join(["gas notes book course"] * k) for k in (4, 7, 15, 27)] + [" ".join(["#gas"] * k) for k in (1, 2, 9, 14, 30)]
+    row = junk.judged_pages(spark.createDataFrame([(1, "\n".join(mixed))], "doc_id long, text string"), few=2).first()
+    assert row.junk_share > 0.9 and row.few_share < row.junk_share
+
+
+@pytest.mark.parametrize(
+    "line, kind",
+    [
+        ("See http://a.test/x for the answers", "links"),
+        ("gas: https://a.test/r. The pressure of the gas rises when the volume falls.", "remark"),
+        ("#gas #pressure book", "tags"),
+        ("gas notes SKU-4725 $520 top", "products"),
+        ("1.2 Pressure ........ 14", "contents"),
+        ("pressure\t1.5\t2", "columns"),
+        ("12 A", "number"),
+        ("worksheet 9", "label"),
+        ("The pressure rises.", "text"),
+        ("a gas, b gas, c gas, d gas, e gas, a gas", "keywords"),
+    ],
+)
+def test_shapes_tell_what_a_line_holds(line, kind):
+    assert junk.line_shape(line)[0].kind == kind
 
 
 def test_notices_and_torn_lines_are_no_sentence(spark, model):
