@@ -77,13 +77,18 @@ def _scanned(spark: SparkSession, d: str) -> DataFrame:
     return scans.scanned_texts(table(spark, d, "ocr_pages"), table(spark, d, "chunks"), table(spark, d, "parsed_questions"))
 
 
+def _findings(spark: SparkSession, d: str, texts: DataFrame) -> scans.Findings:
+    titles = scans.title_skeletons(table(spark, d, "source_documents"), "source_document_id", "title")
+    return scans.find(texts, table(spark, d, "documents"), "text", titles)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return scans.marked_lines(scans.find(_scanned(spark, d), table(spark, d, "documents"), "text"))
+    return scans.marked_lines(_findings(spark, d, _scanned(spark, d)))
 
 
 def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     texts = _scanned(spark, d)
-    return scans.repaired(texts, scans.find(texts, table(spark, d, "documents"), "text"))
+    return scans.repaired(texts, _findings(spark, d, texts))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Noise in text from scanned pages (problem 5).
 
-One pass over the texts reduces every page to candidates: lines that are furniture by their form (page numbers,
-print codes, ruled space, mirrored, letter-spaced or one-word-a-line notices), short lines that may be running
+One pass over the texts reduces every page to candidates: lines that are furniture by their form (print codes, ruled space,
+mirrored, letter-spaced or one-word-a-line notices), numbers at page edges, short lines that may be running
 heads or feet, line ends that may be half a word, and tokens outside the common vocabulary. Everything that needs
 the rest of the corpus is then decided by joins on the candidates, never by shuffling the texts:
 
-- running heads and feet: the line's skeleton, which misreadings leave as it is, comes back at the edge of several
-  pages of the document; notices: a phrase printed in an odd direction somewhere is furniture wherever it stands;
+- running heads and feet: the line's skeleton, which misreadings leave as it is, is that of the document's title, or comes
+  back at the edge of several pages or in several texts of the document; a line set in capitals or wide blanks alone is text;
+- page numbers: the difference between the printed number and the page is the same on several pages of the document;
+- notices: a phrase printed in an odd direction somewhere is furniture wherever it stands;
 - hyphens: the joined word, or else the hyphenated one, is in the corpus vocabulary;
 - misreadings: a word outside the vocabulary has the skeleton of a word inside it.
 """
@@ -33,7 +35,7 @@ _CLOSING = _EDGE.replace("(", "")
 _INDIC = re.compile("[ऀ-৿]")
 _CODE = re.compile(r"^\*?[A-Z0-9]{1,2}\d{4,}[A-Z]\d{2,}[A-Z]?\*?$")
 _RULED = re.compile(r"^[.…_\-–—·\s]{6,}$")
-_NUMBER = re.compile(r"^\W*(?:(?:page|pg?\.|seite|página|pagina|পৃষ্ঠা|पृष्ठ)\s*)?(\d{1,4})(?:\s*/\s*\d{1,4})?\W*$", re.I)
+_NUMBER = re.compile(r"^[^\w%]*(?:(?:page|pg?\.|seite|página|pagina|পৃষ্ঠা|पृष्ठ)\s*)?(\d{1,4})(?:\s*/\s*\d{1,4})?[^\w%]*$", re.I)
 _PAGE_BEFORE = re.compile(r"^\W*(\d{1,4})\W*(?:\s{2,}|\s*\|\s*)(\D.*)$")
 _PAGE_AFTER = re.compile(r"^(.*\S)(?:\s{2,}|\s*\|\s*)(\d{1,4})\W*$")
 _TITLE_NUMBER = re.compile(r"^([^.,;:=()\[\]]*\S)\s+(\d{1,2})$")
@@ -121,7 +123,7 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
             words: Counter = Counter()
             for w, n in got.items():
                 w = _spelling(w.strip(_EDGE + HYPHENS))
-                if w and not any(c.isdigit() for c in w) and len(w) < 64:
+                if w and not any(c.isdigit() for c in w):
                     words[w] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
@@ -147,8 +149,26 @@ def _title_like(line: str) -> bool:
     return bool(first) and (first.isupper() or bool(_INDIC.match(first)))
 
 
+def _lone_value(lines: list[str], filled: list[int], i: int) -> bool:
+    """Whether a bare number may be the author's: alone in its text, after a question, colon or equals sign, or among other values."""
+    k = filled.index(i)
+    before = lines[filled[k - 1]].strip() if k else ""
+    after = lines[filled[k + 1]].strip() if k + 1 < len(filled) else ""
+    values = [x for x in (before, after) if x and not any(map(str.isalpha, x)) and any(map(str.isdigit, x)) and not (x[0] == "(" and x[-1] == ")")]
+    return len(filled) == 1 or before[-1:] in "?:=" and bool(before) or bool(values)
+
+
+def _breaks_in(lines: list[str], filled: list[int], i: int) -> bool:
+    """Whether a line stands inside a running sentence, or beside a page number, where no heading of the author's can be."""
+    k = filled.index(i)
+    before = lines[filled[k - 1]].strip() if k else ""
+    after = lines[filled[k + 1]].strip() if k + 1 < len(filled) else ""
+    beside = [x.translate(_DIGITS) for x in (before, after) if len(x) <= 16]
+    return bool(before) and after[:1].islower() or any(_NUMBER.match(x) and not x.isdigit() and not (x[0] == "(" and x[-1] == ")") for x in beside if x)
+
+
 def page_candidates(text: str, page: int | None, common: frozenset, known: frozenset, paged: bool) -> list[tuple]:
-    """(line_no, kind, place, skeleton, word, next) of a page; kinds: furniture, notice, short, hyphen, token."""
+    """(line_no, kind, place, skeleton, word, next) of a page; kinds: furniture, notice, number, short, hyphen, token."""
     lines = text.split("\n")
     filled = [i for i, x in enumerate(lines) if x.strip()]
     edge = {}
@@ -166,6 +186,8 @@ def page_candidates(text: str, page: int | None, common: frozenset, known: froze
         if i is not None and len(word) >= 2 and not _CHUNK.sub("", word) and word.isupper() and sum(map(str.isalpha, word)) > len(word) / 2 and not _CODE.match(word):
             run.append(i)
             continue
+        if run and i is not None and (not word or word.isdigit() or _CODE.match(word) or _RULED.match(word)):
+            continue  # what the layout put between the words
         if len(run) >= 3:
             phrase = line_skeleton(" ".join(lines[j].strip() for j in run))
             for j in run:
@@ -182,10 +204,14 @@ def page_candidates(text: str, page: int | None, common: frozenset, known: froze
         at, rank = edge.get(i, ("", 9))
         plain = bare.translate(_DIGITS)
         number = _NUMBER.match(plain) if len(plain) <= 16 and not (plain[0] == "(" and plain[-1] == ")") else None
-        if _CODE.match(bare) or _RULED.match(bare) or (number and (not paged or (at and (page is None or int(number[1]) == page)))):
+        if _CODE.match(bare) or _RULED.match(bare) or (number and not (paged and page is not None) and (not plain.isdigit() or not _lone_value(lines, filled, i))):
             out.append((i + 1, "furniture", at, None, None, None))
             gone.add(i)
             continue
+        if number and paged and page is not None and at:
+            out.append((i + 1, "number", at, None, number[1], None))
+            gone.add(i)
+            continue
         if _SPACED.match(bare) and bare.replace(" ", "").isalpha():
             out += [(i + 1, "furniture", at, None, None, None), (i + 1, "notice", at, "~" + line_skeleton(bare.replace(" ", "")), None, None)]
             gone.add(i)
@@ -202,25 +228,22 @@ def page_candidates(text: str, page: int | None, common: frozenset, known: froze
             if 2 * sum(w in known for w in low) <= len(words):  # perhaps a mirrored notice whose words are rare
                 out.append((i + 1, "short", "", line_skeleton(bare[::-1]), "mirrored", None))
         if 1 <= len(words) <= 10 and not _STOP.search(_LEADERS.sub("", bare)) and bare[0] not in "(•*–-":
+            if paged and page is not None and rank <= 1:
+                cut, front = _PAGE_AFTER.match(plain), _PAGE_BEFORE.match(plain)
+                for body, printed in [(m[k], m[3 - k]) for m, k in ((cut, 1), (front, 2)) if m]:
+                    out.append((i + 1, "number", at, None, printed, None))
+                    out.append((i + 1, "short", at, line_skeleton(body), "set", None))
             titled = _TITLE_NUMBER.match(plain)
-            titled = titled and len(words) <= 8 and _title_like(bare) and all(any(map(str.isalpha, w)) for w in titled[1].split())
+            titled = titled and len(words) <= 8 and _title_like(bare) and all(any(map(str.isalpha, w)) for w in titled[1].split()) and sum(map(str.isalpha, bare)) >= 2
             capitals = sum(map(str.isupper, bare)) >= 3 and bare.isupper()
             wide = _WIDE.match(bare) and not re.search(r"\d[.,]\d+$", bare)
             set_off = len(words) <= 8 and sum(map(str.isalpha, bare)) >= 3 and (capitals or wide)
-            if (titled and sum(map(str.isalpha, bare)) >= 2 or set_off) and (not paged or rank <= 1):
-                out.append((i + 1, "furniture", at, None, None, None))
-                out.append((i + 1, "short", at, line_skeleton(plain), "formed", None))
-                gone.add(i)
-                continue
-            if paged and page is not None and rank <= 1:
-                cut = _PAGE_AFTER.match(plain) or None
-                front = _PAGE_BEFORE.match(plain) or None
-                body = cut[1] if cut and int(cut[2]) == page else front[2] if front and int(front[1]) == page else None
-                if body:
+            if (titled or set_off) and (not paged or rank <= 1):
+                if not (paged and page is not None) and _breaks_in(lines, filled, i):
                     out.append((i + 1, "furniture", at, None, None, None))
-                    out.append((i + 1, "short", at, line_skeleton(body), "formed", None))
                     gone.add(i)
-                    continue
+                out.append((i + 1, "short", at, line_skeleton(plain), "titled" if titled else "set", None))
+                continue
             if len(words) <= 8:
                 out.append((i + 1, "short", at if rank <= 1 else "", line_skeleton(plain), None, None))
 
@@ -234,7 +257,7 @@ def page_candidates(text: str, page: int | None, common: frozenset, known: froze
         broken = last and last in HYPHENS and (stripped[-2].isalpha() or _INDIC.match(stripped[-2])) and found
         if broken:
             after = []
-            for j in order[k + 1 : k + 5]:
+            for j in order[k + 1 : k + 13]:
                 nxt = _CHUNK.findall(lines[j])
                 w = _spelling(re.split(r"['’/–—-]", nxt[0].strip(_EDGE))[0]) if nxt else ""
                 if w and (w[0].isalpha() or _INDIC.match(w[0])):
@@ -282,26 +305,51 @@ def _skeletons_udf(words: pa.Array) -> pa.Array:
 _ROW = ["tbl", "row_key"]
 
 
-def furniture_lines(found: DataFrame, *, min_pages: int = 2, min_documents: int = 3) -> DataFrame:
-    """tbl, row_key, line_no of the lines that belong to the printed page."""
-    sure = found.where("kind = 'furniture'").select(*_ROW, "line_no")
-    short = found.where("kind = 'short' and skeleton <> ''")
+_CORE = "^[0-9 ]+|[0-9 ]+$"
+
+
+def page_numbers(found: DataFrame, *, min_pages: int = 2) -> DataFrame:
+    """tbl, row_key, line_no of numbers at page edges that run on with the pages: their distance from the page comes back on
+    min_pages pages of the document, or is none."""
+    numbers = found.where("kind = 'number' and page is not null").withColumn("offset", F.col("word").try_cast("int") - F.col("page")).where("offset is not null")
+    runs = numbers.where("offset <> 0 and doc is not null").groupBy("doc", "offset").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= min_pages)
+    shifted = numbers.join(runs.select("doc", "offset"), ["doc", "offset"], "left_semi")
+    return numbers.where("offset = 0").select(*_ROW, "line_no").unionByName(shifted.select(*_ROW, "line_no")).distinct()
+
+
+def furniture_lines(found: DataFrame, titles: DataFrame | None = None, *, min_pages: int = 2, min_documents: int = 3, near: float = 0.2) -> DataFrame:
+    """tbl, row_key, line_no of the lines that belong to the printed page. titles: doc and skeleton of the documents' titles."""
+    sure = found.where("kind = 'furniture'").select(*_ROW, "line_no").unionByName(page_numbers(found, min_pages=min_pages))
+    short = found.where("kind = 'short' and skeleton <> ''").withColumn("core", F.regexp_replace("skeleton", _CORE, ""))
+    # lines set off by capitals, wide blanks or a number behind them: the title, or words that come back
+    formed = short.where("word in ('set', 'titled') and doc is not null")
+    texts = short.where("doc is not null and coalesce(word, '') <> 'mirrored'").groupBy("doc", "core").agg(F.count_distinct(*_ROW).alias("texts"))
+    same = short.where("word = 'titled' and doc is not null").groupBy("doc", "skeleton").agg(F.count_distinct(*_ROW).alias("texts"))
+    wide = short.where("core <> '' and coalesce(word, '') <> 'mirrored'").groupBy("core").agg(F.count_distinct("doc").alias("docs")).where(F.col("docs") >= min_documents)
+    again = formed.where("word = 'set' and core <> ''").join(texts.where(F.col("texts") >= min_pages), ["doc", "core"], "left_semi").select(*_ROW, "line_no")
+    again = again.unionByName(formed.where("word = 'titled'").join(same.where(F.col("texts") >= min_pages), ["doc", "skeleton"], "left_semi").select(*_ROW, "line_no"))
+    again = again.unionByName(short.where("word = 'set' and place <> '' and core <> ''").join(wide, "core", "left_semi").select(*_ROW, "line_no"))
+    if titles is not None:
+        of = titles.select("doc", F.col("skeleton").alias("title")).where("title <> ''")
+        met = formed.join(of, "doc").where(F.levenshtein("skeleton", "title") <= F.floor(near * F.length("title")))
+        again = again.unionByName(met.select(*_ROW, "line_no"))
     # heads and feet come back at the edge of several pages of a document; without a number or a form that sets them
     # off from the text, on pages of one side
     edges = short.where("tbl = 'ocr_pages' and place in ('top', 'foot') and doc is not null")
     repeated = edges.groupBy("doc", "place", "skeleton").agg(
         F.count_distinct("page").alias("pages"),
-        F.max(F.col("skeleton").rlike("[0-9]") | F.coalesce(F.col("word") == "formed", F.lit(False))).alias("sure"),
+        F.max(F.col("skeleton").rlike("[0-9]") | F.coalesce(F.col("word").isin("set", "titled"), F.lit(False))).alias("sure"),
         F.min(F.pmod("page", F.lit(2))).alias("low"),
         F.max(F.pmod("page", F.lit(2))).alias("high"),
     )
     heads = repeated.where(F.col("pages") >= min_pages).where("place = 'foot' or sure or low = high or pages > 3").select("doc", "place", "skeleton")
     in_pages = edges.join(heads, ["doc", "place", "skeleton"], "left_semi").select(*_ROW, "line_no")
-    # where the page isn't known, a line with the skeleton of a head of its document
-    heads_of = heads.where("place = 'top' and skeleton rlike '[0-9]'").select("doc", "skeleton")
-    formed = short.where("word = 'formed' and doc is not null and skeleton rlike '[0-9]'").select("doc", "skeleton")
+    # where the page isn't known, a line with the skeleton of a head or of the title of its document
+    known = heads.where("place = 'top' and skeleton rlike '[0-9]'").select("doc", "skeleton")
+    if titles is not None:
+        known = known.unionByName(titles.where("skeleton rlike '[0-9]'").select("doc", "skeleton"))
     loose = short.where("tbl <> 'ocr_pages' and doc is not null")
-    in_pages = in_pages.unionByName(loose.join(heads_of.unionByName(formed).distinct(), ["doc", "skeleton"], "left_semi").select(*_ROW, "line_no"))
+    in_pages = in_pages.unionByName(loose.join(known.distinct(), ["doc", "skeleton"], "left_semi").select(*_ROW, "line_no"))
     # phrases that are feet of several documents, or are printed in an odd direction, are furniture wherever they stand
     feet = heads.where("place = 'foot' and skeleton rlike ' '").groupBy("skeleton").agg(F.count_distinct("doc").alias("n"))
     feet = feet.where(F.col("n") >= min_documents).select("skeleton")
@@ -309,9 +357,35 @@ def furniture_lines(found: DataFrame, *, min_pages: int = 2, min_documents: int
     spaced = notices.where("skeleton like '~%'").select(F.substring("skeleton", 2, 1 << 20).alias("solid"))
     phrases = notices.where("skeleton not like '~%'").select("skeleton").unionByName(feet).distinct()
     anywhere = short.join(phrases, "skeleton", "left_semi").select(*_ROW, "line_no")
+    # a word of a notice that stands alone on its line, in capitals
+    pieces = phrases.select(F.explode(F.split("skeleton", " ")).alias("skeleton")).distinct()
+    anywhere = anywhere.unionByName(short.where("word = 'set' and not contains(skeleton, ' ')").join(pieces, "skeleton", "left_semi").select(*_ROW, "line_no"))
     solid = short.withColumn("solid", F.replace(F.col("skeleton"), F.lit(" "), F.lit("")))
     anywhere = anywhere.unionByName(solid.join(spaced, "solid", "left_semi").select(*_ROW, "line_no"))
-    return sure.unionByName(in_pages).unionByName(anywhere).distinct()
+    return sure.unionByName(again).unionByName(in_pages).unionByName(anywhere).distinct()
+
+
+@F.arrow_udf(T.StringType())
+def _line_skeleton_udf(lines: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else line_skeleton(x.translate(_DIGITS)) for x in lines.to_pylist()], pa.string())
+
+
+def title_skeletons(documents: DataFrame, key: str, title: str) -> DataFrame:
+    """doc, skeleton of the titles of documents; rows without either are left out."""
+    rows = documents.where(F.col(key).isNotNull() & F.col(title).isNotNull())
+    return rows.select(F.col(key).cast("string").alias("doc"), _line_skeleton_udf(F.col(title)).alias("skeleton")).distinct()
+
+
+def most_frequent(words: DataFrame, most: int) -> DataFrame:
+    """The rows of words (word, n) whose n is so large that at most about `most` have it: cut by counts in steps of a quarter power of two."""
+    step = F.floor(F.log2("n") * 4).cast("int")
+    sizes = words.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()  # at most 256 rows
+    cut, seen = None, 0
+    for r in sizes:
+        if cut is not None and seen + r.words > most:
+            break
+        cut, seen = r.step, seen + r.words
+    return words.where(step >= F.lit(cut if cut is not None else 0))
 
 
 def broken_words(found: DataFrame, furniture: DataFrame, words: DataFrame, joined_by_hyphen: DataFrame) -> DataFrame:
@@ -373,8 +447,8 @@ class Findings:
         self.furniture, self.hyphens, self.links, self.misread = furniture, hyphens, links, misread
 
 
-def find(texts: DataFrame, reference: DataFrame, reference_text: str, *, common_words: int = 100_000) -> Findings:
-    """Furniture, broken words and misread words of texts (tbl, row_key, doc, page, text).
+def find(texts: DataFrame, reference: DataFrame, reference_text: str, titles: DataFrame | None = None, *, common_words: int = 100_000) -> Findings:
+    """Furniture, broken words and misread words of texts (tbl, row_key, doc, page, text); titles (doc, skeleton) are those of the documents.
 
     The vocabulary is counted over all of `reference`. Only its `common_words` most frequent words are sent to the
     tasks, where they spare a shuffle of tokens that need no second look; every other token is looked up by a join
@@ -385,9 +459,9 @@ def find(texts: DataFrame, reference: DataFrame, reference_text: str, *, common_
     known = staged(vocabulary(reference, reference_text).where("n >= 2"), "reference")
     words = staged(trusted_words(known, vocabulary(src, "text")), "vocabulary")
     linked = staged(compounds(reference, reference_text), "compounds")
-    top = words.orderBy(F.desc("n"), "word").limit(common_words).collect()
+    top = most_frequent(words, common_words).collect()
     found = staged(candidates(src, [r.word for r in top], [r.word for r in top if r.known]), "candidates")
-    furniture = staged(furniture_lines(found), "furniture")
+    furniture = staged(furniture_lines(found, titles), "furniture")
     over_two = staged(broken_words(found, furniture, words, linked), "hyphens")
     hyphens, links = over_two.where("broken"), over_two.where("not broken")
 
@@ -419,6 +493,12 @@ _ITEM = re.compile(r"[•*–—-]\s|\(?[a-zA-Z\d০-৯०-९]{1,3}[.)]\s|[\d
 _ROW_OF_VALUES = re.compile(r"\S\s{3,}\d+(?:[.,]\d+)?\s*$|\t")
 
 
+def _replaced(text: str, wrong: str, right: str, count: int = 0) -> tuple[str, int]:
+    """The text with a misread word corrected in the case it is written in, and how often it stood there."""
+    shape = lambda m: right.upper() if m[0].isupper() and len(m[0]) > 1 else right.capitalize() if m[0][:1].isupper() else right
+    return re.subn(f"(?<![\\w\\u0900-\\u09ff]){re.escape(wrong)}(?![\\w\\u0900-\\u09ff])", shape, text, count=count, flags=re.I)
+
+
 def _rebuild(text: str, gone: set[int], joins: list[tuple[int, int, str, bool]], fixes: dict[int, list[tuple[str, str]]]) -> str:
     """The text as paragraphs, without furniture, with broken words joined and misread words replaced."""
     lines = text.split("\n")
@@ -433,29 +513,38 @@ def _rebuild(text: str, gone: set[int], joins: list[tuple[int, int, str, bool]],
         else:
             lines[line_no - 1] = line.rstrip().rstrip(HYPHENS)
             glued.add(line_no)
+    torn: dict[int, list[tuple[str, str]]] = {}
+    for i, found in fixes.items():
+        for wrong, right in found:
+            lines[i - 1], n = _replaced(lines[i - 1], wrong, right)
+            if not n:  # the word stands on two lines and is whole only in its paragraph
+                torn.setdefault(i, []).append((wrong, right))
     kept = [(i, re.sub(r"[ \t]{2,}", " ", x.strip()), bool(_ROW_OF_VALUES.search(x))) for i, x in enumerate(lines, 1) if i not in gone]
     lengths = sorted(len(x) for _, x, _ in kept if x)
     width = lengths[int(0.8 * (len(lengths) - 1))] if lengths else 0
-    paragraphs: list[str] = []
+    paragraphs: list[tuple[str, list[int]]] = []
     carry, tight, ended = "", False, False
+    held: list[int] = []
     for k, (i, bare, row) in enumerate(kept):
         if (not bare or row or ended or _ITEM.match(bare)) and not tight:
-            paragraphs.append(carry)
-            carry = bare
+            paragraphs.append((carry, held))
+            carry, held = bare, []
         else:
             carry = carry + ("" if tight or not carry else " ") + bare
+        held.append(i)
         tight = i in glued
         # a line that left room for the next word was ended by its author: a heading, a row of values, the end of a paragraph
         after = kept[k + 1][1] if k + 1 < len(kept) else ""
         room = len(bare) + 1 + len(after.split(" ")[0]) <= width
         starts = after[:1].isupper() or after[:1].isdigit() or bool(_INDIC.match(after[:1]))
         ended = row or (room and (starts or bool(_STOP.search(bare))))
-    paragraphs.append(carry)
-    out = "\n\n".join(p for p in paragraphs if p)
-    for wrong, right in {f for per_line in fixes.values() for f in per_line}:
-        shape = lambda m, right=right: right.upper() if m[0].isupper() and len(m[0]) > 1 else right.capitalize() if m[0][:1].isupper() else right
-        out = re.sub(f"(?<![\\w\\u0900-\\u09ff]){re.escape(wrong)}(?![\\w\\u0900-\\u09ff])", shape, out, flags=re.I)
-    return out
+    paragraphs.append((carry, held))
+    out = []
+    for body, numbers in paragraphs:
+        for wrong, right in [f for i in numbers for f in torn.get(i, ())]:
+            body, _ = _replaced(body, wrong, right, 1)
+        out.append(body)
+    return "\n\n".join(p for p in out if p)
 
 
 def repaired(texts: DataFrame, f: Findings) -> DataFrame:

@@ -90,6 +90,35 @@ def test_scanned_pages(spark):
     assert scans.marked_lines(empty).count() == 0
 
 
+def test_set_off_lines_and_numbers_are_furniture_only_where_they_come_back(spark):
+    body = "The pressure of the gas rises when the volume falls.\nMany answers named the unit correctly."
+    lone = "Compare the two forces.\nNEWTON'S LAWS OF MOTION\nChapter 3\nQuestion 7\nWhat is the sum?\n42"
+    rows = [("chunks", "c1", "d9", None, lone), ("chunks", "c2", "d9", None, "42"), ("chunks", "c3", "d1", None, f"{body}\nFIRST STEPS IN GASES 2\n{body}")]
+    rows += [("ocr_pages", f"o{k}", "d2", k, f"{k + 8}\n{body}") for k in (37, 38, 39)]  # printed numbers run eight ahead of the pages
+    rows += [("ocr_pages", "o45", "d3", 45, f"37\n{body}"), ("ocr_pages", "o46", "d3", 46, f"46\n{body}")]
+    rows += [("ocr_pages", f"h{k}", "d4", k, f"KINETIC ENERGY   {k}\n{body}") for k in (3, 5, 7)]
+    df = spark.createDataFrame(rows, "tbl string, row_key string, doc string, page int, text string")
+    docs = spark.createDataFrame([("d1", "First Steps in Gases 2"), (None, "x"), ("d5", None)], "id string, title string")
+    ref = spark.createDataFrame([(body,), (body,)], "text string")
+    f = scans.find(df, ref, "text", scans.title_skeletons(docs, "id", "title"))
+    got = {(r.row_key, r.line_no) for r in f.furniture.collect()}
+    assert got == {("c3", 3), ("o37", 1), ("o38", 1), ("o39", 1), ("o46", 1), ("h3", 1), ("h5", 1), ("h7", 1)}
+    without = {(r.row_key, r.line_no) for r in scans.find(df, ref, "text").furniture.collect()}
+    assert without == got - {("c3", 3)}
+
+
+def test_corrections_stay_on_their_line():
+    text = "The tlie sum is known.\n\nA tlie of silk."
+    assert scans._rebuild(text, set(), [], {1: [("tlie", "the")]}) == "The the sum is known.\n\nA tlie of silk."
+
+
+def test_common_words_are_cut_by_their_counts(spark):
+    words = spark.createDataFrame([(f"w{i}", i) for i in range(1, 1001)], "word string, n long")
+    for most in (1, 50, 400, 5000):
+        got = {r.n for r in scans.most_frequent(words, most).collect()}
+        assert got == set(range(min(got), 1001)) and (len(got) <= max(most, 200))
+
+
 def test_junk_pages(spark):
     lines = "\n".join(f"http://shop{i}.test/p/{i}" for i in range(20))
     stuffed = " ".join(w for i, x in enumerate(EN.split()) for w in ([x, "cheap gas course"] if i % 2 else [x]))
