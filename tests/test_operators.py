@@ -9,6 +9,8 @@ from inkwell.operators import joins, merge, parsing, retrieval
 from inkwell.operators.ranks import spread_ranks
 from inkwell.session import shared_folder, small_enough, staged
 from inkwell.sources import files
+from inkwell.operators.samples import hash_sample
+from inkwell.session import clear_staged, folder_exists, list_folder, shared_folder, staged
 from inkwell.streaming.ingest import MergeSink, merge_stream, windowed_counts
 
 
@@ -142,9 +144,48 @@ def test_streaming_merge_and_windows(spark, tmp_path):
     rows((2, "B", 3), (3, "c", 3)).coalesce(1).write.mode("append").parquet(str(src))
     merge_stream(read(), sink, where).awaitTermination()
     assert sorted((r.k, r.v) for r in sink.current(spark).collect()) == [(1, "A"), (2, "B"), (3, "c")]
-    n = len(sink.versions())
-    sink(rows((1, "again", 9)), sink.versions()[-1])
-    assert len(sink.versions()) == n and sink.current(spark).where("v = 'again'").count() == 0
+    n = len(sink.versions(spark))
+    sink(rows((1, "again", 9)), sink.versions(spark)[-1])
+    assert len(sink.versions(spark)) == n and sink.current(spark).where("v = 'again'").count() == 0
+    before = {p.split("/")[-2] for p in sink.parts(spark).values()}
+    sink(rows((3, "C", 9)), 99)  # writes the part of its key only
+    assert [p for p in sink.parts(spark).values() if "/v99/" in p] == [p for b, p in sink.parts(spark).items() if "/v99/" in p][:1]
+    assert before & {p.split("/")[-2] for p in sink.parts(spark).values()}
+    assert sink.drop_old(spark) > 0 and sorted((r.k, r.v) for r in sink.current(spark).collect()) == [(1, "A"), (2, "B"), (3, "C")]
     events = spark.createDataFrame([("2024-01-01 00:01:00", "click", 1.0), ("2024-01-01 00:02:00", "click", 2.0)], "ts string, event_type string, value double")
     got = windowed_counts(events.withColumn("ts", F.to_timestamp("ts"))).collect()
     assert [(r.events, r.value) for r in got] == [(2, 3.0)]
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark):
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        conf = {}
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs://shared/x/"}
+    assert shared_folder(Session()) == "hdfs://shared/x"
+
+
+def test_staged_frames_can_be_removed(spark):
+    clear_staged(spark)
+    a, b = staged(spark.range(5)), staged(spark.range(0))
+    assert a.count() == 5 and b.count() == 0 and b.columns == ["id"]
+    where = a.inputFiles()[0].rsplit("/", 1)[0]
+    assert folder_exists(spark, where) and list_folder(spark, where)
+    assert clear_staged(spark) == 2 and not folder_exists(spark, where) and list_folder(spark, where) == []
+
+
+def test_hash_sample_is_bounded_and_the_same_in_any_order(spark):
+    df = spark.range(20_000, numPartitions=7)
+    h = F.xxhash64("id")
+    got = {r.id for r in hash_sample(df, h, 500, 20_000).collect()}
+    assert len(got) == 500 and got == {r.id for r in hash_sample(df.repartition(3), h, 500, 20_000).collect()}
+    assert hash_sample(df.limit(20), h, 500, 20).count() == 20 and hash_sample(df.where("false"), h, 500, 0).count() == 0
