@@ -65,6 +65,10 @@ def rolling_hashes(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), 2), np.uint64)
     at = 0
     while at < len(texts):
+        if len(texts[at]) > _SLICE_CHARS:
+            out[at] = _long_hashes(texts[at])
+            at += 1
+            continue
         end, size = at, 0
         while end < len(texts) and (end == at or size + len(texts[end]) <= _SLICE_CHARS):
             size += len(texts[end])
@@ -90,6 +94,19 @@ def rolling_hashes(texts: list[str]) -> np.ndarray:
     return out
 
 
+def _long_hashes(text: str) -> np.ndarray:
+    """The hashes of one long text, read slice by slice: a slice's sum is moved on by the power of the characters kept before it."""
+    sums, kept, word = [0, 0], 0, 1 << 64
+    for lo in range(0, len(text), _SLICE_CHARS):
+        codes = _codes(text[lo : lo + _SLICE_CHARS])
+        value = _mix(codes[codes != 0].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        for k, base in enumerate(_BASES):
+            own = int((value * np.cumprod(np.full(len(value), base, np.uint64))).sum(dtype=np.uint64))
+            sums[k] = (sums[k] + own * pow(int(base), kept, word)) % word
+        kept += len(value)
+    return _mix(np.array(sums, np.uint64) + np.uint64(kept)) if kept else np.zeros(2, np.uint64)
+
+
 def _fields(meta: str | None) -> dict | None:
     """The metadata object, or None where it isn't a non-empty JSON object."""
     try:
@@ -210,7 +227,15 @@ def copy_members(df: DataFrame, record_id: str = "record_id", content: str = "co
     comparisons as it has members.
     """
     rows = _input(df, record_id, content, meta)
-    prints = staged(rows.mapInArrow(_fingerprints, "record_id long, h1 long, h2 long"), "fingerprints")
+    return _members(rows, fingerprints(rows))
+
+
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """record_id, h1, h2 of the rows that take part, written once."""
+    return staged(rows.mapInArrow(_fingerprints, "record_id long, h1 long, h2 long"), "fingerprints")
+
+
+def _members(rows: DataFrame, prints: DataFrame) -> DataFrame:
     sets = prints.groupBy("h1", "h2").agg(F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id"))
     several = sets.where("first_id < last_id").select("h1", "h2", "first_id")
     members = prints.join(several, ["h1", "h2"]).where("record_id > first_id").select("record_id", "first_id").distinct()
@@ -237,8 +262,8 @@ def distinct_records(df: DataFrame, record_id: str = "record_id", content: str =
     Takes and leaves out the same rows as copy_members.
     """
     rows = _input(df, record_id, content, meta)
-    taking_part = rows.mapInArrow(_fingerprints, "record_id long, h1 long, h2 long").select("record_id").distinct()
-    pairs = copy_members(df, record_id, content, meta)
+    prints = fingerprints(rows)
+    taking_part, pairs = prints.select("record_id").distinct(), _members(rows, prints)
     counts = pairs.groupBy("first_id").agg(F.count("*").alias("others"))
     kept = taking_part.join(pairs, taking_part.record_id == pairs.other_id, "left_anti")
     return kept.join(counts, kept.record_id == counts.first_id, "left").select(

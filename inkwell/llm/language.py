@@ -5,7 +5,8 @@ seen is scored by the longest of its character n-grams that are known, down to s
 Each sentence takes the language with the best sum, a text the one that holds most of its letters.
 
 The classifier is fitted on a bounded sample of labelled rows (`sample_rows` per label). Labels
-are partly wrong, so the sample is labelled sentence by sentence with a first fit and fitted again.
+are partly wrong, so the sample is labelled sentence by sentence with a first fit and fitted again. A word that the
+sample doesn't hold is taken for a word of a language where most of its n-grams are known.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from inkwell.llm.printform import print_form
+from inkwell.operators.samples import hash_cut
 from inkwell.session import staged
 
 LANGUAGES = ("en", "bn", "fr", "es", "hi")
@@ -35,7 +38,8 @@ _CUT = re.compile(
 _END = re.compile("(?<![.\\s])[.!?।॥][\"”’»)\\]]*\\s*$")
 _GRAM = 4
 MIN_SENTENCE_WORDS = 3
-MIN_KNOWN_SHARE = 0.6
+MIN_KNOWN_SHARE = 0.6  # share of a sentence's words that are known, or look like words, for it to be a whole sentence
+MIN_KNOWN_GRAMS = 0.5  # share of an unseen word's longest n-grams that are known, for it to look like a word
 
 
 def clean(text: str) -> str:
@@ -61,7 +65,8 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
 class WordModel:
     """Log frequencies of words and, for words never seen, of character n-grams."""
 
-    def __init__(self, words: list[str], counts: np.ndarray, smoothing: float = 0.5):
+    def __init__(self, words: list[str], counts: np.ndarray, smoothing: float = 0.5, remember: int = 2_000_000):
+        self.remember = remember  # unseen words a worker keeps the scores of
         total = counts.sum(0) + smoothing * max(1, len(words))
         self.index = {w: i for i, w in enumerate(words)}
         self.rows = [tuple(r) for r in np.log((counts + smoothing) / total)] if len(words) else []
@@ -78,7 +83,9 @@ class WordModel:
             size[len(g)] += c
         kinds = np.bincount([len(g) for g in grams], minlength=_GRAM + 1) if grams else np.ones(_GRAM + 1)
         self.grams = {g: np.log((c + smoothing) / (size[len(g)] + smoothing * kinds[len(g)])) for g, c in grams.items()}
-        self.table = np.array(self.rows or [(0.0,) * len(LANGUAGES)], float)
+        self.table = np.array(self.rows or np.zeros((0, len(LANGUAGES))), float)
+        self.extra: list[np.ndarray] = []
+        self.plausible = [True] * len(self.rows)
 
     @staticmethod
     def _grams(word: str, n: int) -> list[str]:
@@ -92,34 +99,35 @@ class WordModel:
                 return sum(known) / len(known)
         return np.zeros(len(LANGUAGES))
 
-    def ids(self, words: list[str]) -> list[int]:
+    def _looks_known(self, word: str) -> bool:
+        grams = self._grams(word, min(_GRAM, len(word)))
+        return sum(g in self.grams for g in grams) >= MIN_KNOWN_GRAMS * len(grams)
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        """Rows of the words in the table of scores; what was unseen is added to it for the batches to come."""
+        if len(self.extra) > self.remember:  # forget, so that a worker's memory stays bounded
+            keep = len(self.rows)
+            self.index = {w: i for w, i in self.index.items() if i < keep}
+            self.extra, self.table, self.plausible = [], self.table[:keep], self.plausible[:keep]
         get, out = self.index.get, []
         for w in words:
             i = get(w)
-            if i is None:  # remembered for this worker; the table grows by what the batches hold
-                i = self._remember(w)
+            if i is None:
+                i = len(self.rows) + len(self.extra)
+                self.extra.append(self._unseen(w))
+                self.plausible.append(self._looks_known(w))
+                self.index[w] = i
             out.append(i)
-        return out
+        return np.array(out, np.int64)
 
-    def _remember(self, word: str) -> int:
-        if len(self.index) > 2_000_000:  # forget, so that a worker's memory stays bounded
-            keep = len(self.rows)
-            self.index = {w: i for w, i in self.index.items() if i < keep}
-            self.extra = []
-        if not hasattr(self, "extra"):
-            self.extra = []
-        i = len(self.rows) + len(self.extra)
-        self.extra.append(self._unseen(word))
-        self.index[word] = i
-        return i
-
-    def scores(self, ids: list[int]) -> np.ndarray:
-        extra = getattr(self, "extra", [])
-        if len(self.table) < len(self.rows) + len(extra):
-            grown = len(self.rows) + len(extra)
-            fresh = np.array(extra[len(self.table) - len(self.rows) :]) if len(self.table) >= len(self.rows) else np.array(extra)
-            self.table = np.vstack([self.table[: grown - len(fresh)], fresh])
-        return self.table[np.array(ids, np.int64)]
+    def scores(self, ids: np.ndarray) -> np.ndarray:
+        fresh = self.extra[len(self.table) - len(self.rows) :]
+        if fresh:
+            self.table = np.vstack([self.table, np.array(fresh)])
+        return self.table[ids]
+
+    def known(self, ids: np.ndarray) -> np.ndarray:
+        return np.fromiter((self.plausible[i] for i in ids), float, len(ids))
 
 
 def read_batch(texts: list[str | None], model: WordModel):
@@ -148,7 +156,7 @@ def read_batch(texts: list[str | None], model: WordModel):
         return out
     ids, starts = model.ids(words), np.array(owners)
     total = np.add.reduceat(model.scores(ids), starts, axis=0)
-    known = np.add.reduceat((np.array(ids) < len(model.rows)).astype(float), starts) / np.diff([*owners, len(words)])
+    known = np.add.reduceat(model.known(ids), starts) / np.diff([*owners, len(words)])
     best = total.argmax(1)
     post = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
     for (t, a, b, letters, whole), k, p, share in zip(marks, best, post, known):
@@ -204,11 +212,14 @@ def fit(df: DataFrame, text: str, label: str, *, sample_rows: int = 3_000, seed:
     model knows no word and every text has no language.
     """
     rows = df.select(F.col(f"`{text}`").alias("t"), declared(F.col(f"`{label}`")).alias("l")).where("t is not null")
-    picked = None
-    for lang in LANGUAGES:
-        part = rows.where(F.col("l") == lang).withColumn("h", F.xxhash64(F.lit(seed), F.md5("t"))).orderBy("h").limit(sample_rows)
-        picked = part if picked is None else picked.unionByName(part)
-    picked = staged(picked.select("t", "l"), "sample")
+    sizes = {r.l: r.n for r in rows.where(F.col("l").isin(*LANGUAGES)).groupBy("l").agg(F.count("*").alias("n")).collect()}
+    # what the cut lets through is a little more than the sample, whatever the size of the table; copies of a text are one row
+    cut = F.lit(None).cast("long")
+    for lang, n in sizes.items():
+        cut = F.when(F.col("l") == lang, F.lit(hash_cut(sample_rows, n))).otherwise(cut)
+    few = rows.withColumn("h", F.xxhash64(F.lit(seed), "t")).where(F.col("h") <= cut)
+    few = few.groupBy("l", "h").agg(F.min("t").alias("t")).withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h")))
+    picked = staged(few.where(F.col("r") <= sample_rows).select("t", "l").repartition(df.sparkSession.sparkContext.defaultParallelism), "sample")
     model = None
     for _ in range(refits + 1):
         held = df.sparkSession.sparkContext.broadcast(model)
@@ -295,12 +306,37 @@ def owner_languages(labelled: DataFrame) -> DataFrame:
     )
 
 
+def labelled_tables(documents: DataFrame, chunks: DataFrame, *, sample_rows: int = 3_000) -> tuple[DataFrame, DataFrame]:
+    """label_texts of documents and of the distinct chunks, by a model fitted on documents."""
+    model = fit(documents, "text", "lang", sample_rows=sample_rows)
+    docs = label_texts(documents, "doc_id", "text", "lang", model)
+    own = label_texts(chunks, "chunk_id", "text", "language", model, "source_document_id")
+    return docs, own.dropDuplicates(["row_key"])
+
+
+def all_labels(documents: DataFrame, chunks: DataFrame, sources: DataFrame, *, sample_rows: int = 3_000) -> DataFrame:
+    """tbl, row_key, label, main, confidence of every text and source document; null main where nothing is written in a language."""
+    docs, own = (staged(x.drop("passages"), "labels") for x in labelled_tables(documents, chunks, sample_rows=sample_rows))
+    src = sources.select(F.col("source_document_id").alias("row_key"), F.col("declared_language").alias("label")).where("row_key is not null")
+    of = src.join(owner_languages(own).withColumnRenamed("owner", "row_key"), "row_key", "left")
+    parts = [x.select(F.lit(name).alias("tbl"), "row_key", "label", "main", "confidence") for name, x in (("documents", docs), ("chunks", own), ("source_documents", of))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def all_passages(documents: DataFrame, chunks: DataFrame, *, sample_rows: int = 3_000) -> DataFrame:
+    """tbl, row_key, place, lang, start, end, letters, confidence: the runs of sentences in one language of every text, with
+    offsets into clean(text); texts that hold no language have no row."""
+    out = None
+    for name, labelled in zip(("documents", "chunks"), labelled_tables(documents, chunks, sample_rows=sample_rows)):
+        rows = labelled.select(F.lit(name).alias("tbl"), "row_key", F.posexplode("passages").alias("place", "p"))
+        rows = rows.select("tbl", "row_key", "place", "p.lang", "p.start", "p.end", "p.letters", "p.confidence")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def language_report(documents: DataFrame, chunks: DataFrame, sources: DataFrame, *, sample_rows: int = 3_000) -> DataFrame:
     """tbl, row_key, kind, lang: every wrong or missing label (main) and every language of a mixed text (segment)."""
-    model = fit(documents, "text", "lang", sample_rows=sample_rows)
-    docs = staged(label_texts(documents, "doc_id", "text", "lang", model).drop("passages"), "documents")
-    own = label_texts(chunks, "chunk_id", "text", "language", model, "source_document_id").drop("passages")
-    own = staged(own.dropDuplicates(["row_key"]), "chunks")
+    docs, own = (staged(x.drop("passages"), "labels") for x in labelled_tables(documents, chunks, sample_rows=sample_rows))
     parts = []
     for name, labelled in (("documents", docs), ("chunks", own)):
         for kind, found in (("main", wrong_labels(labelled)), ("segment", mixed_languages(labelled))):

@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters of the Cyrillic and Greek scripts drawn like a Latin letter.
+from inkwell.session import staged
+
+# Letters of other scripts drawn like a Latin letter, and signs drawn like another.
 LOOKALIKES = {
     # Cyrillic capitals
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
@@ -31,7 +33,22 @@ LOOKALIKES = {
     "Τ": "T", "Υ": "Y", "Χ": "X",
     # Greek small letters
     "ν": "v", "ο": "o", "ϲ": "c", "ϳ": "j",
+    # the palochka, the script g, the Bengali sign drawn like a danda
+    "ӏ": "l", "ɡ": "g", "৷": "।",
+    # Cherokee
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮢ": "R",
+    "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    # Lisu
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M",
+    "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
+}
+
+# Vowel letters of Devanagari and Bengali that a letter and a sign, which Unicode doesn't compose, look like.
+VOWELS = {
+    "अॆ": "ऄ", "अा": "आ", "उु": "ऊ", "एॅ": "ऍ", "एॆ": "ऎ", "एे": "ऐ", "अॉ": "ऑ", "आॅ": "ऑ", "अॊ": "ऒ", "आॆ": "ऒ", "अो": "ओ", "आे": "ओ",
+    "अौ": "औ", "आै": "औ", "অা": "আ", "ঋৃ": "ৠ", "ঌৢ": "ৡ",
 }
+_VOWEL = re.compile("|".join(VOWELS))
 
 # Compatibility decompositions whose result looks different in print.
 _VISIBLE_TAGS = ("<super>", "<sub>", "<fraction>", "<circle>", "<font>", "<square>")
@@ -73,7 +90,8 @@ def print_form(text: str) -> str:
         text = _JOINER.sub("", text)
     if "\u00ad" in text:  # drawn only where it breaks a word over two lines
         text = _SOFT_HYPHEN.sub(lambda m: m[0] if m[1] and m[2] else (m[1] or "") + (m[2] or ""), text)
-    return unicodedata.normalize("NFC", text.translate(_GLYPHS))
+    text = unicodedata.normalize("NFC", text.translate(_GLYPHS))
+    return _VOWEL.sub(lambda m: VOWELS[m[0]], text) if "ऀ" <= max(text, default="") else text
 
 
 def folded_form(text: str) -> str:
@@ -128,22 +146,31 @@ def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     Returns first_key, second_key (strings, first_key < second_key), each pair once.
     Rows with a null key or null text take no part; a repeated row counts once; an empty
     table gives no pairs. Other columns are ignored, whatever their names.
-    Only forms met with at least two spellings are joined, spelling by spelling, so a text
-    with many exact copies and one spelling costs nothing. The spellings of one form are
-    joined on (form, spelling), which spreads a hot form over its spellings, and AQE splits
-    what is still skewed.
+    Only forms met with at least two spellings are joined: first the spellings of a form with each other, then the rows of
+    each on (form, spelling), so every row made is a pair to be returned, whatever the number of exact copies of a spelling,
+    and AQE splits what is skewed.
     """
+    members = spelt_rows(df, key, text)
+    spellings = members.select("form", "spelling").distinct()
+    ways = spellings.withColumnRenamed("spelling", "sa").join(spellings.withColumnRenamed("spelling", "sb"), "form").where("sa < sb")
+    a = members.select("form", F.col("spelling").alias("sa"), F.col("k").alias("ka"))
+    b = members.select("form", F.col("spelling").alias("sb"), F.col("k").alias("kb"))
+    pairs = ways.join(a, ["form", "sa"]).join(b, ["form", "sb"]).where("ka <> kb")
+    return pairs.select(F.least("ka", "kb").alias("first_key"), F.greatest("ka", "kb").alias("second_key")).distinct()
+
+
+def spelt_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """k, form, spelling (hashes) of the rows whose form is met with at least two spellings, written once."""
     rows = df.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
     rows = with_print_form(rows.where("k is not null and t is not null"), "t", "p")
-    rows = rows.select("k", _hash128(F.col("p")).alias("form"), _hash128(F.col("t")).alias("spelling")).distinct()
-    spellings = rows.groupBy("form", "spelling").agg(F.count("*").alias("n"))
-    several = spellings.groupBy("form").agg(F.count("*").alias("m")).where("m > 1").select("form")
-    members = rows.join(several, "form", "left_semi")
-    a = members.select("form", F.col("spelling").alias("sa"), F.col("k").alias("first_key"))
-    b = members.select("form", F.col("spelling").alias("sb"), F.col("k").alias("second_key"))
-    return (
-        a.join(b, "form")
-        .where((F.col("sa") != F.col("sb")) & (F.col("first_key") < F.col("second_key")))
-        .select("first_key", "second_key")
-        .distinct()
-    )
+    rows = rows.select("k", _hash128(F.col("p")).alias("form"), _hash128(F.col("t")).alias("spelling"))
+    rows = staged(rows, "forms").distinct()
+    several = rows.groupBy("form").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("form")
+    return rows.join(several, "form", "left_semi")
+
+
+def lookalike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, class_id, spellings, members: the rows that lookalike_pairs pairs, one row each with their class, for sets too large to be listed in pairs."""
+    rows = spelt_rows(df, key, text)
+    sizes = rows.groupBy("form").agg(F.count_distinct("spelling").alias("spellings"), F.count_distinct("k").alias("members"))
+    return rows.join(sizes, "form").select(F.col("k").alias("key"), F.lower(F.hex("form")).alias("class_id"), "spellings", "members").distinct()

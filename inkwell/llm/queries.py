@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import formatdup, junk, language, mixing, neighbours, packing, printform, scans, tokens
+from inkwell.session import shared_folder
 from inkwell.sources.tables import table
 
 
@@ -17,30 +19,59 @@ _SLICED = [
 ]
 
 
+def _ledger(spark: SparkSession) -> tokens.Ledger:
+    return tokens.Ledger(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+
+
+def _one_shape(cube: DataFrame, name: str, slices: list[str]) -> DataFrame:
+    return cube.select(F.lit(name).alias("tbl"), *[F.col(s).alias(f"slice_{i}") for i, s in enumerate(slices, 1)], "texts", "tokens")
+
+
 def p1_budget(spark: SparkSession, d: str) -> DataFrame:
     """Texts and tokens of every slice: documents by source, lang and domain, chunks by offering, language and type."""
-    parts = []
-    for name, key, text, slices in _SLICED:
-        cube = tokens.budget(table(spark, d, name), key, text, slices)
-        parts.append(cube.select(F.lit(name).alias("tbl"), *[F.col(s).alias(f"slice_{i}") for i, s in enumerate(slices, 1)], "texts", "tokens"))
+    ledger = _ledger(spark)
+    parts = [_one_shape(tokens.budget(table(spark, d, name), key, text, slices, ledger=ledger), name, slices) for name, key, text, slices in _SLICED]
     return parts[0].unionByName(parts[1])
 
 
 def p1_text_tokens(spark: SparkSession, d: str) -> DataFrame:
-    parts = [tokens.text_tokens(table(spark, d, name), key, text).withColumn("tbl", F.lit(name)) for name, key, text, _ in _SLICED]
-    return parts[0].unionByName(parts[1])
+    """Tokens of every text, through the ledger."""
+    ledger, out = _ledger(spark), None
+    for name, key, text, slices in _SLICED:
+        rows = table(spark, d, name)
+        counts = ledger.extend(rows, text).select("content", "tokens")
+        one = tokens.state(rows, key, text, []).where("content is not null").join(counts, "content")
+        one = one.select(F.col(key).cast("string").alias("row_key"), "tokens", F.lit(name).alias("tbl"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _states(spark: SparkSession, d: str, name: str) -> list[DataFrame]:
+    """A table as it may have stood at three times: the first two thirds of its period, with raw texts and labels as written;
+    the last two thirds, with the texts and labels of today; and as it is. Between them rows come, go and change."""
+    rows, at = table(spark, d, name), {"documents": "added_at", "chunks": "created_at"}[name]
+    when = F.unix_micros(F.col(at).cast("timestamp"))
+    thirds = rows.agg(F.percentile_approx(when, [1 / 3, 2 / 3]).alias("t")).first().t or [0, 0]
+    if name == "chunks":
+        older = rows.withColumn("text", F.coalesce("text_raw", "text")).withColumn("language", F.lower("language"))
+    else:
+        older = rows.withColumn("text", F.rtrim("text")).withColumn("lang", F.lower(F.trim("lang")))
+    return [older.where(when <= thirds[1]), rows.where(when > thirds[0]), rows]
 
 
 def p1_refreshed(spark: SparkSession, d: str) -> DataFrame:
-    """The documents' cube, built for the texts there at the middle of the period and brought up to date by signed deltas."""
-    docs, (name, key, text, slices), tok = table(spark, d, "documents"), _SLICED[0], tokens.TokenizerFile()
-    middle = docs.agg(F.expr("percentile_approx(unix_micros(cast(added_at as timestamp)), 0.5)")).first()[0] or 0
-    old = docs.where(F.expr(f"unix_micros(cast(added_at as timestamp)) <= {middle}"))
-    ledger = tokens.staged(tokens.extend_ledger(old, text, None, tok), "ledger")
-    before, after = tokens.state(old, key, text, slices), tokens.state(docs, key, text, slices)
-    cube = tokens.staged(tokens.apply_deltas(tokens.empty_cube(spark, slices), tokens.signed_deltas(None, before, key, slices, ledger, tok), slices), "cube")
-    ledger = ledger.unionByName(tokens.staged(tokens.extend_ledger(docs, text, ledger, tok), "ledger"))
-    return tokens.apply_deltas(cube, tokens.signed_deltas(before, after, key, slices, ledger, tok), slices)
+    """The cubes of p1_budget, built for an earlier state of the tables and brought up to date twice by signed deltas: for rows
+    removed, changed and added, and for rows that come back. The ledger is kept between the three runs."""
+    ledger, tok, out = _ledger(spark), tokens.TokenizerFile(), None
+    for name, key, text, slices in _SLICED:
+        cube, before = tokens.empty_cube(spark, slices), None
+        for rows in _states(spark, d, name):
+            after = tokens.staged(tokens.state(rows, key, text, slices), "state")
+            deltas = tokens.signed_deltas(before, after, key, slices, ledger.extend(rows, text), tok)
+            cube, before = tokens.staged(tokens.apply_deltas(cube, deltas, slices), "cube"), after
+        one = _one_shape(cube, name, slices)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,6 +96,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return language.language_report(table(spark, d, "documents"), table(spark, d, "chunks"), table(spark, d, "source_documents"))
 
 
+def p3_labels(spark: SparkSession, d: str) -> DataFrame:
+    return language.all_labels(table(spark, d, "documents"), table(spark, d, "chunks"), table(spark, d, "source_documents"))
+
+
+def p3_passages(spark: SparkSession, d: str) -> DataFrame:
+    return language.all_passages(table(spark, d, "documents"), table(spark, d, "chunks"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return formatdup.copy_members(table(spark, d, "legacy_records"))
 
@@ -99,6 +138,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p6_found's pairs with their class, one row each."""
+    sides = [("chunks", "chunk_id", "text"), ("legacy_records", "record_id", "content")]
+    parts = [printform.lookalike_classes(table(spark, d, t), key, text).withColumn("tbl", F.lit(t)) for t, key, text in sides]
+    return parts[0].unionByName(parts[1])
+
+
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", F.col("text").cast("string").alias("text"))
     return tokens.counted(docs, "text")
@@ -155,7 +201,7 @@ def p9_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        p1_budget, p1_text_tokens, p1_refreshed, p2_found, p2_nearest, p2_recall, p3_found, p4_found, p4_copies, p5_found, p5_repaired, p6_found,
+        p1_budget, p1_text_tokens, p1_refreshed, p2_found, p2_nearest, p2_recall, p3_found, p3_labels, p3_passages, p4_found, p4_copies, p5_found, p5_repaired, p6_found, p6_classes,
         p7_report, p8_mix, p8_shares, p9_found, p9_shapes, p9_groups,
     )
     packs = {f"p7_pack_{label.split()[0]}": _packed(label) for label in ("medium window", "short window", "long window", "wide window")}

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.session import small_enough, staged
+from inkwell.session import folder_exists, list_folder, shared_folder, small_enough, staged
 
 # Fixed value: the pattern by which the byte-level vocabularies cut a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -92,8 +93,9 @@ def content_hash(text: str):
 def extend_ledger(df: DataFrame, text: str, ledger: DataFrame | None = None, tokenizer: TokenizerFile = TokenizerFile()) -> DataFrame:
     """New ledger rows (content, tokenizer, tokens) for the contents of df that the ledger doesn't hold under this tokenizer.
 
-    With no ledger every content is encoded where it lies. With one, the hashes alone are compared; the unseen ones
-    are sent to the texts if they are few, else texts and hashes are joined. Null texts have no content and no row.
+    Copies are brought together by the hash of their content, where a hot content has been reduced to one row a partition
+    before the shuffle, and each content is encoded once. With a ledger, the hashes alone are compared first, and only unseen
+    texts move. Null texts have no content and no row.
     """
     src = df.select(F.col(f"`{text}`").cast("string").alias("text")).where("text is not null").withColumn("content", content_hash("text"))
     if ledger is not None:
@@ -101,10 +103,35 @@ def extend_ledger(df: DataFrame, text: str, ledger: DataFrame | None = None, tok
         unseen = src.select("content").distinct().join(seen, "content", "left_anti")
         unseen = staged(unseen, "unseen")
         src = src.join(F.broadcast(unseen) if small_enough(unseen, 200_000) else unseen, "content", "left_semi")
-    rows = counted(src.select("content", "text"), "text", tokenizer).dropDuplicates(["content"])
+    rows = counted(src.groupBy("content").agg(F.first("text").alias("text")), "text", tokenizer)
     return rows.select("content", F.lit(tokenizer.digest()).alias("tokenizer"), "tokens")
 
 
+class Ledger:
+    """The ledger kept as a table under a folder from run to run. Every run adds a part of its own, which counts once it is finished.
+
+    A content that two runs added at the same time stands there twice with the same count, so rows() makes it one.
+    """
+
+    _SCHEMA = "content string, tokenizer string, tokens long"
+
+    def __init__(self, spark: SparkSession, path: str, tokenizer: TokenizerFile = TokenizerFile()):
+        self.spark, self.path, self.tokenizer = spark, path.rstrip("/"), tokenizer
+
+    def rows(self) -> DataFrame:
+        parts = [f"{self.path}/{f}" for f in list_folder(self.spark, self.path)]
+        parts = [p for p in parts if folder_exists(self.spark, f"{p}/_SUCCESS")]
+        if not parts:
+            return self.spark.createDataFrame([], self._SCHEMA)
+        return self.spark.read.schema(self._SCHEMA).parquet(*parts).dropDuplicates(["content", "tokenizer"])
+
+    def extend(self, df: DataFrame, text: str) -> DataFrame:
+        """Add what df has that the ledger hasn't, and return the ledger."""
+        known = self.rows() if list_folder(self.spark, self.path) else None
+        extend_ledger(df, text, known, self.tokenizer).write.parquet(f"{self.path}/part-{uuid.uuid4().hex}")
+        return self.rows()
+
+
 def empty_cube(spark: SparkSession, slices: list[str]) -> DataFrame:
     return spark.createDataFrame([], ", ".join([*(f"`{s}` string" for s in slices), "texts long", "tokens long"]))
 
@@ -135,10 +162,14 @@ def state(df: DataFrame, key: str, text: str, slices: list[str]) -> DataFrame:
     return rows.select(f"`{key}`", "content", *[f"`{s}`" for s in slices]).dropDuplicates([key])
 
 
-def budget(df: DataFrame, key: str, text: str, slices: list[str], tokenizer: TokenizerFile = TokenizerFile()) -> DataFrame:
-    """The cube of a table from nothing: slices, texts (rows with a key; a null text counts with 0 tokens), tokens."""
-    ledger = staged(extend_ledger(df, text, None, tokenizer), "ledger")
-    deltas = signed_deltas(None, state(df, key, text, slices), key, slices, ledger, tokenizer)
+def budget(df: DataFrame, key: str, text: str, slices: list[str], tokenizer: TokenizerFile = TokenizerFile(), ledger: Ledger | None = None) -> DataFrame:
+    """The cube of a table from nothing: slices, texts (rows with a key; a null text counts with 0 tokens), tokens.
+
+    ledger: the one to read and extend; by default a new one.
+    """
+    if ledger is None:
+        ledger = Ledger(df.sparkSession, f"{shared_folder(df.sparkSession)}/ledger-{uuid.uuid4().hex}", tokenizer)
+    deltas = signed_deltas(None, state(df, key, text, slices), key, slices, ledger.extend(df, text), tokenizer)
     return apply_deltas(empty_cube(df.sparkSession, slices), deltas, slices)
 
 

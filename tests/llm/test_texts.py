@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +181,39 @@ def test_notices_and_torn_lines_are_no_sentence(spark, model):
     torn = "Les élèves confondent souvent la vitesse\nand zqwx leavv thys margyn\nblank ......\net la force pendant l'évaluation. " + FR
     got = language.label_texts(spark.createDataFrame([(1, torn, "fr"), (2, "zqwx blarg thys margyn only. " + FR, "fr")], "k int, t string, l string"), "k", "t", "l", model).collect()
     assert all(r.whole == ["fr"] and r.main == "fr" for r in got)
+
+
+def test_forgotten_words_keep_their_own_scores():
+    """With room for few unseen words, a word scores as it would alone, whatever was read before."""
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdeilnorstu") for _ in range(6)) for _ in range(400)]
+    seen = ["the", "pressure", "gas", "la", "pression", "gaz", "presion", "leave", "under"]
+    counts = np.array([[9, 0, 0, 0, 0], [5, 0, 0, 0, 0], [4, 0, 0, 0, 0], [0, 0, 9, 9, 0], [0, 0, 5, 0, 0], [0, 0, 4, 0, 0], [0, 0, 0, 5, 0], [3, 0, 0, 0, 0], [3, 0, 0, 0, 0]], float)
+    small = language.WordModel(seen, counts, remember=10)
+    for k in range(0, 400, 7):
+        batch = words[k : k + 7] + ["the", "theth", "undle"]
+        alone = language.WordModel(seen, counts)
+        assert np.allclose(small.scores(small.ids(batch)), alone.scores(alone.ids(batch)))
+        assert (small.known(small.ids(batch)) == alone.known(alone.ids(batch))).all() and len(small.extra) <= 30
+
+
+def test_the_sample_is_bounded_and_copies_count_once(spark):
+    rows = [(f"{EN} {i}", "en") for i in range(300)] + [(FR, " FR-ca ")] * 5000 + [(ES, "es"), (None, "es"), ("", "en"), ("x", None)]
+    df = spark.createDataFrame(rows, "t string, l string").repartition(5)
+    model = language.fit(df, "t", "l", sample_rows=20, refits=0)
+    assert {"pression", "presión", "pressure"} <= set(model.index)
+    assert max(np.exp(model.rows[model.index["pression"]])) < 1  # one copy, not thousands, stands beside the others
+    one = language.fit(df.repartition(2), "t", "l", sample_rows=20, refits=0)
+    assert set(one.index) == set(model.index)
+
+
+def test_passages_and_labels_of_every_text(spark):
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([EN, FR, EN + " " + FR, "", None, "12 = 3"])], "doc_id long, text string, lang string")
+    docs = docs.unionByName(spark.createDataFrame([(100 + i, f"{t} {i}", x) for i in range(20) for t, x in ((EN, "en"), (FR, "fr"), (ES, "es"), (BN, "bn"), (HI, "hi"))], docs.schema))
+    chunks = spark.createDataFrame([("c", BN, None, "s1"), ("c", BN, None, "s1"), ("d", FR, "fr", "s1")], "chunk_id string, text string, language string, source_document_id string")
+    sources = spark.createDataFrame([("s1", "en"), ("s2", None)], "source_document_id string, declared_language string")
+    labels = {(r.tbl, r.row_key): r for r in language.all_labels(docs, chunks, sources).collect()}
+    assert labels["documents", "1"].main == "fr" and labels["documents", "1"].confidence > 0.9 and labels["documents", "3"].main is None
+    assert labels["chunks", "c"].main == "bn" and labels["source_documents", "s2"].main is None
+    parts = sorted((r.place, r.lang, r.start, r.end, r.confidence) for r in language.all_passages(docs, chunks).where("tbl = 'documents' and row_key = '2'").collect())
+    assert [(p, x) for p, x, *_ in parts] == [(0, "en"), (1, "fr")] and parts[0][2] == 0 and parts[1][3] == len(EN) + 1 + len(FR) and all(p[4] > 0.9 for p in parts)

@@ -151,3 +151,29 @@ def test_mix(spark):
     assert mixing.mix(df.where("false"), goal).count() == 0 and mixing.mix(df, goal.where("false")).count() == 0
     fixed = mixing.mix(df, goal, total=1000)
     assert sum(r.tokens * r.times for r in fixed.collect()) == pytest.approx(1000, abs=2)
+
+
+def test_a_ledger_encodes_each_content_once_and_outlives_a_run(spark, tmp_path, monkeypatch):
+    ledger = tokens.Ledger(spark, str(tmp_path / "ledger"))
+    assert ledger.rows().count() == 0
+    first = spark.createDataFrame([(i, f"text {i % 10}") for i in range(200)] + [(900, None), (901, "")], "k int, text string").repartition(6)
+    assert ledger.extend(first, "text").count() == 11
+    again = tokens.Ledger(spark, str(tmp_path / "ledger"))
+    fresh = tokens.extend_ledger(first.unionByName(spark.createDataFrame([(1, "new")], first.schema)), "text", again.rows())
+    assert fresh.count() == 1
+    assert again.extend(first, "text").count() == 11 and tokens.extend_ledger(first, "text").count() == 11
+
+
+def test_refreshed_cubes_equal_a_rebuild(spark, folder):
+    from inkwell.llm import queries as Q
+
+    assert sorted(map(str, Q.p1_refreshed(spark, folder).collect())) == sorted(map(str, Q.p1_budget(spark, folder).collect()))
+    for name in ("documents", "chunks"):
+        first, second, last = Q._states(spark, folder, name)
+        key = {"documents": "doc_id", "chunks": "chunk_id"}[name]
+        assert first.join(second, key, "left_anti").count() and second.join(first, key, "left_anti").count() and last.join(second, key, "left_anti").count()
+    texts = {name: spark.read.parquet(f"{folder}/{name}.parquet").where(f"{key} is not null").dropDuplicates([key]) for name, key in (("documents", "doc_id"), ("chunks", "chunk_id"))}
+    for name, df in texts.items():  # each table's cube holds what its texts count, encoded without a ledger
+        whole = tokens.counted(df.select("text").where("text is not null"), "text").agg(F.sum("tokens")).first()[0]
+        assert sum(r.tokens for r in Q.p1_budget(spark, folder).collect() if r.tbl == name) == whole > 0
+    assert sum(r.tokens for r in Q.p1_budget(spark, folder).collect()) == Q.p1_text_tokens(spark, folder).agg(F.sum("tokens")).first()[0]

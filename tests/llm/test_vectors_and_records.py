@@ -203,3 +203,26 @@ def test_lookalike_pairs(spark):
     assert printform.lookalike_pairs(df.where("false"), "id", "text").count() == 0
     forms = printform.with_print_form(df, "text", "out", fold=True)
     assert {r.out for r in forms.where("id = '5'").collect()} == {"alpha"}
+
+
+def test_long_texts_are_hashed_slice_by_slice(monkeypatch):
+    texts = ["Straße, 12 " * 400, "STRASSE 12" * 400, "a b", "", " .,", "ক খ গ " * 300]
+    whole = formatdup.rolling_hashes(texts)
+    monkeypatch.setattr(formatdup, "_SLICE_CHARS", 64)
+    assert (formatdup.rolling_hashes(texts) == whole).all() and (whole[0] == whole[1]).all() and (whole[3] == 0).all()
+
+
+def test_print_form_of_signs_and_vowels_of_other_scripts():
+    same = [("অা", "আ"), ("अा", "आ"), ("अो", "ओ"), ("क৷", "क।"), ("paӏӏ", "pall"), ("ɡas", "gas"), ("ᎪᏴ", "AB"), ("ꓮꓐ", "AB"), ("एे", "ऐ")]
+    assert all(printform.print_form(a) == printform.print_form(b) for a, b in same)
+    assert printform.print_form("अब") != printform.print_form("आब") and printform.print_form("") == ""
+
+
+def test_classes_hold_the_rows_of_the_pairs(spark):
+    rows = [("a", "gas"), ("b", "g\u0430s"), ("c", "gas"), ("c", "gas"), ("d", "gаs "), ("e", "other"), ("f", None), (None, "gas")]
+    df = spark.createDataFrame(rows, "id string, text string").withColumn("form", F.lit(1)).withColumn("k", F.lit(2))
+    pairs = {(r.first_key, r.second_key) for r in printform.lookalike_pairs(df, "id", "text").collect()}
+    assert pairs == {("a", "b"), ("b", "c")}
+    classes = printform.lookalike_classes(df, "id", "text").collect()
+    assert {r.key for r in classes} == {"a", "b", "c"} and all(r.spellings == 2 and r.members == 3 for r in classes)
+    assert printform.lookalike_classes(df.where("false"), "id", "text").count() == 0
