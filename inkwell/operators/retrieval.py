@@ -11,11 +11,13 @@ from inkwell.session import small_enough
 
 WORD = "[\\p{L}\\p{N}][\\p{L}\\p{M}\\p{N}]*"
 QUERY_WORD = "[A-Za-z\\u0980-\\u09FF]{4,}"
-# Words too common to identify a text, fusion constant, weights by query language, field weights.
+# Words too common to identify a text.
 STOP_WORDS = (
-    "a an and are as at be been by can could did diagram do does figure following for from given gives had has have if in is it its "
-    "may might must no not of on or shall should shown so such table than that the then this to was were which will with would"
+    "the a an and or of to in is are was were be been for on at by with from that this "
+    "which it its as if then than so such not no do does did can could will would may "
+    "might shall should must have has had following gives shown diagram figure table"
 ).split()
+# Fusion constant, depth of a list, weights by query language, field weights.
 RRF_K = 60
 DEPTH = 30
 WEIGHTS = {"en": (0.6, 0.4), "bn": (0.4, 0.6)}  # dense, sparse
@@ -26,12 +28,18 @@ def tokens(c: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(f"({pattern})"), F.lit(1))
 
 
-def postings(df: DataFrame, key: str, scope: str, fields: dict[str, str]) -> DataFrame:
-    """key, scope, token, weight: the summed field weights of each token of a text; fields maps a column to its class A, B or C."""
+def postings(df: DataFrame, key: str, scope: str, fields: dict[str, str], asked: DataFrame | None = None) -> DataFrame:
+    """key, scope, token, weight: the summed field weights of each token of a text; fields maps a column to its class A, B or C.
+
+    asked: the tokens that are wanted (a column token); others are left out before anything is counted.
+    """
     parts = None
     for column, klass in fields.items():
         one = df.select(key, scope, F.explode(tokens(F.col(column))).alias("token"), F.lit(FIELD_WEIGHTS[klass]).alias("w"))
         parts = one if parts is None else parts.unionByName(one)
+    if asked is not None:
+        wanted = asked.select("token").distinct()
+        parts = parts.join(F.broadcast(wanted) if small_enough(wanted, 200_000) else wanted, "token", "left_semi")
     return parts.groupBy(key, scope, "token").agg(F.round(F.sum("w"), 6).alias("weight"))
 
 
@@ -124,14 +132,35 @@ def rerank(ranked: DataFrame, scores: DataFrame, *, query: str, key: str, pool:
     return rows.select(query, key, F.col("rank").alias("before"), F.row_number().over(w).alias("rank"))
 
 
-def known_item(ranked: DataFrame, asked: DataFrame, *, query: str, key: str, k: int = 5) -> DataFrame:
-    """evaluated, recall_at_1, recall_at_k, mrr of lists whose right answer is the query's own text; half-even rounding to 4 places."""
-    hit = ranked.where(F.col(query) == F.col(key)).select(query, F.col("rank").alias("place"))
-    rows = asked.select(query).distinct().join(hit, query, "left")
+def known_item(ranked: DataFrame, asked: DataFrame, *, query: str, key: str, k: int = 5, threshold: float = 0.8) -> DataFrame:
+    """evaluated, recall_at_1, recall_at_k, mrr, passed (recall_at_k of at least `threshold`) of lists whose right answer is the
+    text a query was made from; half-even rounding to 4 places.
+
+    asked has query, and own where the right answer isn't the query's own key.
+    """
+    right = asked.select(query, F.col("own" if "own" in asked.columns else query).alias("__own")).distinct()
+    hit = ranked.join(right, query).where(F.col("__own") == F.col(key)).select(query, F.col("rank").alias("place"))
+    rows = right.select(query).join(hit, query, "left")
     share = lambda cond: F.bround(F.avg(F.when(cond, 1.0).otherwise(0.0)), 4)
-    return rows.agg(
+    one = rows.agg(
         F.count("*").alias("evaluated"),
         share(F.col("place") == 1).alias("recall_at_1"),
         share(F.col("place") <= k).alias("recall_at_k"),
         F.bround(F.avg(F.coalesce(1.0 / F.col("place"), F.lit(0.0))), 4).alias("mrr"),
     )
+    return one.withColumn("passed", F.coalesce(F.col("recall_at_k") >= threshold, F.lit(False)))
+
+
+def diagnostics(dense: DataFrame, sparse: DataFrame, fused: DataFrame, queries: DataFrame, available: DataFrame, *, query: str) -> DataFrame:
+    """query, lang, lexical_found, semantic_found, embedded, candidates, notes: what each retriever had for each query.
+
+    queries has query, lang and scope; available has scope and embedded, the vectors there are. A query whose scope has none
+    says so in its notes, and so does one that found nothing; an empty list makes zeros, not a missing row.
+    """
+    n = lambda df, name: df.groupBy(query).agg(F.count("*").alias(name))
+    rows = queries.select(query, "lang", "scope").join(available, "scope", "left")
+    for df, name in ((sparse, "lexical_found"), (dense, "semantic_found"), (fused, "candidates")):
+        rows = rows.join(n(df, name), query, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    notes = F.array_compact(F.array(F.when(zero("embedded") == 0, "no vectors in scope"), F.when(zero("candidates") == 0, "nothing found")))
+    return rows.select(query, "lang", *[zero(c).alias(c) for c in ("lexical_found", "semantic_found", "embedded", "candidates")], F.array_join(notes, "; ").alias("notes"))

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from inkwell.operators import answers as A
 from inkwell.operators import retrieval as R
 from inkwell.session import staged
 from inkwell.sources.tables import table
@@ -49,8 +51,9 @@ QUERY_TERMS = f"WITH {_TERMS} SELECT doc_id, string_agg(word, ' ' ORDER BY rank)
 
 def _lexical(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.coalesce("domain", F.lit("-")).alias("domain"), "text", "chunk_type")
-    index = R.postings(docs, "doc_id", "domain", {"text": "C", "chunk_type": "A"})
     asked = _terms(spark, d).join(docs.select("doc_id", "domain"), "doc_id").select(F.col("doc_id").alias("query_id"), "domain", F.col("word").alias("token"))
+    asked = staged(asked, "asked")
+    index = R.postings(docs, "doc_id", "domain", {"text": "C", "chunk_type": "A"}, asked)
     return R.lexical(asked, index, query="query_id", key="doc_id", scope="domain")
 
 
@@ -76,7 +79,7 @@ def known_item(spark: SparkSession, d: str) -> DataFrame:
 
 KNOWN_ITEM = f"""WITH {_LEX}, a AS (SELECT DISTINCT doc_id AS query_id FROM terms), p AS (SELECT a.query_id, lex.rank AS place FROM a LEFT JOIN lex ON lex.query_id = a.query_id AND lex.doc_id = a.query_id AND lex.rank <= 30)
 SELECT count(*) AS evaluated, round_even(avg(CASE WHEN place = 1 THEN 1.0 ELSE 0.0 END), 4) AS recall_at_1, round_even(avg(CASE WHEN place <= 5 THEN 1.0 ELSE 0.0 END), 4) AS recall_at_k,
-  round_even(avg(coalesce(1.0 / place, 0.0)), 4) AS mrr FROM p"""
+  round_even(avg(coalesce(1.0 / place, 0.0)), 4) AS mrr, coalesce(round_even(avg(CASE WHEN place <= 5 THEN 1.0 ELSE 0.0 END), 4) >= 0.8, false) AS passed FROM p"""
 
 
 def vector_search(spark: SparkSession, d: str) -> DataFrame:
@@ -104,17 +107,59 @@ def _hybrid_parts(spark: SparkSession, d: str):
     dense = R.semantic(queries, placed, query="query_id", key="chunk_id", vector="vector", scope="offering_id")
     counts = R.term_counts(chunks, "chunk_id", "text")
     terms = R.distinctive_terms(counts, "chunk_id", chunks.count(), queries=queries.select(F.col("own").alias("chunk_id")).distinct())
-    index = R.postings(chunks, "chunk_id", "offering_id", {"text": "C", "topic": "A"})
     words = queries.join(terms, F.col("own") == F.col("chunk_id")).select("query_id", "offering_id", F.col("word").alias("token"))
+    words = staged(words, "asked")
+    index = R.postings(chunks, "chunk_id", "offering_id", {"text": "C", "topic": "A"}, words)
     sparse = R.lexical(words, index, query="query_id", key="chunk_id", scope="offering_id")
-    langs = queries.select("query_id", F.when(F.col("text").rlike("[\\u0980-\\u09FF]"), "bn").otherwise("en").alias("lang"))
+    langs = queries.select("query_id", "own", F.col("offering_id").alias("scope"), F.when(F.col("text").rlike("[\\u0980-\\u09FF]"), "bn").otherwise("en").alias("lang"))
     return dense, sparse, langs
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Eight chunks of the query's offering per query chunk, fused from a vector and a lexical list by reciprocal rank."""
     dense, sparse, langs = _hybrid_parts(spark, d)
-    return R.fuse(dense, sparse, langs, query="query_id", key="chunk_id")
+    return R.fuse(dense, sparse, langs.select("query_id", "lang"), query="query_id", key="chunk_id")
+
+
+def hybrid_known_item(spark: SparkSession, d: str) -> DataFrame:
+    """How often the fused list of a chunk's own words and vector has that chunk first, and among its first five."""
+    dense, sparse, langs = _hybrid_parts(spark, d)
+    fused = R.fuse(dense, sparse, langs.select("query_id", "lang"), query="query_id", key="chunk_id", limit=5)
+    return R.known_item(fused, langs.select("query_id", "own"), query="query_id", key="chunk_id")
+
+
+def lexical_known_item(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the lexical list of the chunks alone, over the queries that have words of their own."""
+    _, sparse, langs = _hybrid_parts(spark, d)
+    asked = langs.join(sparse.select("query_id").distinct(), "query_id", "left_semi")
+    return R.known_item(sparse, asked.select("query_id", "own"), query="query_id", key="chunk_id")
+
+
+def retrieval_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """What each retriever had for each query of the hybrid search."""
+    dense, sparse, langs = _hybrid_parts(spark, d)
+    fused = R.fuse(dense, sparse, langs.select("query_id", "lang"), query="query_id", key="chunk_id")
+    v = table(spark, d, "chunk_vectors").where("vector is not null and size(vector) = 128 and not exists(vector, x -> x is null or isnan(x))").select("chunk_id").distinct()
+    c = table(spark, d, "chunks").where("text is not null").select("chunk_id", F.col("offering_id").alias("scope")).dropDuplicates(["chunk_id"])
+    there = v.join(c, "chunk_id").groupBy("scope").agg(F.count("*").alias("embedded"))
+    return R.diagnostics(dense, sparse, fused, langs, there, query="query_id")
+
+
+def citation_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What a reader sees of each hybrid result: where it stands, never its text."""
+    c = table(spark, d, "chunks").dropDuplicates(["chunk_id"]).select("chunk_id", "offering_id", "source_document_id", "question_number", "page_number", "section_ref")
+    o = table(spark, d, "subject_offerings").select("offering_id", F.col("slug").alias("offering"))
+    s = table(spark, d, "source_documents").select("source_document_id", F.col("title").alias("document"), "paper_code")
+    rows = hybrid_search(spark, d).select("query_id", "rank", "chunk_id").join(c, "chunk_id").join(o, "offering_id").join(s, "source_document_id", "left")
+    return rows.select("query_id", "rank", "chunk_id", "offering", "document", "paper_code", "question_number", F.col("page_number").alias("page"), F.col("section_ref").alias("section"))
+
+
+def contexts(spark: SparkSession, d: str) -> DataFrame:
+    """The six best chunks of each hybrid query as one numbered block, by its checksum."""
+    c = table(spark, d, "chunks").dropDuplicates(["chunk_id"]).select("chunk_id", "text", "section_ref")
+    rows = hybrid_search(spark, d).select("query_id", "rank", "chunk_id").join(c, "chunk_id")
+    block = A.numbered_context(rows, "query_id", "rank", "section_ref", "text", 6)
+    return block.select("query_id", "n", F.sha2(F.encode("context", "utf-8"), 256).alias("sha256"))
 
 
 _HYBRID = f"""ch AS (SELECT DISTINCT chunk_id, offering_id, text, coalesce(topic, '') AS topic, language FROM chunks WHERE text IS NOT NULL),
@@ -138,6 +183,25 @@ fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused
 HYBRID_SEARCH = f"WITH {_HYBRID} SELECT query_id, chunk_id, fused, dense_rank, sparse_rank, retrievers, rank FROM fused WHERE rank <= 8"
 
 
+HYBRID_KNOWN_ITEM = f"""WITH {_HYBRID}, p AS (SELECT q.query_id, f.rank AS place FROM q LEFT JOIN fused f ON f.query_id = q.query_id AND f.chunk_id = q.own AND f.rank <= 5)
+SELECT count(*) AS evaluated, round_even(avg(CASE WHEN place = 1 THEN 1.0 ELSE 0.0 END), 4) AS recall_at_1, round_even(avg(CASE WHEN place <= 5 THEN 1.0 ELSE 0.0 END), 4) AS recall_at_k,
+  round_even(avg(coalesce(1.0 / place, 0.0)), 4) AS mrr, coalesce(round_even(avg(CASE WHEN place <= 5 THEN 1.0 ELSE 0.0 END), 4) >= 0.8, false) AS passed FROM p"""
+LEXICAL_KNOWN_ITEM = f"""WITH {_HYBRID}, p AS (SELECT q.query_id, f.rank AS place FROM q LEFT JOIN sparse f ON f.query_id = q.query_id AND f.chunk_id = q.own AND f.rank <= 30
+  WHERE q.query_id IN (SELECT query_id FROM sparse))
+SELECT count(*) AS evaluated, round_even(avg(CASE WHEN place = 1 THEN 1.0 ELSE 0.0 END), 4) AS recall_at_1, round_even(avg(CASE WHEN place <= 5 THEN 1.0 ELSE 0.0 END), 4) AS recall_at_k,
+  round_even(avg(coalesce(1.0 / place, 0.0)), 4) AS mrr, coalesce(round_even(avg(CASE WHEN place <= 5 THEN 1.0 ELSE 0.0 END), 4) >= 0.8, false) AS passed FROM p"""
+RETRIEVAL_DIAGNOSTICS = f"""WITH {_HYBRID}, e AS (SELECT offering_id, count(*) AS embedded FROM pl GROUP BY 1), r AS (
+  SELECT q.query_id, q.lang, (SELECT count(*) FROM sparse s WHERE s.query_id = q.query_id AND s.rank <= 30) AS lexical_found, (SELECT count(*) FROM dense x WHERE x.query_id = q.query_id AND x.rank <= 30) AS semantic_found,
+    coalesce(e.embedded, 0) AS embedded, (SELECT count(*) FROM fused f WHERE f.query_id = q.query_id AND f.rank <= 8) AS candidates FROM q LEFT JOIN e ON e.offering_id = q.offering_id)
+SELECT *, concat_ws('; ', CASE WHEN embedded = 0 THEN 'no vectors in scope' END, CASE WHEN candidates = 0 THEN 'nothing found' END) AS notes FROM r"""
+CITATION_ROWS = f"""WITH {_HYBRID}, c AS (SELECT DISTINCT ON (chunk_id) chunk_id, offering_id, source_document_id, question_number, page_number, section_ref FROM chunks)
+SELECT f.query_id, f.rank, f.chunk_id, o.slug AS offering, s.title AS document, s.paper_code, c.question_number, c.page_number AS page, c.section_ref AS section
+FROM fused f JOIN c ON c.chunk_id = f.chunk_id JOIN subject_offerings o ON o.offering_id = c.offering_id LEFT JOIN source_documents s ON s.source_document_id = c.source_document_id WHERE f.rank <= 8"""
+CONTEXTS = f"""WITH {_HYBRID}, c AS (SELECT DISTINCT ON (chunk_id) chunk_id, text, section_ref FROM chunks)
+SELECT f.query_id, count(*) AS n, sha256(string_agg('<<<CONTEXT ' || f.rank || ' | ' || coalesce(c.section_ref, '') || '>>>' || chr(10) || coalesce(c.text, ''), chr(10) || chr(10) ORDER BY f.rank)) AS sha256
+FROM fused f JOIN c ON c.chunk_id = f.chunk_id WHERE f.rank <= 6 GROUP BY 1"""
+
+
 def reranked_search(spark: SparkSession, d: str) -> DataFrame:
     """The vector list of each query reordered in its first 20 by similarity plus a bonus for the label as priority."""
     e = table(spark, d, "embeddings")
@@ -154,18 +218,26 @@ SELECT query_id, vec_id, CAST(before AS INTEGER) AS before, CAST(row_number() OV
 
 
 def question_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Parsed questions with the mark-scheme chunks of the same document's offering and question number, in numeric order of the numbers."""
-    s = table(spark, d, "source_documents").select("source_document_id", "offering_id")
-    q = table(spark, d, "parsed_questions").where("question_number is not null").select("question_id", "source_document_id", "question_number").join(s, "source_document_id")
-    m = table(spark, d, "chunks").dropDuplicates(["chunk_id"]).where("chunk_type = 'mark_scheme_answer' and question_number is not null").select("chunk_id", "offering_id", "question_number")
+    """For each question of a paper (offering, paper code, number): the chunk of the question itself, then its mark schemes,
+    by the paper code of the chunk's document; numbers in their numeric order."""
+    s = table(spark, d, "source_documents").where("paper_code is not null").select("source_document_id", "paper_code")
+    of = table(spark, d, "source_documents").select("source_document_id", "offering_id")
+    q = table(spark, d, "parsed_questions").where("question_number is not null")
+    q = q.join(of, "source_document_id").select("offering_id", "paper_code", "question_number").where("paper_code is not null").distinct()
+    c = table(spark, d, "chunks").dropDuplicates(["chunk_id"]).where("chunk_type in ('exam_question', 'mark_scheme_answer') and question_number is not null")
+    c = c.join(s, "source_document_id").select("chunk_id", "offering_id", "paper_code", "question_number", "chunk_type")
+    met = q.join(c, ["offering_id", "paper_code", "question_number"])
+    w = Window.partitionBy("offering_id", "paper_code", "question_number").orderBy(F.when(F.col("chunk_type") == "exam_question", 0).otherwise(1), "chunk_id")
     order = F.when(F.col("question_number").rlike("^[0-9]+$"), F.col("question_number").try_cast("int")).otherwise(9999)
-    return q.join(m, ["offering_id", "question_number"]).select("question_id", "chunk_id", "question_number", order.cast("int").alias("place"))
+    return met.select("offering_id", "paper_code", "question_number", order.cast("int").alias("place"), "chunk_id", "chunk_type", F.row_number().over(w).alias("rank"))
 
 
 QUESTION_LOOKUP = """
-SELECT q.question_id, m.chunk_id, q.question_number, CASE WHEN regexp_matches(q.question_number, '^[0-9]+$') THEN CAST(q.question_number AS INTEGER) ELSE 9999 END AS place
-FROM parsed_questions q JOIN source_documents s ON s.source_document_id = q.source_document_id
-JOIN (SELECT DISTINCT chunk_id, offering_id, question_number FROM chunks WHERE chunk_type = 'mark_scheme_answer') m ON m.offering_id = s.offering_id AND m.question_number = q.question_number
+WITH q AS (SELECT DISTINCT s.offering_id, q.paper_code, q.question_number FROM parsed_questions q JOIN source_documents s ON s.source_document_id = q.source_document_id WHERE q.question_number IS NOT NULL AND q.paper_code IS NOT NULL),
+c AS (SELECT DISTINCT c.chunk_id, c.offering_id, s.paper_code, c.question_number, c.chunk_type FROM chunks c JOIN source_documents s ON s.source_document_id = c.source_document_id WHERE c.chunk_type IN ('exam_question', 'mark_scheme_answer'))
+SELECT q.offering_id, q.paper_code, q.question_number, CASE WHEN regexp_matches(q.question_number, '^[0-9]+$') THEN CAST(q.question_number AS INTEGER) ELSE 9999 END AS place, c.chunk_id, c.chunk_type,
+  CAST(row_number() OVER (PARTITION BY q.offering_id, q.paper_code, q.question_number ORDER BY CASE WHEN c.chunk_type = 'exam_question' THEN 0 ELSE 1 END, c.chunk_id) AS INTEGER) AS rank
+FROM q JOIN c ON c.offering_id = q.offering_id AND c.paper_code = q.paper_code AND c.question_number = q.question_number
 """
 
 
@@ -177,6 +249,11 @@ def query_map() -> dict:
         "known_item": (known_item, KNOWN_ITEM),
         "vector_search": (vector_search, VECTOR_SEARCH),
         "hybrid_search": (hybrid_search, HYBRID_SEARCH),
+        "hybrid_known_item": (hybrid_known_item, HYBRID_KNOWN_ITEM),
+        "lexical_known_item": (lexical_known_item, LEXICAL_KNOWN_ITEM),
+        "retrieval_diagnostics": (retrieval_diagnostics, RETRIEVAL_DIAGNOSTICS),
+        "citation_rows": (citation_rows, CITATION_ROWS),
+        "contexts": (contexts, CONTEXTS),
         "reranked_search": (reranked_search, RERANKED_SEARCH),
         "question_lookup": (question_lookup, QUESTION_LOOKUP),
     }
