@@ -102,7 +102,7 @@ def extend_ledger(df: DataFrame, text: str, ledger: DataFrame | None = None, tok
         seen = ledger.where(F.col("tokenizer") == tokenizer.digest()).select("content")
         unseen = src.select("content").distinct().join(seen, "content", "left_anti")
         unseen = staged(unseen, "unseen")
-        src = src.join(F.broadcast(unseen) if small_enough(unseen, 200_000) else unseen, "content", "left_semi")
+        src = src.join(F.broadcast(unseen) if small_enough(unseen, 20_000) else unseen, "content", "left_semi")
     rows = counted(src.groupBy("content").agg(F.first("text").alias("text")), "text", tokenizer)
     return rows.select("content", F.lit(tokenizer.digest()).alias("tokenizer"), "tokens")
 
