@@ -1,4 +1,4 @@
-"""Citations in answers, numbered contexts and rows of mark schemes."""
+"""Citations in answers and numbered contexts."""
 
 from __future__ import annotations
 
@@ -33,24 +33,3 @@ def citations(answer: Column, contexts: Column) -> tuple[Column, Column, Column]
     empty = F.array().cast("array<int>")
     cited = F.coalesce(F.array_distinct(F.filter(numbers, ok)), empty)
     return text, cited, F.coalesce(F.size(F.filter(numbers, lambda x: ~ok(x))), F.lit(0))
-
-
-_CORRECT = "(?i)\\bthe correct answer is ([A-D])\\b|\\b([A-D]) is the correct answer\\b"
-_WRONG = "\\b([A-D]) is (?:not correct|incorrect)\\b"
-
-
-def choice_answers(lines: DataFrame, doc: str, page: str, line_no: str, line: str) -> DataFrame:
-    """doc, question_number, answer, distractors: multiple-choice rows of mark schemes.
-
-    A question number stands alone on a line and is carried to the lines below it on the same page. The answer is named in
-    either wording; distractors are the letters called wrong, sorted. The first answer of a question on a page counts.
-    """
-    own = F.nullif(F.regexp_extract(line, "^\\s*(\\d{1,2})\\s*$", 1), F.lit("")).cast("int")
-    right = F.coalesce(F.nullif(F.regexp_extract(line, _CORRECT, 1), F.lit("")), F.nullif(F.regexp_extract(line, _CORRECT, 2), F.lit("")))
-    w = Window.partitionBy(doc, page).orderBy(line_no).rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("__q", F.last(own, ignorenulls=True).over(w)).where("__q is not null")
-    rows = rows.select(doc, page, line_no, F.col("__q").alias("question_number"), right.alias("r"), F.regexp_extract_all(line, F.lit(_WRONG), F.lit(1)).alias("d"))
-    each = rows.groupBy(doc, page, "question_number").agg(
-        F.min_by("r", F.when(F.col("r").isNotNull(), F.col(line_no))).alias("answer"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("d")))).alias("distractors")
-    )
-    return each.where("answer is not null").drop(page)

@@ -38,25 +38,6 @@ def numbering_gaps(df: DataFrame, paper: str, number: str) -> DataFrame:
     return each.where("highest >= 1").select("paper", F.size("got").alias("found"), "highest", missing.alias("missing"))
 
 
-def labelled_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line_no, line, label, marks: lines with the last `(a)`-like label above or on them, and the marks of a bare `(n)` line.
-
-    The label is carried forward within a text. Null texts give no lines.
-    """
-    lines = df.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias(key), F.posexplode(F.split(F.col(f"`{text}`"), "\n", -1)).alias("n", "line"))
-    own = F.nullif(F.regexp_extract("line", "^\\s*(\\([a-z]\\))", 1), F.lit(""))
-    marks = F.nullif(F.regexp_extract("line", "^\\s*\\(([0-9]+)\\)\\s*$", 1), F.lit("")).cast("int")
-    w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.select(key, (F.col("n") + 1).alias("line_no"), "line", "n", own.alias("own"), marks.alias("marks"))
-    return rows.select(key, "line_no", "line", F.last("own", ignorenulls=True).over(w).alias("label"), "marks")
-
-
-def sub_part_marks(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, label, marks: for each label of a text the first marks line under it; null where it has none."""
-    rows = labelled_lines(df, key, text).where("label is not null")
-    return rows.groupBy(key, "label").agg(F.min_by("marks", F.when(F.col("marks").isNotNull(), F.col("line_no"))).alias("marks"))
-
-
 def drop_between(df: DataFrame, key: str, line_no: str, line: str, start: str, end: str) -> DataFrame:
     """Rows of df outside the blocks that begin with a line matching `start` and last until one matching `end`.
 

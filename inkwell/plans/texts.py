@@ -107,19 +107,6 @@ SELECT source_document_id, CAST(len(got) AS INTEGER) AS found, highest, array_to
 """
 
 
-def sub_parts(spark: SparkSession, d: str) -> DataFrame:
-    """Labels of the parsed questions' text with the marks found under each."""
-    return parsing.sub_part_marks(table(spark, d, "parsed_questions"), "question_id", "text_raw")
-
-
-SUB_PARTS = """
-WITH l AS (SELECT question_id, unnest(range(len(s))) AS n, unnest(s) AS line FROM (SELECT question_id, string_split(text_raw, chr(10)) AS s FROM parsed_questions WHERE text_raw IS NOT NULL)),
-o AS (SELECT *, nullif(regexp_extract(line, '^\\s*(\\([a-z]\\))', 1), '') AS own, TRY_CAST(nullif(regexp_extract(line, '^\\s*\\(([0-9]+)\\)\\s*$', 1), '') AS INTEGER) AS marks FROM l),
-f AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY question_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS label FROM o)
-SELECT question_id, label, arg_min(marks, n) FILTER (WHERE marks IS NOT NULL) AS marks FROM f WHERE label IS NOT NULL GROUP BY 1, 2
-"""
-
-
 def windows(spark: SparkSession, d: str) -> DataFrame:
     """All documents cut into overlapping windows."""
     return rechunk(table(spark, d, "documents"), "doc_id", "text", "lang").withColumnRenamed("key", "doc_id")
@@ -150,7 +137,6 @@ def query_map() -> dict:
         "spec_references": (spec_references, SPEC_REFERENCES),
         "exam_questions": (exam_questions, EXAM_QUESTIONS),
         "numbering_gaps": (numbering_gaps, NUMBERING_GAPS),
-        "sub_parts": (sub_parts, SUB_PARTS),
         "windows": (windows, None),
         "record_chunks": (record_chunks, None),
         "rejected_records": (rejected_records, REJECTED_RECORDS),

@@ -25,14 +25,6 @@ def test_numbered_context(spark):
     assert got.n == 2 and got.context == "<<<CONTEXT 1 | >>>\na\n\n<<<CONTEXT 2 | p. 3>>>\nb"
 
 
-def test_choice_answers(spark):
-    lines = ["4", "The correct answer is B because", "A is incorrect as", "D is not correct", " 5 ", "C is the correct answer"]
-    rows = [("d", 1, i, x) for i, x in enumerate(lines)] + [("d", 2, 0, "The correct answer is A")]
-    df = spark.createDataFrame(rows, "doc string, page int, n int, line string")
-    got = sorted((r.question_number, r.answer, r.distractors) for r in answers.choice_answers(df, "doc", "page", "n", "line").collect())
-    assert got == [(4, "B", ["A", "D"]), (5, "C", [])]
-
-
 def test_records_make_the_same_chunks_again(spark):
     meta = lambda **m: json.dumps(m)
     long = ". ".join(["one two three four five six seven eight nine ten"] * 150) + "."

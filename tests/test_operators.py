@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.operators import joins, merge, parsing, retrieval
+from inkwell.operators import joins, merge, papers, parsing, retrieval
 from inkwell.operators.ranks import spread_ranks
 from inkwell.session import shared_folder, small_enough, staged
 from inkwell.sources import files
@@ -70,8 +70,9 @@ def test_questions_gaps_and_sub_parts(spark):
     df = spark.createDataFrame([(1, text), (2, "none"), (3, None)], "id int, t string")
     q = [tuple(r) for r in parsing.terminated_questions(df, "id", "t").orderBy("ordinal").collect()]
     assert [(x[0], x[1], x[2], x[3]) for x in q] == [(1, 0, 1, 5), (1, 1, 3, 1)] and q[1][4] == "3 Third"
-    parts = {r.label: r.marks for r in parsing.sub_part_marks(df, "id", "t").collect()}
-    assert parts == {"(a)": 2, "(b)": 3}
+    lines = df.where("t is not null").select("id", F.posexplode(F.split("t", "\n", -1)).alias("n", "line"))
+    parts = {r.label: (r.level, r.marks) for r in papers.nested_parts(lines, ["id"], ["n"]).collect()}
+    assert parts == {"(a)": (1, 2), "(b)": (1, 3)}
     nums = spark.createDataFrame([("p", "1"), ("p", "3"), ("p", "x"), ("p", None), ("q", "2"), (None, "1")], "p string, n string")
     assert sorted((r.paper, r.found, r.highest, r.missing) for r in parsing.numbering_gaps(nums, "p", "n").collect()) == [("p", 2, 3, [2]), ("q", 1, 2, [1])]
 
