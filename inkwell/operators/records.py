@@ -45,7 +45,7 @@ def record_chunks(records: DataFrame, documents: DataFrame) -> DataFrame:
     )
     cleaned = X.clean(rows, "record_id", "raw", "language").withColumnRenamed("key", "record_id").withColumnRenamed("text", "clean")
     both = rows.join(cleaned.select("record_id", "clean"), "record_id")
-    pieces = rechunk(both, "record_id", "clean", "language").withColumnRenamed("key", "record_id").drop("carried_words")
+    pieces = rechunk(both, "record_id", "clean", "language").withColumnRenamed("key", "record_id").drop("carried_words", "char_start", "char_end")
     counts = pieces.groupBy("record_id").agg(F.count("*").alias("pieces"))
     out = pieces.join(counts, "record_id").join(both.withColumn("same", F.col("clean") == F.col("raw")).drop("clean", "raw"), "record_id")
     locator = F.concat(F.lit("legacy/"), "legacy_chunk_id", F.when(F.col("pieces") > 1, F.concat(F.lit("/part/"), (F.col("ordinal") + 1).cast("string"))).otherwise(""))

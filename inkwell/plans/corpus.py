@@ -211,9 +211,13 @@ SELECT sha256(t) AS sha256, count(*) AS records, count(DISTINCT file_name) AS fi
 """
 
 
+def repeated(df: DataFrame, column: str) -> DataFrame:
+    """column, records: the values that several rows have."""
+    return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("records")).where("records > 1")
+
+
 def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "legacy_records").where("legacy_chunk_id is not null")
-    return r.groupBy("legacy_chunk_id").agg(F.count("*").alias("records")).where("records > 1")
+    return repeated(table(spark, d, "legacy_records"), "legacy_chunk_id")
 
 
 DUPLICATE_IDS = "SELECT legacy_chunk_id, count(*) AS records FROM legacy_records WHERE legacy_chunk_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1"
@@ -240,6 +244,47 @@ ARTEFACTS = " UNION ALL ".join(
 )
 
 
+# Traces of bad scans and extractions, with the pattern of each.
+ARTEFACT_HITS_OF = [
+    ("bangla_duplicated_vowel_sign", "যয|োো|িি"),
+    ("bullet_ocr_as_letter_e", "(?:^|\\n){WS}*e{WS}+[A-Z]"),
+    ("stray_control_chars", "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"),
+    ("repeated_whitespace_run", " {4,}"),
+    ("broken_word_split", "[\\p{L}\\p{N}_]-{WS}+[\\p{L}\\p{N}_]"),
+]
+_SPACE = "[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+
+
+def artefact_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Records that show each trace of a bad scan, where the first one stands, and the place of the trace by records, most first."""
+    r = table(spark, d, "legacy_records")
+    pairs = F.array(*[F.struct(F.lit(n).alias("artefact"), F.col("content").rlike(p.replace("{WS}", _SPACE)).alias("hit")) for n, p in ARTEFACT_HITS_OF])
+    rows = r.select("file_name", "line_no", F.explode(pairs).alias("a")).where("a.hit")
+    each = rows.groupBy(F.col("a.artefact").alias("artefact")).agg(F.count("*").alias("records"), F.min(F.struct("file_name", "line_no")).alias("f"))
+    w = Window.orderBy(F.desc("records"), "artefact")  # five rows at most
+    return each.select("artefact", "records", F.concat_ws(":", "f.file_name", "f.line_no").alias("first"), F.row_number().over(w).alias("place"))
+
+
+ARTEFACT_HITS = (
+    "WITH h AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{n}' AS artefact, count(*) AS records, min({{'f': file_name, 'l': line_no}}) AS f FROM legacy_records WHERE regexp_matches(content, '{p.replace('{WS}', _SPACE)}') HAVING count(*) > 0"
+        for n, p in ARTEFACT_HITS_OF
+    )
+    + ") SELECT artefact, records, f.f || ':' || f.l AS first, CAST(row_number() OVER (ORDER BY records DESC, artefact) AS INTEGER) AS place FROM h"
+)
+
+
+def repeated_cut_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that an export which cut off their last character would repeat."""
+    r = table(spark, d, "legacy_records").where("legacy_chunk_id is not null")
+    cut = r.select(F.expr("left(legacy_chunk_id, length(legacy_chunk_id) - 1)").alias("legacy_chunk_id"))
+    return repeated(cut, "legacy_chunk_id")
+
+
+REPEATED_CUT_IDS = "SELECT left(legacy_chunk_id, length(legacy_chunk_id) - 1) AS legacy_chunk_id, count(*) AS records FROM legacy_records WHERE legacy_chunk_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1"
+
+
 def catalogue(spark: SparkSession, d: str) -> DataFrame:
     """Documents by type and route: number, bytes, pages, private ones, distinct checksums; a missing size counts nothing."""
     s = table(spark, d, "source_documents")
@@ -299,15 +344,37 @@ WHERE o.indexed_chunk_count IS DISTINCT FROM coalesce(n.chunks, 0)
 """
 
 
-def misplaced_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks whose offering isn't their document's, whose key lacks the document's checksum, or whose document is gone."""
-    c = _chunks(spark, d).select("chunk_id", "chunk_key", "offering_id", "source_document_id")
-    s = table(spark, d, "source_documents").select("source_document_id", F.col("offering_id").alias("own"), "sha256")
+def _misplaced(c: DataFrame, s: DataFrame) -> DataFrame:
+    s = s.select("source_document_id", F.col("offering_id").alias("own"), "sha256")
     rows = c.join(s, "source_document_id", "left")
     kind = F.when(F.col("own").isNull() & F.col("sha256").isNull(), "no_document").when(F.col("own") != F.col("offering_id"), "other_offering").when(F.instr("chunk_key", F.col("sha256")) == 0, "other_checksum")
     return rows.select("chunk_id", kind.alias("problem")).where("problem is not null")
 
 
+def misplaced_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks whose offering isn't their document's, whose key lacks the document's checksum, or whose document is gone."""
+    c = _chunks(spark, d).select("chunk_id", "chunk_key", "offering_id", "source_document_id")
+    return _misplaced(c, table(spark, d, "source_documents"))
+
+
+def misplaced_after_damage(spark: SparkSession, d: str) -> DataFrame:
+    """The same after a bad load: documents that were scanned are gone, exam questions moved to another offering, and keys of specification points lost their checksum."""
+    c = _chunks(spark, d)
+    moved = F.when(F.col("chunk_type") == "exam_question", F.reverse("offering_id")).otherwise(F.col("offering_id"))
+    key = F.when(F.col("chunk_type") == "specification_point", F.regexp_replace("chunk_key", "[0-9a-f]{64}", "")).otherwise(F.col("chunk_key"))
+    c = c.select("chunk_id", key.alias("chunk_key"), moved.alias("offering_id"), "source_document_id")
+    return _misplaced(c, table(spark, d, "source_documents").where("coalesce(ingestion_route, '') <> 'ocr'"))
+
+
+MISPLACED_AFTER_DAMAGE = """
+SELECT chunk_id, problem FROM (SELECT c.chunk_id, CASE WHEN s.offering_id IS NULL AND s.sha256 IS NULL THEN 'no_document' WHEN s.offering_id <> c.offering_id THEN 'other_offering'
+  WHEN instr(c.chunk_key, s.sha256) = 0 THEN 'other_checksum' END AS problem
+  FROM (SELECT DISTINCT chunk_id, CASE WHEN chunk_type = 'specification_point' THEN regexp_replace(chunk_key, '[0-9a-f]{64}', '', 'g') ELSE chunk_key END AS chunk_key,
+    CASE WHEN chunk_type = 'exam_question' THEN reverse(offering_id) ELSE offering_id END AS offering_id, source_document_id FROM chunks) c
+  LEFT JOIN (SELECT * FROM source_documents WHERE coalesce(ingestion_route, '') <> 'ocr') s ON s.source_document_id = c.source_document_id) WHERE problem IS NOT NULL
+"""
+
+
 MISPLACED_CHUNKS = """
 SELECT chunk_id, problem FROM (SELECT c.chunk_id, CASE WHEN s.offering_id IS NULL AND s.sha256 IS NULL THEN 'no_document' WHEN s.offering_id <> c.offering_id THEN 'other_offering'
   WHEN instr(c.chunk_key, s.sha256) = 0 THEN 'other_checksum' END AS problem
@@ -324,13 +391,21 @@ def large_chunks(spark: SparkSession, d: str) -> DataFrame:
 LARGE_CHUNKS = "SELECT offering_id, count(DISTINCT chunk_id) AS chunks, max(token_count) AS most_tokens FROM chunks WHERE token_count > 600 GROUP BY 1"
 
 
+def _missing(r: DataFrame, s: DataFrame) -> DataFrame:
+    return r.select("file_name").join(s.select(F.col("filename").alias("file_name")), "file_name", "left_anti").groupBy("file_name").agg(F.count("*").alias("records"))
+
+
 def missing_documents(spark: SparkSession, d: str) -> DataFrame:
     """Files of legacy records that no source document carries, by file (an anti join)."""
-    r = table(spark, d, "legacy_records").select("file_name", "source_document_id")
-    s = table(spark, d, "source_documents").select("source_document_id", F.col("filename").alias("file_name"))
-    return r.join(s, "file_name", "left_anti").groupBy("file_name").agg(F.count("*").alias("records"))
+    return _missing(table(spark, d, "legacy_records"), table(spark, d, "source_documents"))
+
 
+def missing_without_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """The same when only documents of a known, even size count as present."""
+    return _missing(table(spark, d, "legacy_records"), table(spark, d, "source_documents").where("bytes % 2 = 0"))
 
+
+MISSING_WITHOUT_SIZES = "SELECT file_name, count(*) AS records FROM legacy_records r WHERE NOT EXISTS (SELECT 1 FROM source_documents s WHERE s.filename = r.file_name AND s.bytes % 2 = 0) GROUP BY 1"
 MISSING_DOCUMENTS = "SELECT file_name, count(*) AS records FROM legacy_records r WHERE NOT EXISTS (SELECT 1 FROM source_documents s WHERE s.filename = r.file_name) GROUP BY 1"
 
 NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
@@ -375,14 +450,13 @@ SELECT * FROM (SELECT source_document_id, offering_id, CAST(row_number() OVER (P
 
 
 def ocr_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Scanned pages per document: how many, mean confidence, words, and pages under the confidence floor of 70."""
-    p = table(spark, d, "ocr_pages")
-    return p.groupBy("source_document_id").agg(
-        F.count("*").alias("pages"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 4).alias("confidence"), F.sum("words").alias("words"), F.count_if(F.col("confidence") < 70).alias("uncertain")
-    )
+    """Scanned pages per document: how many, mean confidence of their words (a page counts with its words), words, and pages under the floor of 70."""
+    p = table(spark, d, "ocr_pages").withColumn("w", F.when(F.col("confidence").isNotNull(), F.col("words")))
+    mean = F.coalesce(F.sum(F.col("confidence") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0)), F.lit(0.0))
+    return p.groupBy("source_document_id").agg(F.count("*").alias("pages"), F.round(mean, 4).alias("confidence"), F.sum("words").alias("words"), F.count_if(F.col("confidence") < 70).alias("uncertain"))
 
 
-OCR_QUALITY = "SELECT source_document_id, count(*) AS pages, round(coalesce(avg(confidence), 0.0), 4) AS confidence, CAST(sum(words) AS BIGINT) AS words, count(*) FILTER (WHERE confidence < 70) AS uncertain FROM ocr_pages GROUP BY 1"
+OCR_QUALITY = "SELECT source_document_id, count(*) AS pages, round(coalesce(sum(confidence * words) / nullif(sum(words) FILTER (WHERE confidence IS NOT NULL), 0), 0.0), 4) AS confidence, CAST(sum(words) AS BIGINT) AS words, count(*) FILTER (WHERE confidence < 70) AS uncertain FROM ocr_pages GROUP BY 1"
 
 
 def facets(spark: SparkSession, d: str) -> DataFrame:
@@ -459,6 +533,10 @@ def query_map() -> dict:
         "content_duplicates": (content_duplicates, CONTENT_DUPLICATES),
         "duplicate_ids": (duplicate_ids, DUPLICATE_IDS),
         "artefacts": (artefacts, ARTEFACTS),
+        "artefact_hits": (artefact_hits, ARTEFACT_HITS),
+        "repeated_cut_ids": (repeated_cut_ids, REPEATED_CUT_IDS),
+        "misplaced_after_damage": (misplaced_after_damage, MISPLACED_AFTER_DAMAGE),
+        "missing_without_sizes": (missing_without_sizes, MISSING_WITHOUT_SIZES),
         "catalogue": (catalogue, CATALOGUE),
         "repeated_papers": (repeated_papers, REPEATED_PAPERS),
         "inventory": (inventory, INVENTORY),

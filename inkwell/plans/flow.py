@@ -95,16 +95,17 @@ FIRST_ARRIVALS = "SELECT file_name, legacy_chunk_id, arg_min(record_id, (line_no
 
 
 def pending_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks still to be embedded: without a usable vector of the present model (null-safe comparison), in the order they would be done."""
+    """Chunks still to be embedded: without a usable vector of the present model (null-safe comparison), sorted by slug, ordinal and id, the order they are done in."""
+    o = table(spark, d, "subject_offerings").select("offering_id", "slug")
     c = table(spark, d, "chunks").dropDuplicates(["chunk_id"]).select("chunk_id", "offering_id", "ordinal")
     v = table(spark, d, "chunk_vectors").where("vector is not null and size(vector) = 128")
     v = v.groupBy("chunk_id").agg(F.max("embedding_model").alias("embedding_model"))
-    return c.join(v, "chunk_id", "left").where(~F.col("embedding_model").eqNullSafe(F.lit("leaf-embed-2"))).select("chunk_id", "offering_id", "ordinal", "embedding_model")
+    return c.join(v, "chunk_id", "left").where(~F.col("embedding_model").eqNullSafe(F.lit("leaf-embed-2"))).join(o, "offering_id").select("slug", "chunk_id", "offering_id", "ordinal", "embedding_model").orderBy("slug", "ordinal", "chunk_id")
 
 
 PENDING_VECTORS = """
 WITH v AS (SELECT chunk_id, max(embedding_model) AS embedding_model FROM chunk_vectors WHERE vector IS NOT NULL AND len(vector) = 128 GROUP BY 1)
-SELECT c.chunk_id, c.offering_id, c.ordinal, v.embedding_model FROM (SELECT DISTINCT chunk_id, offering_id, ordinal FROM chunks) c LEFT JOIN v ON v.chunk_id = c.chunk_id WHERE v.embedding_model IS DISTINCT FROM 'leaf-embed-2'
+SELECT o.slug, c.chunk_id, c.offering_id, c.ordinal, v.embedding_model FROM (SELECT DISTINCT chunk_id, offering_id, ordinal FROM chunks) c JOIN subject_offerings o ON o.offering_id = c.offering_id LEFT JOIN v ON v.chunk_id = c.chunk_id WHERE v.embedding_model IS DISTINCT FROM 'leaf-embed-2'
 """
 
 

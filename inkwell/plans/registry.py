@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.plans import corpus, flow, papers, search, texts
+from inkwell.plans import catalogue, corpus, flow, papers, search, texts
 
 
 def _all() -> dict:
     out: dict = {}
-    for module in (corpus, texts, papers, search, flow):
+    for module in (corpus, catalogue, texts, papers, search, flow):
         out.update(module.query_map())
     return out
 

@@ -72,19 +72,37 @@ def test_windows_keep_every_word_in_order(parts, lang):
     text = " ".join(parts)
     w = Window(most=40, overlap=6, stub=10)
     pieces = windows(text, lang, w)
-    words = [x for t, _, carried in pieces for x in t.split()[carried:]]
-    assert words == text.split()
+    assert [x for p in pieces for x in p.text.split()[p.carried :]] == text.split()
     longest = max((len(x) for x in text.split()), default=0)
-    assert all(n <= w.most or longest > w.most for _, n, _ in pieces)
+    assert all(p.tokens <= w.most or longest > w.most for p in pieces)
+    bare = text.strip()
+    assert all(bare[p.start : p.end].split() == p.text.split()[p.carried :] for p in pieces)
+    assert all(a.end <= b.start for a, b in zip(pieces, pieces[1:]))
 
 
 def test_windows_edges(spark):
     assert windows(None) == [] and windows(" \n ") == []
-    assert windows("short text") == [("short text", 2, 0)]
+    assert windows("short text") == [("short text", 2, 0, 0, 10)]
     long = " ".join(["word"] * 2000)
-    sizes = [n for _, n, _ in windows(long)]
-    assert max(sizes) <= 600 and min(sizes) >= 150
+    # one sentence is cut at 550 words, each next piece takes over 50; the last 350 are no stub
+    assert [(p.tokens, p.carried) for p in windows(long)] == [(550, 0), (600, 50), (600, 50), (400, 50)]
+    assert [(p.tokens, p.carried) for p in windows(" ".join(["word"] * 1150))] == [(550, 0), (600, 0)]
+
+
+def test_windows_take_over_whole_sentences_and_even_out_stubs():
+    sentence = "One two three four five six seven eight nine ten."
+    text = " ".join([sentence] * 62)  # 620 words: the second piece is a stub of 20 and what it takes over
+    first, second = windows(text)
+    assert (first.tokens, second.tokens, second.carried) == (310, 360, 50) and second.text.startswith("One two")
+    assert text[second.start : second.end] == " ".join([sentence] * 31) and first.end < second.start
+    three = windows(" ".join([sentence] * 150))
+    assert [p.tokens for p in three] == [600, 600, 400] and all(p.carried == 50 for p in three[1:])
+    bn = windows("গ্যাসের চাপ বাড়লে আয়তন কমে যায়। " * 120, "bn")
+    assert all(p.tokens <= 600 for p in bn) and len(bn) > 2 and all("।" in p.text for p in bn)
+
+
+def test_windows_of_frames(spark):
     df = spark.createDataFrame([(1, "a b.", "en"), (2, None, "en"), (None, "x", "en"), (1, "a b.", "en")], "k int, t string, l string")
     got = [tuple(r) for r in rechunk(df, "k", "t", "l").collect()]
-    assert sorted(got) == [(1, 0, "a b.", 2, 0)] * 2
+    assert sorted(got) == [(1, 0, "a b.", 2, 0, 0, 4)] * 2
     assert unicodedata.normalize("NFC", "é") == "é"
