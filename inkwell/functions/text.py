@@ -47,8 +47,11 @@ def normalised(c: Column) -> Column:
     return strip(F.regexp_replace(nfc(c), "(?U)[^\\S\\n]+(?=\\n|$)", ""))
 
 
+SPACE = "\\s\\x0B\\x1C-\\x1F\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"  # what splits words, in a character class
+
+
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit("\\S+"))
+    return F.regexp_count(c, F.lit(f"[^{SPACE}]+"))
 
 
 def bengali_share(c: Column) -> Column:

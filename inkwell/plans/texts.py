@@ -12,7 +12,7 @@ from inkwell.sources.tables import table
 
 BN = "[\\x{0980}-\\x{09FF}]"
 _COUNT_BN = f"len(regexp_extract_all(text, '{BN}'))"
-_WORDS = "len(regexp_extract_all(text, '[^\\s]+'))"
+_WORDS = "len(regexp_extract_all(text, '[^\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'))"
 
 
 def token_estimates(spark: SparkSession, d: str) -> DataFrame:
@@ -36,6 +36,52 @@ def cleaned(spark: SparkSession, d: str) -> DataFrame:
     return X.clean(c, "doc_id", "text", "lang").withColumnRenamed("key", "doc_id")
 
 
+# The stages in an engine whose patterns have no back references and look to neither side: doubled consonants one by one, bullets
+# in two passes since a letter may stand between two of them, breaks marked with their blanks and then judged piece by piece.
+_CONSONANTS = "[" + ", ".join(f"chr({c})" for c in [*range(0x995, 0x9BA), 0x9CE, 0x9BC]) + "]"
+_SIGN = "[" + "".join(chr(c) for c in (0x9CB, 0x9C7, 0x9CC)) + "]"
+_WS = "[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+_STAGES = f"""
+pr AS (SELECT list(DISTINCT lower(p)) AS ps FROM (SELECT unnest(regexp_extract_all(text, '(?:^|[^\\pL\\pN_])([A-Za-z]{{2,}})-[A-Za-z]{{2,}}(?:$|[^\\pL\\pN_])', 1)) AS p FROM documents
+  UNION ALL SELECT unnest(regexp_extract_all(text, '\\b([A-Za-z]{{2,}})-[A-Za-z]{{2,}}\\b', 1)) FROM documents)),
+s0 AS (SELECT doc_id, coalesce(lang, '') AS lang, nfc_normalize(text) AS t FROM documents WHERE doc_id IS NOT NULL),
+s1 AS (SELECT doc_id, lang, CASE WHEN lang = 'bn' THEN list_reduce(list_prepend(t, {_CONSONANTS}), lambda a, c: regexp_replace(a, c || c || '({_SIGN})', c || '\\1', 'g')) ELSE t END AS t,
+  CASE WHEN lang = 'bn' THEN list_sum(list_transform({_CONSONANTS}, lambda c: len(regexp_extract_all(t, c || c || '{_SIGN}')))) ELSE 0 END AS doubled FROM s0),
+s2 AS (SELECT *, len(regexp_extract_all(t, '[a-z,;:] e [a-z]')) AS n1, regexp_replace(t, '([a-z,;:]) e ([a-z])', '\\1' || chr(10) || '• \\2', 'g') AS u FROM s1),
+s3 AS (SELECT *, n1 + len(regexp_extract_all(u, '[a-z,;:] e [a-z]')) AS n FROM s2),
+s4 AS (SELECT doc_id, doubled, CASE WHEN lang = 'en' AND n >= 2 THEN n ELSE 0 END AS bullets, CASE WHEN lang = 'en' AND n >= 2 THEN regexp_replace(u, '([a-z,;:]) e ([a-z])', '\\1' || chr(10) || '• \\2', 'g') ELSE t END AS t FROM s3),
+s5 AS (SELECT *, string_split(regexp_replace(t, '(^|[^\\pL\\pN_])([A-Za-z]{{2,}})-({_WS}+)([A-Za-z]{{2,}})', '\\1\\2' || chr(1) || '\\3' || chr(2) || '\\4', 'g'), chr(1)) AS p FROM s4),
+s6 AS (SELECT doc_id, doubled, bullets, p, ps, list_transform(p, lambda x, i: i > 1 AND regexp_matches(split_part(x, chr(2), 2), '^[A-Za-z]+($|[^\\pL\\pN_])')) AS ok FROM s5, pr),
+s7 AS (SELECT doc_id, doubled, bullets, len(list_filter(ok, lambda x: x)) AS joined, array_to_string(list_transform(p, lambda x, i: CASE WHEN i = 1 THEN x WHEN NOT ok[i] THEN '-' || replace(x, chr(2), '')
+  WHEN list_contains(ps, lower(regexp_extract(p[i - 1], '([A-Za-z]{{2,}})$', 1))) THEN '-' || split_part(x, chr(2), 2) ELSE split_part(x, chr(2), 2) END), '') AS t FROM s6),
+s8 AS (SELECT *, string_split(t, chr(10)) AS l, list_transform(string_split(t, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \\t]{{2,}}', ' ', 'g'), '[ \\t\\r]+$', '')) AS o FROM s7),
+s9 AS (SELECT *, array_to_string(o, chr(10)) AS j, regexp_replace(array_to_string(o, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g') AS s FROM s8),
+cleaned AS (SELECT doc_id, regexp_replace(s, '^{_WS}+|{_WS}+$', '', 'g') AS text, CAST(coalesce(doubled, 0) AS INTEGER) AS doubled, CAST(coalesce(bullets, 0) AS INTEGER) AS bullets, CAST(coalesce(joined, 0) AS INTEGER) AS joined,
+  CAST(coalesce(len(list_filter(list_zip(l, o), lambda x: x[1] <> x[2])) + (CASE WHEN s <> j THEN 1 ELSE 0 END), 0) AS INTEGER) AS spaces FROM s9)"""
+CLEANED = f"WITH {_STAGES} SELECT * FROM cleaned"
+REPAIR_TOTALS = f"WITH {_STAGES} " + " UNION ALL ".join(f"SELECT '{c}' AS stage, count(*) FILTER (WHERE {c} > 0) AS texts, CAST(sum({c}) AS BIGINT) AS repairs FROM cleaned" for c in ("doubled", "bullets", "joined", "spaces"))
+
+
+def _damaged(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as a bad extraction would hand them over: consonants doubled before some signs, bullets and commas read as e, words broken at -tion."""
+    t = F.when(F.col("lang") == "bn", F.regexp_replace("text", "([\\u0995-\\u09B9])([\\u09CB\\u09C7\\u09CC])", "$1$1$2")).otherwise(F.col("text"))
+    t = F.regexp_replace(F.regexp_replace(t, "([a-z]), ([a-z])", "$1 e $2"), "([a-z]{3})(tion )", "$1-  $2")
+    return table(spark, d, "documents").select("doc_id", "lang", t.alias("text"))
+
+
+_DAMAGED = """src AS (SELECT doc_id, lang, regexp_replace(regexp_replace(CASE WHEN lang = 'bn' THEN regexp_replace(text, '([\\x{0995}-\\x{09B9}])([\\x{09CB}\\x{09C7}\\x{09CC}])', '\\1\\1\\2', 'g') ELSE text END,
+  '([a-z]), ([a-z])', '\\1 e \\2', 'g'), '([a-z]{3})(tion )', '\\1-  \\2', 'g') AS text FROM documents)"""
+
+
+def cleaned_damage(spark: SparkSession, d: str) -> DataFrame:
+    """Damaged documents through all cleaning stages, by the checksum of what comes out."""
+    c = X.clean(_damaged(spark, d).where("doc_id is not null"), "doc_id", "text", "lang")
+    return c.select(F.col("key").alias("doc_id"), F.sha2(F.encode("text", "utf-8"), 256).alias("sha256"), "doubled", "bullets", "joined", "spaces")
+
+
+CLEANED_DAMAGE = f"WITH {_DAMAGED}, {_STAGES.replace('FROM documents', 'FROM src')} SELECT doc_id, sha256(text) AS sha256, doubled, bullets, joined, spaces FROM cleaned"
+
+
 def repair_totals(spark: SparkSession, d: str) -> DataFrame:
     """Documents repaired and repairs made by each stage."""
     c = cleaned(spark, d)
@@ -117,6 +163,42 @@ def record_chunks(spark: SparkSession, d: str) -> DataFrame:
     return records.record_chunks(table(spark, d, "legacy_records"), table(spark, d, "source_documents"))
 
 
+def whole_record_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of the records that make one chunk each, with their keywords as one string and the checksum of their text."""
+    c = record_chunks(spark, d).where("not contains(chunk_key, '/part/')")
+    return c.select("chunk_id", "chunk_key", "record_id", "chapter", "chapter_from", "page", F.array_join("keywords", "|").alias("keywords"), "language", "tokens", "status", F.sha2(F.encode("text", "utf-8"), 256).alias("sha256"))
+
+
+_J = "json_extract_string(m, '$.{}')"
+_IN_LINE = "[" + _WS[1:-1].replace("\\s", " \\t\\r\\f") + "]"
+
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _filled_sql(x: str) -> str:
+    return f"nullif({_strip_sql(x)}, '')"
+
+
+WHOLE_RECORD_CHUNKS = f"""
+WITH ok AS (SELECT r.record_id, s.sha256, r.legacy_chunk_id, r.content, CASE WHEN json_valid(r.meta_json) THEN r.meta_json END AS m FROM legacy_records r JOIN source_documents s ON s.source_document_id = r.source_document_id
+  WHERE s.sha256 IS NOT NULL AND {_filled_sql('r.legacy_chunk_id')} IS NOT NULL AND {_filled_sql('r.content')} IS NOT NULL),
+fi AS (SELECT * FROM ok WHERE record_id IN (SELECT min(record_id) FROM ok GROUP BY sha256, legacy_chunk_id)),
+src AS (SELECT record_id AS doc_id, CASE WHEN regexp_matches(content, '[\\x{{0980}}-\\x{{09FF}}]') THEN 'bn' ELSE 'en' END AS lang, {_strip_sql(f"regexp_replace(nfc_normalize(content), '{_IN_LINE}+(\n|$)', '\\1', 'g')")} AS text FROM fi),
+{_STAGES.replace('FROM documents', 'FROM src')},
+c AS (SELECT fi.*, src.lang, src.text AS raw, cl.text AS t, {_COUNT_BN.replace('text', 'cl.text')} AS bn, {_WORDS.replace('text', 'cl.text')} AS w FROM fi JOIN src ON src.doc_id = fi.record_id JOIN cleaned cl ON cl.doc_id = fi.record_id),
+k AS (SELECT *, CASE WHEN lang = 'bn' OR bn > 0.3 * length(t) THEN greatest(1, length(t) // 3) ELSE greatest(1, w) END AS tokens, 'inkwell:v1:' || sha256 || ':legacy/' || legacy_chunk_id AS k FROM c WHERE t <> ''),
+h AS (SELECT *, sha1(from_hex('{records.NAMESPACE.replace('-', '')}') || encode(k)) AS h FROM k WHERE tokens <= 600)
+SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS chunk_id, k AS chunk_key, record_id,
+  coalesce({_filled_sql(_J.format('chapter_title'))}, {_filled_sql(_J.format('chapter_name'))}) AS chapter,
+  CASE WHEN {_filled_sql(_J.format('chapter_title'))} IS NOT NULL THEN 'chapter_title' WHEN {_filled_sql(_J.format('chapter_name'))} IS NOT NULL THEN 'chapter_name' END AS chapter_from,
+  CASE WHEN regexp_matches({_J.format('page_no')}, '^-?[0-9]{{1,9}}$') THEN CAST({_J.format('page_no')} AS INTEGER) END AS page,
+  array_to_string(list_filter(CAST(json_extract(m, '$.keywords') AS VARCHAR[]), lambda x: {_strip_sql('x')} <> ''), '|') AS keywords, lang AS language, CAST(tokens AS INTEGER) AS tokens,
+  CASE WHEN t = raw THEN 'verbatim' ELSE 'normalized' END AS status, sha256(t) AS sha256 FROM h
+"""
+
+
 def rejected_records(spark: SparkSession, d: str) -> DataFrame:
     return records.rejected(table(spark, d, "legacy_records"))
 
@@ -130,8 +212,9 @@ SELECT * FROM (SELECT record_id, CASE WHEN legacy_chunk_id IS NULL OR {_BLANK.fo
 def query_map() -> dict:
     return {
         "token_estimates": (token_estimates, TOKEN_ESTIMATES),
-        "cleaned": (cleaned, None),
-        "repair_totals": (repair_totals, None),
+        "cleaned": (cleaned, CLEANED),
+        "cleaned_damage": (cleaned_damage, CLEANED_DAMAGE),
+        "repair_totals": (repair_totals, REPAIR_TOTALS),
         "compound_prefixes": (compound_prefixes, COMPOUND_PREFIXES),
         "tidy": (tidy, TIDY),
         "spec_references": (spec_references, SPEC_REFERENCES),
@@ -139,5 +222,6 @@ def query_map() -> dict:
         "numbering_gaps": (numbering_gaps, NUMBERING_GAPS),
         "windows": (windows, None),
         "record_chunks": (record_chunks, None),
+        "whole_record_chunks": (whole_record_chunks, WHOLE_RECORD_CHUNKS),
         "rejected_records": (rejected_records, REJECTED_RECORDS),
     }

@@ -96,7 +96,7 @@ def is_stale(spark: SparkSession, path: str, report: str) -> bool:
     """Whether the text kept at a path isn't the report as it would be written now; no file is stale."""
     if not folder_exists(spark, path):
         return True
-    kept = spark.read.option("wholetext", "true").text(path).first()
+    kept = spark.read.text(path, wholetext=True).first()
     return kept is None or kept.value != report
 
 
