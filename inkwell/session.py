@@ -61,8 +61,8 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write df once to the shared folder and read it back.
+def staged(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
+    """Write df once to the shared folder and read it back; by: a string column of few values that readers will filter on.
 
     The result has no lineage, so a lost executor costs nothing upstream, and several
     readers don't repeat the work. An empty frame keeps its schema. What is written stays
@@ -70,7 +70,7 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     spark._inkwell_staged = [*getattr(spark, "_inkwell_staged", []), path]
     return spark.read.schema(df.schema).parquet(path)
 
