@@ -62,6 +62,12 @@ class Shape(NamedTuple):
 
     @property
     def kind(self) -> str:
+        got = _KINDS.get(self)
+        if got is None:
+            got = _KINDS[self] = self._kind()
+        return got
+
+    def _kind(self) -> str:
         if self.links:
             return "remark" if self.ended and self.longest >= 2 and self.per_link >= 2 else "links"
         if "t" in self.marks:
@@ -89,35 +95,49 @@ class Shape(NamedTuple):
         return f"{numbers}{'e' if self.ended else ''}{'a' if self.again else ''}{':' + self.marks if self.marks else ''}"
 
 
+_KINDS: dict[Shape, str] = {}  # shapes met so far; there are at most a few thousand
+_DIGIT = re.compile(r"\d")
+_SEPARATOR = re.compile(r"[,;|>»<!?।॥•·/\[\]().–—-]")
+
+
 def line_shape(line: str) -> tuple[Shape, list[str]]:
     """Shape and words of a line."""
-    links = len(_LINK.findall(line))
+    links = len(_LINK.findall(line)) if "http" in line or "www." in line else 0
     body = _MARKUP.sub(" ", line) if links or "<" in line or "](" in line else line
     found = _WORD.findall(body)
     words = [w.lower() for w in found]
-    n = len(words)
-    pieces = [k for k in (len(_WORD.findall(p)) for p in _PIECES.split(body)) if k] or [0]
+    n = len(found)
+    pieces = [n]
+    if _SEPARATOR.search(body):
+        pieces = [k for k in (len(_WORD.findall(p)) for p in _PIECES.split(body)) if k] or [0]
     ended = _STOP.search(body) is not None
     if links:
         longest = max((len(_WORD.findall(p)) for p in _SENTENCE.split(body)), default=0)
     else:
         longest = max(pieces)
-    tags = len(_TAG.findall(body))
-    marks = {
-        "t": tags and 2 * tags >= len(body.split()),
-        "c": _CODE.search(body),
-        "p": _PRICE.search(body),
-        "l": _LEADER.search(body),
-        "b": _COLUMNS.search(body.strip()),
-        "o": _OPTION.match(line),
-        "d": any(c.isdigit() for c in body),
-        "s": n == 1 and len(words[0]) == 1,
-    }
+    digits = _DIGIT.search(body) is not None
+    marks = ""
+    if "#" in body and (tags := len(_TAG.findall(body))) and 2 * tags >= len(body.split()):
+        marks += "t"
+    if digits and _CODE.search(body):
+        marks += "c"
+    if digits and _PRICE.search(body):
+        marks += "p"
+    if "." in body and _LEADER.search(body):
+        marks += "l"
+    if ("\t" in body or "   " in body) and _COLUMNS.search(body.strip()):
+        marks += "b"
+    if _OPTION.match(line):
+        marks += "o"
+    if digits:
+        marks += "d"
+    if n == 1 and len(words[0]) == 1:
+        marks += "s"
     capitals = sum(w[0].isupper() for w in found) / n if n else 0.0
     repeated = 1 - len(set(words)) / n if n else 0.0
     shape = Shape(
         _step(_WORDS, n), _step(_BETWEEN, n / len(pieces)), _step(_LONGEST, longest), _step(_COUNT, len(pieces)), _step(_COUNT, links), _step((1, 8.01), n / links) if links else 0,
-        "".join(k for k, v in marks.items() if v), _step(_REPEATED, repeated), _step(_CAPITALS, capitals), ended,
+        marks, _step(_REPEATED, repeated), _step(_CAPITALS, capitals), ended,
     )
     return shape, words
 
