@@ -323,11 +323,13 @@ def furniture_lines(found: DataFrame, titles: DataFrame | None = None, *, min_pa
     short = found.where("kind = 'short' and skeleton <> ''").withColumn("core", F.regexp_replace("skeleton", _CORE, ""))
     # lines set off by capitals, wide blanks or a number behind them: the title, or words that come back
     formed = short.where("word in ('set', 'titled') and doc is not null")
-    texts = short.where("doc is not null and coalesce(word, '') <> 'mirrored'").groupBy("doc", "core").agg(F.count_distinct(*_ROW).alias("texts"))
-    same = short.where("word = 'titled' and doc is not null").groupBy("doc", "skeleton").agg(F.count_distinct(*_ROW).alias("texts"))
-    wide = short.where("core <> '' and coalesce(word, '') <> 'mirrored'").groupBy("core").agg(F.count_distinct("doc").alias("docs")).where(F.col("docs") >= min_documents)
-    again = formed.where("word = 'set' and core <> ''").join(texts.where(F.col("texts") >= min_pages), ["doc", "core"], "left_semi").select(*_ROW, "line_no")
-    again = again.unionByName(formed.where("word = 'titled'").join(same.where(F.col("texts") >= min_pages), ["doc", "skeleton"], "left_semi").select(*_ROW, "line_no"))
+    row = F.xxhash64(*_ROW)
+    several = [F.min(row).alias("lo"), F.max(row).alias("hi")]
+    texts = short.where("core <> '' and doc is not null and coalesce(word, '') <> 'mirrored'").groupBy("doc", "core").agg(*several)
+    same = short.where("word = 'titled' and doc is not null").groupBy("doc", "skeleton").agg(*several)
+    wide = texts.groupBy("core").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_documents)
+    again = formed.where("word = 'set' and core <> ''").join(texts.where("lo <> hi"), ["doc", "core"], "left_semi").select(*_ROW, "line_no")
+    again = again.unionByName(formed.where("word = 'titled'").join(same.where("lo <> hi"), ["doc", "skeleton"], "left_semi").select(*_ROW, "line_no"))
     again = again.unionByName(short.where("word = 'set' and place <> '' and core <> ''").join(wide, "core", "left_semi").select(*_ROW, "line_no"))
     if titles is not None:
         of = titles.select("doc", F.col("skeleton").alias("title")).where("title <> ''")
@@ -460,7 +462,7 @@ def find(texts: DataFrame, reference: DataFrame, reference_text: str, titles: Da
     words = staged(trusted_words(known, vocabulary(src, "text")), "vocabulary")
     linked = staged(compounds(reference, reference_text), "compounds")
     top = most_frequent(words, common_words).collect()
-    found = staged(candidates(src, [r.word for r in top], [r.word for r in top if r.known]), "candidates")
+    found = staged(candidates(src, [r.word for r in top], [r.word for r in top if r.known]), "candidates", by="kind")
     furniture = staged(furniture_lines(found, titles), "furniture")
     over_two = staged(broken_words(found, furniture, words, linked), "hyphens")
     hyphens, links = over_two.where("broken"), over_two.where("not broken")
