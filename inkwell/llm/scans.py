@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,7 +61,7 @@ def _spelling(word: str) -> str:
 
 
 def _class_first(w: str) -> str:
-    """Classes first, then sequences as they look in class space."""
+    """Classes first, then SEQUENCES as the classes show them (cl as ei, li as ii); li and ii look the same there, so u and h do."""
     s = w.translate(_CLASS)
     for wrong, right in (("ii", "u"), ("ri", "n"), ("rt", "n"), ("rn", "m"), ("ei", "d"), ("vv", "w"), ("tt", "h"), ("u", "h")):
         s = s.replace(wrong, right)
@@ -81,10 +82,24 @@ def skeletons(word: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
+@lru_cache(maxsize=1 << 17)
+def _first_skeleton(word: str) -> str:
+    w = _spelling(word)
+    return _DOUBLED.sub("\\1", w.translate(_CLASS)) if _INDIC.search(w) else _class_first(w)
+
+
 def line_skeleton(line: str) -> str:
     """Skeleton of a whole line: case, blanks, leaders and misreadings folded; digits kept."""
     line = _INSIDE_MARK.sub("c", _LEADERS.sub("", line).translate(_DIGITS).replace("@", "a").replace("$", "s"))
-    return " ".join(w if w.isdigit() else skeletons(w)[0] for w in _WORD.findall(line))
+    return " ".join(w if w.isdigit() else _first_skeleton(w) for w in _WORD.findall(line))
+
+
+_INNER = re.compile(r"['’/–—-]")
+
+
+@lru_cache(maxsize=1 << 17)
+def _parts(word: str) -> tuple[str, ...]:
+    return tuple(_spelling(part) for part in _INNER.split(word) if part and part != "(")
 
 
 def tokens(line: str) -> list[str]:
@@ -92,14 +107,15 @@ def tokens(line: str) -> list[str]:
     out = []
     found = _CHUNK.findall(line)
     for k, raw in enumerate(found):
+        if raw.isalpha():
+            out += _parts(raw)
+            continue
         w = raw.lstrip(_EDGE).rstrip(_CLOSING + HYPHENS)
         if w.endswith("("):  # a c misread as a bracket, unless nothing but the bracket is there
             w = w if len(w) > 1 and w[-2].isalpha() else w[:-1]
         if raw[0] == "(" and len(w) > 1 and w[0].isalpha() and not any(")" in x for x in found[k:]):
             w = "(" + w
-        for part in re.split(r"['’/–—-]", w):
-            if part and part != "(":
-                out.append(_spelling(part))
+        out += _parts(w)
     return out
 
 
@@ -202,7 +218,7 @@ def page_candidates(text: str, page: int | None, common: frozenset, known: froze
         line = lines[i]
         bare = line.strip()
         at, rank = edge.get(i, ("", 9))
-        plain = bare.translate(_DIGITS)
+        plain = bare if bare.isascii() else bare.translate(_DIGITS)
         number = _NUMBER.match(plain) if len(plain) <= 16 and not (plain[0] == "(" and plain[-1] == ")") else None
         if _CODE.match(bare) or _RULED.match(bare) or (number and not (paged and page is not None) and (not plain.isdigit() or not _lone_value(lines, filled, i))):
             out.append((i + 1, "furniture", at, None, None, None))
@@ -233,11 +249,11 @@ def page_candidates(text: str, page: int | None, common: frozenset, known: froze
                 for body, printed in [(m[k], m[3 - k]) for m, k in ((cut, 1), (front, 2)) if m]:
                     out.append((i + 1, "number", at, None, printed, None))
                     out.append((i + 1, "short", at, line_skeleton(body), "set", None))
-            titled = _TITLE_NUMBER.match(plain)
+            titled = plain[-1].isdigit() and _TITLE_NUMBER.match(plain)
             titled = titled and len(words) <= 8 and _title_like(bare) and all(any(map(str.isalpha, w)) for w in titled[1].split()) and sum(map(str.isalpha, bare)) >= 2
-            capitals = sum(map(str.isupper, bare)) >= 3 and bare.isupper()
-            wide = _WIDE.match(bare) and not re.search(r"\d[.,]\d+$", bare)
-            set_off = len(words) <= 8 and sum(map(str.isalpha, bare)) >= 3 and (capitals or wide)
+            capitals = bare.isupper() and sum(map(str.isupper, bare)) >= 3
+            wide = "  " in bare and _WIDE.match(bare) and not re.search(r"\d[.,]\d+$", bare)
+            set_off = len(words) <= 8 and (capitals or wide) and sum(map(str.isalpha, bare)) >= 3
             if (titled or set_off) and (not paged or rank <= 1):
                 if not (paged and page is not None) and _breaks_in(lines, filled, i):
                     out.append((i + 1, "furniture", at, None, None, None))
@@ -270,8 +286,7 @@ def page_candidates(text: str, page: int | None, common: frozenset, known: froze
         pieces[i] = found
         for w in dict.fromkeys(found):
             if w not in common and len(w) > 1:
-                digits = sum(c.isdigit() for c in w)
-                if digits == len(w) or w.replace(",", "").replace(".", "").isdigit():
+                if not w.isalpha() and w.replace(",", "").replace(".", "").isdigit():
                     continue
                 out.append((i + 1, "token", "number" if misread_number(w) else "", None, w, None))
     return out
