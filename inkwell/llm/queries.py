@@ -208,5 +208,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {**packs, **{f.__name__: f for f in named}}
 
 
+# Brute force over all pairs of usable vectors.
+P2_FOUND = """
+WITH v AS (SELECT vec_id, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS x FROM chunk_vectors WHERE vec_id IS NOT NULL AND len(vector) = 128
+  AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+u AS (SELECT DISTINCT ON (vec_id) vec_id, x, sqrt(list_sum(list_transform(x, lambda y: y * y))) AS n FROM v),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.x, b.x) / (a.n * b.n), 6) AS c FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM p WHERE c >= 0.8)
+SELECT DISTINCT least(a, b) AS vec_lo, greatest(a, b) AS vec_hi FROM r WHERE k <= 5
+"""
+
+# Canonical records made whole, which the operator never does.
+_BARE = "regexp_replace(lower({}), '[\\pP\\pZ\\s\\x{{0B}}\\x{{1C}}-\\x{{1F}}\\x{{85}}]+', '', 'g')"
+_RECORDS = f"""
+r AS (SELECT DISTINCT record_id, content, meta_json FROM legacy_records WHERE record_id IS NOT NULL AND json_valid(meta_json)
+  AND regexp_replace(content, '[\\s\\pZ\\p{{Cf}}\\x{{0B}}\\x{{1C}}-\\x{{1F}}\\x{{85}}]+', '', 'g') <> ''),
+o AS (SELECT *, json_keys(meta_json) AS ks FROM r WHERE json_type(meta_json) = 'OBJECT'),
+c AS (SELECT record_id, {_BARE.format('content')} || chr(1) || array_to_string(list_sort(list_transform(ks, lambda k: {_BARE.format('k')} || chr(2) || {_BARE.format("coalesce(json_extract_string(meta_json, '$.' || chr(34) || k || chr(34)), 'null')")})), chr(1)) AS canon FROM o WHERE len(ks) > 0),
+g AS (SELECT record_id, min(record_id) OVER (PARTITION BY canon) AS first_id FROM c)"""
+P4_FOUND = f"WITH {_RECORDS} SELECT first_id, record_id AS other_id FROM g WHERE record_id > first_id"
+P4_COPIES = f"WITH {_RECORDS} SELECT first_id, count(*) AS copies FROM g GROUP BY 1"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can say the same on whole tables; tests hold the other queries against brute force, a rebuild or an exact round trip."""
+    return {"p2_found": P2_FOUND, "p4_found": P4_FOUND, "p4_copies": P4_COPIES}
