@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BENGALI = "[\\u0980-\\u09FF]"
-# The Bengali consonants and the vowel signs with a part drawn before the consonant.
+# The Bengali consonants and the vowel signs with a part drawn before the consonant, a bullet read as an e, a word
+# broken by a hyphen and blanks, a word written with a hyphen, a section reference without and with its dots.
 DOUBLED_CONSONANTS = "\\u0995-\\u09B9\\u09CE\\u09A1\\u09BC\\u09A2\\u09AF"
 PRE_BASE_SIGNS = "\\u09CB\\u09C7\\u09CC"
+LONE_E = "(?<=[a-z,;:]) e (?=[a-z])"
+BROKEN_WORD = "\\b([A-Za-z]{2,})-\\s+([A-Za-z]{2,})\\b"
+COMPOUND = "\\b([A-Za-z]{2,})-([A-Za-z]{2,})\\b"
+LOST_DOTS = "\\b([1-8])(\\d)(\\d)\\b"
+REFERENCE = "\\b([1-8]\\.\\d{1,2}\\.\\d{1,2})\\b"
 
 
 def strip(c: Column) -> Column:
@@ -93,9 +99,8 @@ def undouble_consonants(c: Column) -> tuple[Column, Column]:
 
 
 def restore_bullets(c: Column, least: int = 2) -> tuple[Column, Column]:
-    pattern = "(?<=[a-z,;:]) e (?=[a-z])"
-    n = F.regexp_count(c, F.lit(pattern))
-    return F.when(n >= least, F.regexp_replace(c, pattern, "\n• ")).otherwise(c), F.when(n >= least, n).otherwise(0)
+    n = F.regexp_count(c, F.lit(LONE_E))
+    return F.when(n >= least, F.regexp_replace(c, LONE_E, "\n• ")).otherwise(c), F.when(n >= least, n).otherwise(0)
 
 
 def tidy_space(c: Column) -> tuple[Column, Column]:
@@ -110,13 +115,13 @@ def tidy_space(c: Column) -> tuple[Column, Column]:
 
 def split_words(c: Column) -> Column:
     """The `word- word` breaks of a text as array of [head, tail]."""
-    whole = F.regexp_extract_all(c, F.lit("\\b([A-Za-z]{2,})-\\s+([A-Za-z]{2,})\\b"), F.lit(0))
+    whole = F.regexp_extract_all(c, F.lit(BROKEN_WORD), F.lit(0))
     return F.transform(whole, lambda m: F.split(m, "-\\s+"))
 
 
 def compound_prefixes(df: DataFrame, text: str) -> DataFrame:
     """prefix: the lower-case first parts of words the corpus writes with a hyphen and no blank; they keep their hyphen."""
-    found = F.regexp_extract_all(F.col(f"`{text}`"), F.lit("\\b([A-Za-z]{2,})-([A-Za-z]{2,})\\b"), F.lit(1))
+    found = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(COMPOUND), F.lit(1))
     return df.select(F.explode(found).alias("p")).select(F.lower("p").alias("prefix")).distinct()
 
 
@@ -132,7 +137,7 @@ def join_split_words(df: DataFrame, key: str, text: str, prefixes: DataFrame) ->
     both = rows.join(kept, "key", "left")
 
     def run(batches):
-        pattern = re.compile(r"\b([A-Za-z]{2,})-\s+([A-Za-z]{2,})\b")
+        pattern = re.compile(BROKEN_WORD)
         for b in batches:
             texts, counts = [], []
             for t, k in zip(b.column("text").to_pylist(), b.column("kept").to_pylist()):
@@ -173,9 +178,9 @@ def clean(df: DataFrame, key: str, text: str, language: str) -> DataFrame:
 
 def repair_references(c: Column) -> Column:
     """Section references that lost their dots: 131 becomes 1.3.1 where the first digit is 1 to 8."""
-    return F.regexp_replace(c, "\\b([1-8])(\\d)(\\d)\\b", "$1.$2.$3")
+    return F.regexp_replace(c, LOST_DOTS, "$1.$2.$3")
 
 
 def references(c: Column) -> Column:
     """The distinct three-part references of a text, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit("\\b([1-8]\\.\\d{1,2}\\.\\d{1,2})\\b"), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(1))))
