@@ -83,9 +83,10 @@ class WordModel:
             size[len(g)] += c
         kinds = np.bincount([len(g) for g in grams], minlength=_GRAM + 1) if grams else np.ones(_GRAM + 1)
         self.grams = {g: np.log((c + smoothing) / (size[len(g)] + smoothing * kinds[len(g)])) for g, c in grams.items()}
-        self.table = np.array(self.rows or np.zeros((0, len(LANGUAGES))), float)
-        self.extra: list[np.ndarray] = []
-        self.plausible = [True] * len(self.rows)
+        # scores and, in the last column, whether it is known or looks like a word; room grows by doubling
+        self.table = np.ones((len(self.rows), len(LANGUAGES) + 1))
+        self.table[:, :-1] = np.array(self.rows or np.zeros((0, len(LANGUAGES))))
+        self.filled = len(self.rows)
 
     @staticmethod
     def _grams(word: str, n: int) -> list[str]:
@@ -103,31 +104,29 @@ class WordModel:
         grams = self._grams(word, min(_GRAM, len(word)))
         return sum(g in self.grams for g in grams) >= MIN_KNOWN_GRAMS * len(grams)
 
+    def _add(self, word: str) -> int:
+        if self.filled == len(self.table):
+            self.table = np.vstack([self.table, np.empty((max(1024, len(self.table)), self.table.shape[1]))])
+        i = self.filled
+        self.table[i, :-1] = self._unseen(word)
+        self.table[i, -1] = self._looks_known(word)
+        self.filled += 1
+        self.index[word] = i
+        return i
+
     def ids(self, words: list[str]) -> np.ndarray:
         """Rows of the words in the table of scores; what was unseen is added to it for the batches to come."""
-        if len(self.extra) > self.remember:  # forget, so that a worker's memory stays bounded
-            keep = len(self.rows)
-            self.index = {w: i for w, i in self.index.items() if i < keep}
-            self.extra, self.table, self.plausible = [], self.table[:keep], self.plausible[:keep]
-        get, out = self.index.get, []
-        for w in words:
-            i = get(w)
-            if i is None:
-                i = len(self.rows) + len(self.extra)
-                self.extra.append(self._unseen(w))
-                self.plausible.append(self._looks_known(w))
-                self.index[w] = i
-            out.append(i)
-        return np.array(out, np.int64)
+        if self.filled - len(self.rows) > self.remember:  # forget, so that a worker's memory stays bounded
+            self.filled = len(self.rows)
+            self.index = {w: i for w, i in self.index.items() if i < self.filled}
+        get = self.index.get
+        return np.array([self._add(w) if (i := get(w)) is None else i for w in words], np.int64)
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
-        fresh = self.extra[len(self.table) - len(self.rows) :]
-        if fresh:
-            self.table = np.vstack([self.table, np.array(fresh)])
-        return self.table[ids]
+        return self.table[ids, :-1]
 
     def known(self, ids: np.ndarray) -> np.ndarray:
-        return np.fromiter((self.plausible[i] for i in ids), float, len(ids))
+        return self.table[ids, -1]
 
 
 def read_batch(texts: list[str | None], model: WordModel):
