@@ -28,6 +28,12 @@ def tokens(c: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(f"({pattern})"), F.lit(1))
 
 
+def _only_words(df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """Rows of df with one of the wanted words, which are sent to the tasks if there are few."""
+    wanted = wanted.distinct()
+    return df.join(F.broadcast(wanted) if small_enough(wanted, 200_000) else wanted, column, "left_semi")
+
+
 def postings(df: DataFrame, key: str, scope: str, fields: dict[str, str], asked: DataFrame | None = None) -> DataFrame:
     """key, scope, token, weight: the summed field weights of each token of a text; fields maps a column to its class A, B or C.
 
@@ -38,8 +44,7 @@ def postings(df: DataFrame, key: str, scope: str, fields: dict[str, str], asked:
         one = df.select(key, scope, F.explode(tokens(F.col(column))).alias("token"), F.lit(FIELD_WEIGHTS[klass]).alias("w"))
         parts = one if parts is None else parts.unionByName(one)
     if asked is not None:
-        wanted = asked.select("token").distinct()
-        parts = parts.join(F.broadcast(wanted) if small_enough(wanted, 200_000) else wanted, "token", "left_semi")
+        parts = _only_words(parts, asked.select("token"), "token")
     return parts.groupBy(key, scope, "token").agg(F.round(F.sum("w"), 6).alias("weight"))
 
 
@@ -49,17 +54,25 @@ def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     return words.groupBy(key, "word").agg(F.count("*").alias("tf"))
 
 
-def distinctive_terms(counts: DataFrame, key: str, total: Column | int, *, terms: int = 8, least: int = 4, queries: DataFrame | None = None) -> DataFrame:
+def document_frequencies(df: DataFrame, text: str, wanted: DataFrame | None = None) -> DataFrame:
+    """word, df: how many rows hold each word (one of `wanted`, a column word, if given).
+
+    A row gives each of its words once, so words are added up where they lie and only one row a word and task is shuffled.
+    """
+    words = df.select(F.explode(F.array_distinct(tokens(F.col(text), QUERY_WORD))).alias("word")).where(~F.col("word").isin(STOP_WORDS))
+    words = words if wanted is None else _only_words(words, wanted.select("word"), "word")
+    return words.groupBy("word").agg(F.count("*").alias("df"))
+
+
+def distinctive_terms(counts: DataFrame, frequencies: DataFrame, key: str, total: Column | int, *, terms: int = 8, least: int = 4) -> DataFrame:
     """key, word, rank: the `terms` words of each text with the best tf * ln(N / (1 + df)), ties in alphabetical order.
 
-    Document frequencies are counted over all of counts. Texts with fewer than `least` different words give no query.
-    queries: keys to build terms for, all by default.
+    counts: term_counts of the texts that queries are made from; frequencies: document_frequencies of the whole corpus of
+    `total` texts. Texts with fewer than `least` different words give no query.
     """
-    df = counts.groupBy("word").agg(F.count("*").alias("df"))
-    mine = counts if queries is None else counts.join(queries, key, "left_semi")
     n = total if isinstance(total, Column) else F.lit(total)
     score = F.round(F.col("tf") * F.log(n / (1 + F.col("df"))), 9)
-    scored = mine.join(df, "word").withColumn("score", score)
+    scored = counts.join(frequencies, "word").withColumn("score", score)
     w = Window.partitionBy(key).orderBy(F.desc("score"), "word")
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= terms)
     return ranked.withColumn("__n", F.count("*").over(Window.partitionBy(key))).where(F.col("__n") >= least).select(key, "word", "rank")

@@ -19,8 +19,10 @@ _QWORD = "[A-Za-z\\x{0980}-\\x{09FF}]{4,}"
 
 
 def document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    counts = R.term_counts(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
-    return counts.groupBy("word").agg(F.count("*").alias("texts"), F.sum("tf").alias("times"))
+    docs = table(spark, d, "documents").where("text is not null")
+    words = docs.select("doc_id", F.explode(R.tokens(F.col("text"), R.QUERY_WORD)).alias("word")).where(~F.col("word").isin(R.STOP_WORDS))
+    times = words.groupBy("word").agg(F.count("*").alias("times"))
+    return R.document_frequencies(docs, "text").join(times, "word").select("word", F.col("df").alias("texts"), "times")
 
 
 _TF = f"""w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_QWORD}')) AS word FROM documents WHERE text IS NOT NULL),
@@ -30,9 +32,8 @@ DOCUMENT_FREQUENCY = f"WITH {_TF} SELECT word, count(*) AS texts, CAST(sum(tf) A
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("text is not null")
-    counts = R.term_counts(docs, "doc_id", "text")
-    asked = docs.where("doc_id % 100 = 0").select("doc_id")
-    return R.distinctive_terms(counts, "doc_id", docs.count(), queries=asked)
+    counts = staged(R.term_counts(docs.where("doc_id % 100 = 0"), "doc_id", "text"), "counts")
+    return R.distinctive_terms(counts, R.document_frequencies(docs, "text", counts), "doc_id", docs.count())
 
 
 def query_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -105,8 +106,8 @@ def _hybrid_parts(spark: SparkSession, d: str):
     placed = v.join(chunks.select("chunk_id", "offering_id"), "chunk_id")
     queries = staged(asked.join(chunks, "chunk_id").select(F.col("vec_id").alias("query_id"), F.col("chunk_id").alias("own"), "offering_id", "vector", "text", "language"), "queries")
     dense = R.semantic(queries, placed, query="query_id", key="chunk_id", vector="vector", scope="offering_id")
-    counts = R.term_counts(chunks, "chunk_id", "text")
-    terms = R.distinctive_terms(counts, "chunk_id", chunks.count(), queries=queries.select(F.col("own").alias("chunk_id")).distinct())
+    counts = staged(R.term_counts(queries.select(F.col("own").alias("chunk_id"), "text").distinct(), "chunk_id", "text"), "counts")
+    terms = R.distinctive_terms(counts, R.document_frequencies(chunks, "text", counts), "chunk_id", chunks.count())
     words = queries.join(terms, F.col("own") == F.col("chunk_id")).select("query_id", "offering_id", F.col("word").alias("token"))
     words = staged(words, "asked")
     index = R.postings(chunks, "chunk_id", "offering_id", {"text": "C", "topic": "A"}, words)
