@@ -165,6 +165,13 @@ def _title_like(line: str) -> bool:
     return bool(first) and (first.isupper() or bool(_INDIC.match(first)))
 
 
+def _first_word(line: str) -> str:
+    """The first word of a line, or nothing where it doesn't start with a letter."""
+    found = _CHUNK.search(line)
+    w = _spelling(_INNER.split(found[0].strip(_EDGE))[0]) if found else ""
+    return w if w and (w[0].isalpha() or _INDIC.match(w[0])) else ""
+
+
 def _lone_value(lines: list[str], filled: list[int], i: int) -> bool:
     """Whether a bare number may be the author's: alone in its text, after a question, colon or equals sign, or among other values."""
     k = filled.index(i)
@@ -184,7 +191,7 @@ def _breaks_in(lines: list[str], filled: list[int], i: int) -> bool:
 
 
 def page_candidates(text: str, page: int | None, common: frozenset, known: frozenset, paged: bool) -> list[tuple]:
-    """(line_no, kind, place, skeleton, word, next) of a page; kinds: furniture, notice, number, short, hyphen, token."""
+    """(line_no, kind, place, skeleton, word, next) of a page; kinds: furniture, notice, number, short, hyphen, opening, token."""
     lines = text.split("\n")
     filled = [i for i, x in enumerate(lines) if x.strip()]
     edge = {}
@@ -264,6 +271,8 @@ def page_candidates(text: str, page: int | None, common: frozenset, known: froze
                 out.append((i + 1, "short", at if rank <= 1 else "", line_skeleton(plain), None, None))
 
     order = [i for i in filled if i not in gone]
+    if paged and page is not None:
+        out += [(i + 1, "opening", "", None, w, None) for i in order[:4] if (w := _first_word(lines[i]))]
     pieces: dict[int, list[str]] = {}
     for k, i in enumerate(order):
         line = lines[i]
@@ -272,13 +281,8 @@ def page_candidates(text: str, page: int | None, common: frozenset, known: froze
         last = stripped[-1:] if len(stripped) > 1 else ""
         broken = last and last in HYPHENS and (stripped[-2].isalpha() or _INDIC.match(stripped[-2])) and found
         if broken:
-            after = []
-            for j in order[k + 1 : k + 13]:
-                nxt = _CHUNK.findall(lines[j])
-                w = _spelling(re.split(r"['’/–—-]", nxt[0].strip(_EDGE))[0]) if nxt else ""
-                if w and (w[0].isalpha() or _INDIC.match(w[0])):
-                    after.append({"line_no": j + 1, "word": w})
-            if after:
+            after = [{"line_no": j + 1, "word": w} for j in order[k + 1 : k + 13] if (w := _first_word(lines[j]))]
+            if after or paged:
                 left = re.split(r"['’/–—\-]", stripped.rstrip(HYPHENS).split()[-1].strip(_EDGE))[-1]
                 out.append((i + 1, "hyphen", last, None, _spelling(left), after))
         for m in _SPLIT_INSIDE.finditer(stripped):
@@ -406,18 +410,25 @@ def most_frequent(words: DataFrame, most: int) -> DataFrame:
 
 
 def broken_words(found: DataFrame, furniture: DataFrame, words: DataFrame, joined_by_hyphen: DataFrame) -> DataFrame:
-    """tbl, row_key, line_no, next_line, left_piece, right_piece, joined, broken: words on two lines.
+    """tbl, row_key, line_no, next_key, next_line, left_piece, right_piece, joined, broken: words on two lines.
 
+    The second line is the next one of the text that isn't furniture, or else the first such line of the document's next page.
     broken: the layout broke the word and put in the hyphen; else the hyphen is part of a known compound.
     """
-    cand = found.where("kind = 'hyphen'").select(*_ROW, "line_no", "place", F.col("word").alias("left_piece"), F.posexplode("next").alias("k", "n"))
-    cand = cand.select(*_ROW, "line_no", "place", "left_piece", "k", F.col("n.line_no").alias("next_line"), F.col("n.word").alias("right_piece"))
-    cand = cand.join(furniture, [*_ROW, "line_no"], "left_anti")
-    skip = furniture.withColumnRenamed("line_no", "next_line")
-    cand = cand.join(skip, [*_ROW, "next_line"], "left_anti")
-    first = F.min(F.struct("k", "next_line", "right_piece")).alias("n")
-    cand = cand.groupBy(*_ROW, "line_no", "place", "left_piece").agg(first)
-    cand = cand.select(*_ROW, "line_no", "place", "left_piece", "n.next_line", "n.right_piece", F.concat("left_piece", "n.right_piece").alias("joined"))
+    base = found.where("kind = 'hyphen'").select(*_ROW, "doc", "page", "line_no", "place", F.col("word").alias("left_piece"), "next")
+    base = base.join(furniture, [*_ROW, "line_no"], "left_anti")
+    near = base.select(*_ROW, "line_no", "place", "left_piece", F.posexplode("next").alias("k", "n"))
+    near = near.select(*_ROW, "line_no", "place", "left_piece", "k", F.col("n.line_no").alias("next_line"), F.col("n.word").alias("right_piece"))
+    near = near.join(furniture.withColumnRenamed("line_no", "next_line"), [*_ROW, "next_line"], "left_anti")
+    near = near.groupBy(*_ROW, "line_no", "place", "left_piece").agg(F.min(F.struct("k", "next_line", "right_piece")).alias("n"))
+    near = near.select(*_ROW, "line_no", "place", "left_piece", F.col("row_key").alias("next_key"), "n.next_line", "n.right_piece")
+    ends = base.where("tbl = 'ocr_pages' and place <> 'inside' and doc is not null and page is not null").drop("next")
+    ends = ends.join(near.select(*_ROW, "line_no", "left_piece"), [*_ROW, "line_no", "left_piece"], "left_anti")
+    opens = found.where("kind = 'opening' and doc is not null").join(furniture, [*_ROW, "line_no"], "left_anti")
+    opens = opens.groupBy("tbl", "doc", (F.col("page") - 1).alias("page")).agg(F.min(F.struct("row_key", "line_no", "word")).alias("o"))
+    over = ends.join(opens, ["tbl", "doc", "page"])
+    over = over.select(*_ROW, "line_no", "place", "left_piece", F.col("o.row_key").alias("next_key"), F.col("o.line_no").alias("next_line"), F.col("o.word").alias("right_piece"))
+    cand = near.unionByName(over).withColumn("joined", F.concat("left_piece", "right_piece"))
     cand = cand.withColumn("linked", F.concat("left_piece", F.lit("-"), "right_piece"))
     whole = words.select(F.col("word").alias("joined"), F.col("n").alias("n_joined"))
     link = joined_by_hyphen.select(F.col("word").alias("linked"), F.col("n").alias("n_linked"))
@@ -430,7 +441,7 @@ def broken_words(found: DataFrame, furniture: DataFrame, words: DataFrame, joine
     neither = (n("n_joined") < 2) & (n("n_linked") < 1) & (F.col("place") != "inside") & ~((n("n_left") >= 2) & (n("n_right") >= 2))
     compound = (n("n_linked") >= 1) & (F.col("place") != "inside")
     c = c.withColumn("broken", known | neither).where(F.col("broken") | compound)
-    return c.select(*_ROW, "line_no", "next_line", "left_piece", "right_piece", "joined", "broken")
+    return c.select(*_ROW, "line_no", "next_key", "next_line", "left_piece", "right_piece", "joined", "broken")
 
 
 def trusted_words(reference: DataFrame, scanned: DataFrame, *, min_count: int = 5, times: int = 5) -> DataFrame:
@@ -487,14 +498,15 @@ def find(texts: DataFrame, reference: DataFrame, reference_text: str, titles: Da
     numbers = numbers.join(words.select("word"), "word", "left_anti").select(*_ROW, "line_no", "word", F.translate("word", "li|oszgqb", "111052996").alias("correction"))
     token = token.where("place <> 'number'").join(furniture, [*_ROW, "line_no"], "left_anti")
     halves = hyphens.select(*_ROW, "line_no", F.col("left_piece").alias("word")).unionByName(
-        hyphens.select(*_ROW, F.col("next_line").alias("line_no"), F.col("right_piece").alias("word"))
+        hyphens.select("tbl", F.col("next_key").alias("row_key"), F.col("next_line").alias("line_no"), F.col("right_piece").alias("word"))
     )
     token = token.join(halves, [*_ROW, "line_no", "word"], "left_anti").select(*_ROW, "line_no", "word")
-    whole = hyphens.select(*_ROW, "line_no", "next_line", "left_piece", F.col("joined").alias("word"))
+    whole = hyphens.select(*_ROW, "line_no", "next_key", "next_line", "left_piece", F.col("joined").alias("word"))
     corrections = staged(misread_words(token.select("word").unionByName(whole.select("word")), words), "corrections")
     single = token.join(corrections, "word").select(*_ROW, "line_no", "word", "correction")
-    torn = whole.join(corrections, "word").withColumn(
-        "line_no", F.when(F.col("correction").startswith(F.col("left_piece")), F.col("next_line")).otherwise(F.col("line_no"))
+    second = F.col("correction").startswith(F.col("left_piece"))
+    torn = whole.join(corrections, "word").select(
+        "tbl", F.when(second, F.col("next_key")).otherwise(F.col("row_key")).alias("row_key"), F.when(second, F.col("next_line")).otherwise(F.col("line_no")).alias("line_no"), "word", "correction"
     )
     return Findings(furniture, hyphens, links, single.unionByName(torn.select(*_ROW, "line_no", "word", "correction")).unionByName(numbers).distinct())
 
@@ -565,9 +577,11 @@ def _rebuild(text: str, gone: set[int], joins: list[tuple[int, int, str, bool]],
 
 
 def repaired(texts: DataFrame, f: Findings) -> DataFrame:
-    """tbl, row_key, text: every text of texts rebuilt from its findings; null and empty texts stay as they are."""
+    """tbl, row_key, text: every text of texts rebuilt from its findings; null and empty texts stay as they are.
+
+    A word broken over two pages keeps its hyphen at the end of the first: every page stays a text of its own."""
     gone = f.furniture.groupBy(*_ROW).agg(F.collect_set("line_no").alias("gone"))
-    pairs = f.hyphens.unionByName(f.links)
+    pairs = f.hyphens.unionByName(f.links).where("next_key = row_key")
     joins = pairs.groupBy(*_ROW).agg(F.sort_array(F.collect_set(F.struct("line_no", "next_line", "left_piece", "broken"))).alias("joins"))
     fixes = f.misread.groupBy(*_ROW).agg(F.sort_array(F.collect_set(F.struct("line_no", "word", "correction"))).alias("fixes"))
     src = texts.where("row_key is not null").select(*_ROW, "text").dropDuplicates(_ROW)

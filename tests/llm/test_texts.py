@@ -108,6 +108,19 @@ def test_set_off_lines_and_numbers_are_furniture_only_where_they_come_back(spark
     assert without == got - {("c3", 3)}
 
 
+def test_words_broken_over_pages_and_long_gaps_are_found(spark):
+    words = "the pressure of the gas rises when its volume falls and a gauge"
+    rows = [("ocr_pages", "a", "d", 1, "the gas rises when the vol-\n— 1 —"), ("ocr_pages", "b", "d", 2, "— 2 —\nume falls."), ("ocr_pages", "c", "e", 2, "ume falls and the pres-")]
+    rows += [("ocr_pages", "g", "f", 1, "the gas and its pres-\n" + "........\n" * 20 + "sure rises")]
+    df = spark.createDataFrame(rows, "tbl string, row_key string, doc string, page int, text string")
+    f = scans.find(df, spark.createDataFrame([(words,)] * 3, "text string"), "text")
+    got = {(r.row_key, r.line_no, r.next_key, r.next_line, r.joined) for r in f.hyphens.collect()}
+    assert got == {("a", 1, "b", 2, "volume"), ("g", 1, "g", 22, "pressure")}
+    assert not f.misread.count()
+    text = {r.row_key: r.text for r in scans.repaired(df, f).collect()}
+    assert text["a"] == "the gas rises when the vol-" and text["b"] == "ume falls." and text["g"] == "the gas and its pressure rises"
+
+
 def test_corrections_stay_on_their_line():
     text = "The tlie sum is known.\n\nA tlie of silk."
     assert scans._rebuild(text, set(), [], {1: [("tlie", "the")]}) == "The the sum is known.\n\nA tlie of silk."
