@@ -400,12 +400,12 @@ def missing_documents(spark: SparkSession, d: str) -> DataFrame:
     return _missing(table(spark, d, "legacy_records"), table(spark, d, "source_documents"))
 
 
-def missing_without_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """The same when only documents of a known, even size count as present."""
-    return _missing(table(spark, d, "legacy_records"), table(spark, d, "source_documents").where("bytes % 2 = 0"))
+def missing_after_loss(spark: SparkSession, d: str) -> DataFrame:
+    """The same after a loss in which only documents of a known size of at least 300,000 bytes were saved."""
+    return _missing(table(spark, d, "legacy_records"), table(spark, d, "source_documents").where("bytes >= 300000"))
 
 
-MISSING_WITHOUT_SIZES = "SELECT file_name, count(*) AS records FROM legacy_records r WHERE NOT EXISTS (SELECT 1 FROM source_documents s WHERE s.filename = r.file_name AND s.bytes % 2 = 0) GROUP BY 1"
+MISSING_AFTER_LOSS = "SELECT file_name, count(*) AS records FROM legacy_records r WHERE NOT EXISTS (SELECT 1 FROM source_documents s WHERE s.filename = r.file_name AND s.bytes >= 300000) GROUP BY 1"
 MISSING_DOCUMENTS = "SELECT file_name, count(*) AS records FROM legacy_records r WHERE NOT EXISTS (SELECT 1 FROM source_documents s WHERE s.filename = r.file_name) GROUP BY 1"
 
 NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
@@ -536,7 +536,7 @@ def query_map() -> dict:
         "artefact_hits": (artefact_hits, ARTEFACT_HITS),
         "repeated_cut_ids": (repeated_cut_ids, REPEATED_CUT_IDS),
         "misplaced_after_damage": (misplaced_after_damage, MISPLACED_AFTER_DAMAGE),
-        "missing_without_sizes": (missing_without_sizes, MISSING_WITHOUT_SIZES),
+        "missing_after_loss": (missing_after_loss, MISSING_AFTER_LOSS),
         "catalogue": (catalogue, CATALOGUE),
         "repeated_papers": (repeated_papers, REPEATED_PAPERS),
         "inventory": (inventory, INVENTORY),
